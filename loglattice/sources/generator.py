@@ -1,0 +1,69 @@
+"""A repeatable access log with the shape of the historic one."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fv
+
+USER_AGENTS = ["agent/1.0", "agent/2.0", "agent/3.0", "agent/4.0"]
+SPAN_SECONDS = 90 * 86_400
+LATENCY_MS = (12, 850)
+
+
+def _draw(digest: Column, slot: int) -> Column:
+    """One of four 32-bit numbers held in an md5 digest."""
+    digits = F.substring(digest, slot * 8 + 1, 8)
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def _choice(values, number: Column) -> Column:
+    return F.get(
+        F.array(*[F.lit(v) for v in values]), F.pmod(number, F.lit(len(values))).cast("int")
+    )
+
+
+def _weighted(number: Column) -> Column:
+    """A status by weight; the weights sum to 100."""
+    point = F.pmod(number, F.lit(100))
+    upto, chosen = 0, None
+    for status, weight in fv.STATUS_WEIGHTS:
+        upto += weight
+        within = point < upto
+        chosen = F.when(within, status) if chosen is None else chosen.when(within, status)
+    return chosen
+
+
+def access_log_for(ids: DataFrame, id_column: str, seed: int, as_of) -> DataFrame:
+    """One log row per id. Every value is a function of (seed, id), so a task
+    that is run again after a lost executor makes the same rows."""
+    key = F.concat_ws(":", F.lit(seed), F.col(id_column))
+    first, second = F.md5(key), F.md5(F.concat(key, F.lit(":b")))
+    base = ids.select(
+        F.col(id_column).alias("query_id"), first.alias("_a"), second.alias("_b")
+    )
+    a, b = F.col("_a"), F.col("_b")
+    low, high = LATENCY_MS
+    end = F.unix_seconds(F.lit(as_of).cast("timestamp"))
+    endpoint = _choice(fv.ENDPOINTS, _draw(a, 1))
+    domain = _choice(fv.DOMAINS, _draw(a, 0))
+    return base.select(
+        "query_id",
+        F.timestamp_seconds(end - F.pmod(_draw(b, 0), F.lit(SPAN_SECONDS))).alias("timestamp"),
+        domain.alias("recruiter_domain"),
+        endpoint.alias("endpoint_hit"),
+        F.when(F.contains(endpoint, F.lit("skills")), _choice(fv.SKILLS, _draw(a, 2)))
+        .alias("skill_searched"),
+        (F.pmod(_draw(a, 3), F.lit(high - low + 1)) + low).cast("int").alias("response_time_ms"),
+        _weighted(_draw(b, 1)).alias("http_status"),
+        _choice(USER_AGENTS, _draw(b, 2)).alias("user_agent"),
+        F.concat(F.lit("https://"), domain).alias("referer_url"),
+    )
+
+
+def generate_access_log(
+    spark: SparkSession, n: int, seed: int = 0, as_of: str = "2026-01-01 00:00:00"
+) -> DataFrame:
+    """n rows with ids 1..n, spread over the 90 days before `as_of`."""
+    return access_log_for(spark.range(1, n + 1), "id", seed, as_of)
