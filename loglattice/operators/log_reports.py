@@ -18,8 +18,11 @@ from ..functions.stats import (
 )
 from ..functions.times import as_of_column, back, since
 
-OK = F.col("http_status_code") == 200
-LATENCY = F.col("response_time_ms")
+LATENCY = "response_time_ms"
+
+
+def _n_ok():
+    return F.count_if(F.col("http_status_code") == 200)
 
 
 def _hits():
@@ -68,8 +71,8 @@ def domain_scorecard(
         .groupBy("recruiter_domain", "skill_searched")
         .agg(
             _hits().alias("n"),
-            F.count_if(OK).alias("n_ok"),
-            F.sum(thousandths(LATENCY)).alias("ms"),
+            _n_ok().alias("n_ok"),
+            F.sum(thousandths(F.col(LATENCY))).alias("ms"),
             F.count(LATENCY).alias("n_ms"),
             F.min("request_timestamp").alias("first"),
             F.max("request_timestamp").alias("last"),
@@ -107,8 +110,8 @@ def domain_rank_first(log: DataFrame) -> DataFrame:
     """The domain (or tied domains) with most requests."""
     stats = log.groupBy("recruiter_domain").agg(
         _hits().alias("total_hits"),
-        F.count_if(OK).alias("successful_hits"),
-        mean(LATENCY).alias("avg_response_ms"),
+        _n_ok().alias("successful_hits"),
+        mean(F.col(LATENCY)).alias("avg_response_ms"),
     )
     return (
         stats.withColumn(
@@ -148,7 +151,7 @@ def endpoint_quantiles(
 def _with_quantiles(rows, keys, aggregates, probs, approximate) -> DataFrame:
     """Plain aggregates and quantiles side by side, one row per key."""
     plain = rows.groupBy(*keys).agg(*aggregates)
-    quantiles = _quantiles(approximate)(rows, keys, "response_time_ms", probs)
+    quantiles = _quantiles(approximate)(rows, keys, LATENCY, probs)
     renamed = quantiles.select(
         *[F.col(k).alias(f"_q_{k}") for k in keys], *probs
     )
@@ -164,9 +167,9 @@ def recent_top_domains(
         .groupBy("recruiter_domain")
         .agg(
             _hits().alias("total_hits"),
-            mean(LATENCY).alias("avg_response_ms"),
-            F.count_if(OK).alias("successful_hits"),
-            percent(F.count_if(OK), _hits(), 1).alias("success_rate_pct"),
+            mean(F.col(LATENCY)).alias("avg_response_ms"),
+            _n_ok().alias("successful_hits"),
+            percent(_n_ok(), _hits(), 1).alias("success_rate_pct"),
         )
         .orderBy(F.desc("total_hits"), "recruiter_domain")
         .limit(limit)
@@ -177,7 +180,7 @@ def hourly_traffic(log: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     return (
         since(log, as_of, days=days)
         .groupBy(F.hour("request_timestamp").alias("hour_of_day"))
-        .agg(_hits().alias("requests"), mean(LATENCY).alias("avg_latency_ms"))
+        .agg(_hits().alias("requests"), mean(F.col(LATENCY)).alias("avg_latency_ms"))
         .orderBy("hour_of_day")
     )
 
@@ -188,7 +191,7 @@ def endpoint_popularity(
     return _with_quantiles(
         since(log, as_of, days=days),
         ["endpoint_path"],
-        [_hits().alias("hits"), mean(LATENCY).alias("avg_latency_ms")],
+        [_hits().alias("hits"), mean(F.col(LATENCY)).alias("avg_latency_ms")],
         {"p95_latency_ms": 0.95},
         approximate,
     ).orderBy(F.desc("hits"), "endpoint_path")
@@ -350,7 +353,7 @@ def campaign_device_region(log: DataFrame, as_of=None, days: int = 7) -> DataFra
             impressions.alias("impressions"),
             F.count_if(_stage("engagement")).alias("engagements"),
             contacts.alias("contacts"),
-            mean(LATENCY).alias("avg_latency_ms"),
+            mean(F.col(LATENCY)).alias("avg_latency_ms"),
             percent(contacts, impressions, 2).alias("cvr_pct"),
         )
         .where(F.col("impressions") > 0)
@@ -358,14 +361,15 @@ def campaign_device_region(log: DataFrame, as_of=None, days: int = 7) -> DataFra
     )
 
 
-def session_parts(rows: DataFrame) -> DataFrame:
+def session_parts(rows: DataFrame, *extra_keys) -> DataFrame:
     """Rows reduced to one per (session, campaign, endpoint).
 
     Fixed-size parts: batch and streaming roll them up with the same code and
     no session ever carries a set of its endpoints.
     """
     micros = F.unix_micros("request_timestamp")
-    return rows.groupBy("session_id", "search_campaign", "endpoint_path").agg(
+    keys = ["session_id", "search_campaign", "endpoint_path", *extra_keys]
+    return rows.groupBy(*keys).agg(
         _hits().alias("n"),
         _reached("contact").alias("converted"),
         F.min(micros).alias("first_us"),

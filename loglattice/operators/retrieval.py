@@ -96,14 +96,11 @@ def embed_chunks(
 # -- search ------------------------------------------------------------------
 
 
-def _key_of(columns: Sequence[str]) -> Column:
-    return F.concat_ws("\x1f", *columns) if columns else F.lit("")
-
-
 def _candidate_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("query", queries.schema["query"].dataType),
+            T.StructField("key", T.StringType()),
             T.StructField("id", vectors.schema["id"].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
@@ -119,15 +116,16 @@ def _shipped_candidates(queries: pd.DataFrame, vectors: DataFrame, schema, k: in
     shared = vectors.sparkSession.sparkContext.broadcast(by_key)
 
     def best(found: list[pd.DataFrame]) -> pd.DataFrame:
-        ranked = pd.concat(found).sort_values(["query", "distance", "id"], kind="stable")
-        return ranked.groupby("query", sort=False).head(k)
+        ranked = pd.concat(found).sort_values(["query", "key", "distance", "id"], kind="stable")
+        return ranked.groupby(["query", "key"], sort=False).head(k)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
         for batch in batches:
             for key, block in batch.groupby("key"):
                 if key in shared.value:
-                    kept.append(block_candidates(*shared.value[key], block, k))
+                    found = block_candidates(*shared.value[key], block, k)
+                    kept.append(found.assign(key=key))
             if len(kept) > 8:
                 kept = [best(kept)]
         if kept:
@@ -162,10 +160,11 @@ def _blocked_candidates(queries: DataFrame, vectors: DataFrame, schema, k: int)
         "_qb", every("_nq")
     )
 
-    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    def search(group: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
-            return pd.DataFrame({"query": [], "id": [], "distance": []})
-        return block_candidates(q["query"].to_numpy(), unit_rows(q["vector"]), v, k)
+            return pd.DataFrame({"query": [], "key": [], "id": [], "distance": []})
+        found = block_candidates(q["query"].to_numpy(), unit_rows(q["vector"]), v, k)
+        return found.assign(key=group[0])
 
     keys = ["key", "_qb", "_vb"]
     return (
@@ -175,8 +174,8 @@ def _blocked_candidates(queries: DataFrame, vectors: DataFrame, schema, k: int)
     )
 
 
-def _ranked(candidates: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy("distance", "id")
+def _ranked(candidates: DataFrame, per: Sequence[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*per).orderBy("distance", "id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -184,7 +183,7 @@ def cosine_top_k(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 3,
-    match: Sequence[str] = (),
+    match: str | None = None,
     query_id: str = "query_id",
     vector_id: str = "vec_id",
     vector: str = "embedding",
@@ -192,33 +191,26 @@ def cosine_top_k(
 ) -> DataFrame:
     """The k vectors nearest to each query by cosine distance (0..2), ties by id.
 
-    With `match`, a query only meets vectors that agree on those columns, and
-    gets k of them per combination. Queries are shipped to the tasks if they
-    are few; that is found out by fetching at most `broadcast_rows` + 1.
+    With `match`, a query row only meets vectors with the same value of that
+    (string) column and gets k of them per value. Queries are shipped to the
+    tasks if they are few; at most `broadcast_rows` + 1 are fetched to find out.
     """
-    q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("vector"),
-                       _key_of(match).alias("key"), *match)
-    v = vectors.select(F.col(vector_id).alias("id"), F.col(vector).alias("vector"),
-                       _key_of(match).alias("key"))
+    key = F.col(match) if match else F.lit("")
+    q = queries.select(
+        F.col(query_id).alias("query"), F.col(vector).alias("vector"), key.alias("key")
+    )
+    v = vectors.select(
+        F.col(vector_id).alias("id"), F.col(vector).alias("vector"), key.alias("key")
+    )
     schema = _candidate_schema(q, v)
-    if match:
-        # one ranking per (query, key): the key becomes part of the query id
-        key_of_query = q.select("query", "key", *match).dropDuplicates(["query", "key"])
-        q = q.withColumn("query", F.struct("query", "key").cast("string"))
-        schema["query"].dataType = T.StringType()
-    sample = q.select("query", "vector", "key").limit(broadcast_rows + 1).toPandas()
-    numbers = sum(len(x) for x in sample["vector"])
-    if len(sample) <= broadcast_rows and numbers <= BROADCAST_NUMBERS:
-        candidates = _shipped_candidates(sample, v, schema, k)
+    few = q.limit(broadcast_rows + 1).toPandas()
+    numbers = sum(len(x) for x in few["vector"])
+    if len(few) <= broadcast_rows and numbers <= BROADCAST_NUMBERS:
+        candidates = _shipped_candidates(few, v, schema, k)
     else:
-        candidates = _blocked_candidates(q.select("query", "vector", "key"), v, schema, k)
-    best = _ranked(candidates, k)
-    if match:
-        named = key_of_query.withColumn("_name", F.struct("query", "key").cast("string"))
-        best = (
-            best.withColumnRenamed("query", "_name").join(named, "_name")
-            .select("query", *match, "id", "distance", "rank")
-        )
+        candidates = _blocked_candidates(q, v, schema, k)
+    best = _ranked(candidates, ["query", "key"], k)
+    best = best.withColumnRenamed("key", match) if match else best.drop("key")
     return best.withColumnsRenamed({"query": query_id, "id": vector_id})
 
 
@@ -262,7 +254,7 @@ def ann_top_k(
     q, v = buckets(qs, "query"), buckets(vs, "id")
     candidates = _blocked_candidates(q, v, _candidate_schema(q, v), k)
     found = candidates.groupBy("query", "id").agg(F.min("distance").alias("distance"))
-    return _ranked(found, k).withColumnsRenamed({"query": query_id, "id": vector_id})
+    return _ranked(found, ["query"], k).withColumnsRenamed({"query": query_id, "id": vector_id})
 
 
 def filtered_top_k(
@@ -305,7 +297,7 @@ def retrieve_tiers(questions: DataFrame, vectors: DataFrame, k: int = 3) -> Data
     """
     asked = question_tiers(questions)
     hits = cosine_top_k(
-        asked, vectors, k, match=["tier"], query_id="question_id", vector_id="chunk_id"
+        asked, vectors, k, match="tier", query_id="question_id", vector_id="chunk_id"
     )
     # hits are few next to the vectors; the adaptive planner broadcasts them if
     # they turn out small

@@ -14,6 +14,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A run sums up the progress of all its micro-batches.
+    "spark.sql.streaming.numRecentProgressUpdates": "100000",
 }
 
 
@@ -27,10 +29,10 @@ def build_session(app: str = "loglattice", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session zone for callers who bring their own session."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings results depend on to a session made elsewhere."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.numRecentProgressUpdates"):
+        spark.conf.set(key, ENGINE_CONF[key])
     return spark
 
 

@@ -10,10 +10,9 @@ def read_text_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") ->
     """Path, name, stem and whole text of every matching file; bytes that are
     not UTF-8 become the replacement character."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
-        .text(path)
+        .text(path, wholetext=True)
     )
     name = F.col("_metadata.file_name")
     return files.select(
