@@ -188,10 +188,17 @@ CONTACT_MESSAGE = (
 )
 SHORTLIST_MESSAGE = "Candidate added to shortlist. This is a portfolio demo."
 
-# Mail labels and the characters Python counts as white space.
+# Mail labels and the subject of a mail without one.
 JUNK_LABELS = ["CATEGORY_PROMOTIONS", "CATEGORY_UPDATES"]
 ANSWERED_LABELS = ["bot-replied", "auto-replied"]
 DEFAULT_SUBJECT = "(no subject)"
+
+# The characters Python counts as white space, as a string and
+# as a pattern.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )

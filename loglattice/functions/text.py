@@ -7,12 +7,12 @@ Patterns come from rules written for Unicode-aware engines. Java's `\\w`, `\\d`,
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import SPACE_CLASS
+from .fixed_values import SPACE_CLASS, SPACES
 
 EXACT = "(?U)"
 ANY_CASE = "(?iU)"
@@ -36,9 +36,25 @@ def apply_rules(
     return text
 
 
-def any_of(patterns: Iterable[str], flags: str = ANY_CASE) -> str:
-    """One pattern that matches where any of the given ones does."""
-    return flags + "|".join(f"(?:{p})" for p in patterns)
+def any_of(patterns: Sequence[str], starts: str = "", flags: str = ANY_CASE) -> str:
+    """One pattern that matches where any of the given ones does.
+
+    `starts` names the characters a match can begin with (lower case will do
+    where case is ignored), and a word border that all patterns begin with is
+    tested once. Both let the engine skip most positions instead of trying
+    every alternative there.
+    """
+    border = r"\b" if all(p.startswith(r"\b") for p in patterns) else ""
+    ahead = f"(?=[{starts}])" if starts else ""
+    choices = "|".join(f"(?:{p.removeprefix(border)})" for p in patterns)
+    return f"{flags}{border}{ahead}(?:{choices})"
+
+
+def word_initials(patterns: Sequence[str]) -> str:
+    """The initials of patterns that begin with a plain letter after `\\b`; empty
+    if one does not."""
+    heads = [p.removeprefix(r"\b")[:1] for p in patterns]
+    return "".join(sorted({h.lower() for h in heads})) if all(map(str.isalpha, heads)) else ""
 
 
 def matches(text: Column, pattern: str, flags: str = EXACT) -> Column:
@@ -56,7 +72,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 def strip(text: Column) -> Column:
     """Cut white space, Unicode included, from both ends."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import ANY_CASE, EXACT, any_of, apply_rules, matches, replace_all, words
+from ..functions.text import (
+    ANY_CASE, EXACT, any_of, apply_rules, matches, replace_all, strip, word_initials, words,
+)
 
 Rules = Iterable[tuple[str, str]]
 
@@ -131,13 +133,14 @@ def anonymized(
     organisation_rules = list(organisation_rules)
     text = apply_rules(text, [*fv.DOCUMENT_PII_RULES, *person_rules])
     if organisation_rules:
-        named = matches(text, any_of([p for p, _ in organisation_rules]), "")
+        patterns = [p for p, _ in organisation_rules]
+        named = matches(text, any_of(patterns, word_initials(patterns)), "")
         text = F.when(named, apply_rules(text, organisation_rules)).otherwise(text)
     text = apply_rules(text, [(p, fv.INTERVIEWER_LABEL) for p in _names(interviewers)])
     text = replace_all(text, fv.CREDIT_LINE_ANY_CASE, "", "(?dimU)")
     text = replace_all(text, fv.CREDIT_LINE_AS_WRITTEN, "", "(?dmU)")
     text = replace_all(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, f"^{fv.SPACE_CLASS}+|{fv.SPACE_CLASS}+$", "")
+    return strip(text)
 
 
 def anonymize_documents(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
@@ -186,7 +189,7 @@ def detect_pii(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def withhold_pii(texts: DataFrame, text: str = "text") -> DataFrame:
     """The text, or a fixed message if it holds personal data."""
-    hit = matches(F.col(text), any_of([p for p, _ in fv.PII_KINDS], EXACT), "")
+    hit = matches(F.col(text), any_of([p for p, _ in fv.PII_KINDS], "0-9", EXACT), "")
     return texts.withColumn(text, F.when(hit, fv.WITHHELD_MESSAGE).otherwise(F.col(text)))
 
 

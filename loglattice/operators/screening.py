@@ -14,6 +14,8 @@ from ..functions import fixed_values as fv
 from ..functions.text import ANY_CASE, any_of, contains_any, strip, truncated
 
 MAX_CHARS = 500
+# what a match of an injection pattern can begin with
+INJECTION_STARTS = r"adijprswy\[<"
 MAX_MESSAGES = 10
 FLAG_SECONDS = 300
 
@@ -67,7 +69,7 @@ def injection_match(text: Column) -> Column:
         F.nullif(F.regexp_extract(text, ANY_CASE + p, 0), F.lit(""))
         for p in fv.INJECTION_PATTERNS
     ]
-    return F.when(text.rlike(any_of(fv.INJECTION_PATTERNS)), F.coalesce(*hits))
+    return F.when(text.rlike(any_of(fv.INJECTION_PATTERNS, INJECTION_STARTS)), F.coalesce(*hits))
 
 
 def detect_injection(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -82,30 +84,45 @@ def suspicious_phrases(texts: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
-def _with_last_injection(requests: DataFrame, ttl: int) -> DataFrame:
+def newest_per_slice(requests: DataFrame, ttl: int = FLAG_SECONDS) -> DataFrame:
+    """The last injection of each address in each slice of `ttl` seconds."""
+    return (
+        requests.where("is_injection")
+        .groupBy("client_ip", _slice(ttl).alias("_slice"))
+        .agg(F.max("ts").alias("ts"))
+    )
+
+
+def _slice(ttl: int) -> Column:
+    return F.floor(F.unix_micros("ts") / F.lit(ttl * 1_000_000))
+
+
+def _with_last_injection(
+    requests: DataFrame, ttl: int, earlier: DataFrame | None = None
+) -> DataFrame:
     """Adds `_slice` and `_last`, the newest injection before each request.
 
     Time is cut into slices of the flag's lifetime. A flag that still holds was
     set in the request's own slice or the one before, so each slice gets one
     carried row per address, the last injection of the slice before it, and is
-    ordered on its own.
+    ordered on its own. `earlier` holds injections (client_ip, ts) known from
+    before; they only arm flags.
     """
-    span = ttl * 1_000_000
-    rows = requests.select("query_id", "client_ip", "ts", "is_injection").withColumn(
-        "_slice", F.floor(F.unix_micros("ts") / F.lit(span))
-    )
-    carried = (
-        rows.where("is_injection")
-        .groupBy("client_ip", "_slice")
-        .agg(F.max("ts").alias("ts"))
-        .select(
-            F.lit(None).cast("bigint").alias("query_id"),
-            "client_ip",
-            "ts",
-            F.lit(True).alias("is_injection"),
-            (F.col("_slice") + 1).alias("_slice"),
-            F.lit(True).alias("_carried"),
+
+    def armed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.lit(None).cast("bigint").alias("query_id"), "client_ip", "ts",
+            F.lit(True).alias("is_injection"), F.lit(True).alias("_carried"), "_slice",
         )
+
+    rows = requests.select(
+        "query_id", "client_ip", "ts", "is_injection",
+        F.lit(False).alias("_carried"), _slice(ttl).alias("_slice"),
+    )
+    if earlier is not None:
+        rows = rows.unionByName(armed(earlier.withColumn("_slice", _slice(ttl))))
+    carried = armed(
+        newest_per_slice(rows, ttl).withColumn("_slice", F.col("_slice") + 1)
     )
     before = (
         Window.partitionBy("client_ip", "_slice")
@@ -113,8 +130,7 @@ def _with_last_injection(requests: DataFrame, ttl: int) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        rows.withColumn("_carried", F.lit(False))
-        .unionByName(carried)
+        rows.unionByName(carried)
         .withColumn("_last", F.max(F.when(F.col("is_injection"), F.col("ts"))).over(before))
         .where(~F.col("_carried"))
         .drop("_carried")
@@ -126,10 +142,12 @@ def _flagged(ttl: int) -> Column:
     return F.coalesce(age < ttl * 1_000_000, F.lit(False))
 
 
-def flagged_requests(requests: DataFrame, ttl: int = FLAG_SECONDS) -> DataFrame:
+def flagged_requests(
+    requests: DataFrame, ttl: int = FLAG_SECONDS, earlier: DataFrame | None = None
+) -> DataFrame:
     """Which requests are deflected: injections, and any request whose address
     injected less than `ttl` seconds before it."""
-    return _with_last_injection(requests, ttl).select(
+    return _with_last_injection(requests, ttl, earlier).select(
         "query_id",
         "client_ip",
         "ts",

@@ -305,8 +305,16 @@ def sync_status(spark, sf):
 # -- documents -----------------------------------------------------------------
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores (one small file, say) dealt
+    out for row-wise work that is bound by the processor. A large table has
+    splits enough and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _documents(spark, sf) -> DataFrame:
-    return d.probe_documents(d.table(spark, sf, "documents"))
+    return d.probe_documents(_spread(d.table(spark, sf, "documents")))
 
 
 @query
@@ -358,7 +366,7 @@ def anonymize_documents(spark, sf):
 
 
 def _files(spark, sf) -> DataFrame:
-    return d.corpus_files(d.table(spark, sf, "documents"))
+    return d.corpus_files(_spread(d.table(spark, sf, "documents")))
 
 
 @query
@@ -431,7 +439,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 def embed_chunks(spark, sf):
     """Line chunks of all documents, encoded by hashed TF-IDF."""
     chunks = docs.chunk_lines(
-        d.table(spark, sf, "documents").select(d.tier_of(F.col("doc_id")).alias("tier"),
+        _spread(d.table(spark, sf, "documents")).select(d.tier_of(F.col("doc_id")).alias("tier"),
                                                "doc_id", "text")
     )
     return retrieval.embed_chunks(chunks).select(
@@ -692,8 +700,9 @@ def stream_rate_limit(spark, sf):
 def stream_ip_flags(spark, sf):
     path, checkpoint = _paths(spark)
     requests = d.screened_requests(_event_stream(spark, sf))
-    flag_streams.stream_ip_flags(requests, path, checkpoint, LONG_TTL).checked()
-    return spark.read.parquet(path)
+    armed = scratch_path(spark, "armed")
+    flag_streams.stream_ip_flags(requests, path, armed, checkpoint, LONG_TTL).checked()
+    return spark.read.parquet(path).drop("batch_id")
 
 
 @query

@@ -1,80 +1,62 @@
-"""Timed flags as keyed state.
-
-State is kept per (address, slice of the flag's lifetime), and an injection is
-also sent to the slice after its own, the only other one it can reach. So an
-address with a third of the traffic is many short-lived keys, and its state is
-freed as soon as the watermark leaves the slice.
+"""Timed flags over a stream of requests.
+
+Each micro-batch is screened by the batch operator, together with the
+injections that earlier batches left armed. What stays armed is a small table,
+one row per address and slice of the flag's lifetime, written per batch next to
+the verdicts. So an address with a third of the traffic is never one state
+object or one group in Python, and a batch that is run again reads the same
+table and replaces the same output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.screening import FLAG_SECONDS
-from .logs import append_log_stream
-from .runner import StreamRun
-from .windows import LATENESS
+from pyspark.sql import types as T
 
-NEVER = np.iinfo(np.int64).min // 2
-VERDICT = "query_id bigint, client_ip string, ts_us bigint, is_injection boolean, deflected boolean"
+from ..operators.screening import FLAG_SECONDS, flagged_requests, newest_per_slice
+from ..session import path_exists
+from .runner import StreamRun, run_available, write_batch
 
+LATENESS_SECONDS = 600
+ARMED = T.StructType(
+    [T.StructField("client_ip", T.StringType()), T.StructField("ts", T.TimestampType())]
+)
 
-def _deflections(rows: pd.DataFrame, last: int, span: int) -> tuple[pd.DataFrame, int]:
-    """Verdicts on one key's new rows, and the newest injection after them."""
-    rows = rows.sort_values(["ts_us", "carried", "query_id"], ascending=[True, False, True])
-    at, injects = rows["ts_us"].to_numpy(), rows["is_injection"].to_numpy()
-    newest = np.maximum.accumulate(np.concatenate([[last], np.where(injects, at, NEVER)]))
-    rows["deflected"] = injects | (at - newest[:-1] < span)
-    return rows[~rows["carried"]], int(newest[-1])
 
+def _armed_before(spark, path: str, batch_id: int) -> DataFrame:
+    previous = f"{path}/batch_id={batch_id - 1}"
+    if path_exists(spark, previous):
+        return spark.read.schema(ARMED).parquet(previous)
+    return spark.createDataFrame([], ARMED)
 
-def flag_stream(requests: DataFrame, ttl: int = FLAG_SECONDS) -> DataFrame:
-    """A stream of requests with their verdicts."""
-    span = ttl * 1_000_000
 
-    def screen(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else NEVER
-        verdicts, last = _deflections(pd.concat(list(batches)), last, span)
-        slice_end_ms = (int(key[1]) + 1) * ttl * 1000
-        if slice_end_ms > state.getCurrentWatermarkMs():
-            state.update((last,))
-            state.setTimeoutTimestamp(slice_end_ms)
-        yield verdicts[["query_id", "client_ip", "ts_us", "is_injection", "deflected"]]
+def screen_batch(
+    requests: DataFrame, batch_id: int, verdicts: str, armed: str, ttl: int = FLAG_SECONDS
+) -> None:
+    """Write one micro-batch's verdicts and the injections armed after it.
 
-    own = F.floor(F.unix_micros("ts") / F.lit(span))
-    reach = F.when(F.col("is_injection"), F.array(own, own + 1)).otherwise(F.array(own))
-    return (
-        requests.withWatermark("ts", LATENESS)
-        .select(
-            "query_id", "client_ip", "ts", "is_injection",
-            F.unix_micros("ts").alias("ts_us"),
-            F.posexplode(reach).alias("_step", "slice"),
-        )
-        .withColumn("carried", F.col("_step") == 1)
-        .drop("_step")
-        .groupBy("client_ip", "slice")
-        .applyInPandasWithState(
-            screen, VERDICT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
-        )
-        .select(
-            "query_id", "client_ip", F.timestamp_micros("ts_us").alias("ts"),
-            "is_injection", "deflected",
-        )
+    Injections are kept until no request can meet them, one that comes ten
+    minutes late included.
+    """
+    earlier = _armed_before(requests.sparkSession, armed, batch_id)
+    write_batch(flagged_requests(requests, ttl, earlier), verdicts, batch_id)
+    known = requests.select("client_ip", "ts", "is_injection").unionByName(
+        earlier.withColumn("is_injection", F.lit(True))
     )
+    horizon = known.agg(F.max("ts")).scalar() - F.make_dt_interval(
+        secs=F.lit(ttl + LATENESS_SECONDS)
+    )
+    still = newest_per_slice(known, ttl).where(F.col("ts") > horizon)
+    write_batch(still.select("client_ip", "ts"), armed, batch_id)
 
 
 def stream_ip_flags(
-    requests: DataFrame, path: str, checkpoint: str, ttl: int = FLAG_SECONDS
+    requests: DataFrame, verdicts: str, armed: str, checkpoint: str, ttl: int = FLAG_SECONDS
 ) -> StreamRun:
-    return append_log_stream(flag_stream(requests, ttl), path, checkpoint)
+    """Verdicts on a stream of requests. Flag counts are `flag_counts` of the
+    verdict table."""
+    writer = requests.writeStream.foreachBatch(
+        lambda df, batch_id: screen_batch(df, batch_id, verdicts, armed, ttl)
+    )
+    return run_available(writer, checkpoint)
