@@ -33,30 +33,32 @@ def mean_of(total_thousandths: Column, n: Column, digits: int = 2) -> Column:
     return F.round(ratio / 1000, digits)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows (`_n`) per key and value, NULL included. It combines on the map
+    side, so a key that holds a third of the log is never sorted whole."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    counts: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact discrete quantiles per key: one row per key, one column per prob.
-
-    The smallest value whose cumulative share reaches p, NULLs ignored. Rows
-    are first counted per (key, value), which combines on the map side, so a
-    key that holds a third of the log is never sorted whole. Running totals
-    are then taken over whole units of the value and only the unit that holds
-    a quantile is looked at value by value.
+    """Exact discrete quantiles from `value_counts`: one row per key, one column
+    per prob.
+
+    The smallest value whose cumulative share reaches p, NULLs ignored. Running
+    totals are taken over whole units of the value; only the unit that holds a
+    quantile is looked at value by value. Both passes, and whatever else is
+    computed from the same counts, read one shuffle: no predicate on the value
+    is used that could be pushed below it and make the plans differ.
     """
     keys = list(keys)
-    unit = F.floor(F.col(value))
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_unit", unit)
-    )
-    units = counts.groupBy(*keys, "_unit").agg(F.sum("_n").alias("_n"))
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    running = per_key.orderBy("_unit").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    known = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
+    unit = F.coalesce(F.floor(F.col(value)), F.lit(-(2**62)))  # NULLs apart
+    counts = counts.withColumn("_unit", unit).withColumn("_known", known)
+    units = counts.groupBy(*keys, "_unit").agg(F.sum("_known").alias("_n"))
+    per_key = Window.partitionBy(*keys)
+    upto_here = (Window.unboundedPreceding, Window.currentRow)
+    running = per_key.orderBy("_unit").rowsBetween(*upto_here)
     targets = F.array(
         *[
             F.struct(
@@ -66,32 +68,25 @@ def exact_quantiles(
             for name, p in probs.items()
         ]
     )
+    below = F.col("_upto") - F.col("_n")
     hits = (
         units.withColumn("_upto", F.sum("_n").over(running))
         .withColumn("_total", F.sum("_n").over(per_key))
         .withColumn("_t", F.explode(targets))
-        .where(
-            (F.col("_t.rank") <= F.col("_upto"))
-            & (F.col("_t.rank") > F.col("_upto") - F.col("_n"))
-        )
+        .where((F.col("_t.rank") <= F.col("_upto")) & (F.col("_t.rank") > below))
         .select(
-            *keys,
-            "_unit",
+            *[F.col(k).alias(f"_h_{k}") for k in keys],
+            F.col("_unit").alias("_h_unit"),
             F.col("_t.name").alias("_name"),
-            (F.col("_t.rank") - (F.col("_upto") - F.col("_n"))).alias("_rest"),
+            (F.col("_t.rank") - below).alias("_rest"),
         )
     )
-    inside = Window.partitionBy(*keys, "_name").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    same = [F.col("_unit") == F.col("_h_unit")]
+    same += [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    inside = Window.partitionBy(*keys, "_name").orderBy(value).rowsBetween(*upto_here)
     picked = (
-        counts.select(*[F.col(k).alias(f"_l_{k}") for k in keys], "_unit", value, "_n")
-        .join(
-            hits.withColumnRenamed("_unit", "_hit_unit"),
-            [F.col("_unit") == F.col("_hit_unit")]
-            + [F.col(f"_l_{k}").eqNullSafe(F.col(k)) for k in keys],
-        )
-        .withColumn("_upto", F.sum("_n").over(inside))
+        counts.join(hits, same)
+        .withColumn("_upto", F.sum("_known").over(inside))
         .where(F.col("_upto") >= F.col("_rest"))
     )
     return picked.groupBy(*keys).agg(
@@ -103,7 +98,8 @@ def approx_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """The same from one mergeable sketch per key; rank error 1/accuracy."""
+    """Quantiles of the rows from one mergeable sketch per key; rank error
+    1/accuracy."""
     sketch = F.percentile_approx(value, list(probs.values()), accuracy)
     return df.groupBy(*keys).agg(sketch.alias("_q")).select(
         *keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import approx_quantiles, exact_quantiles
+from ..functions.stats import approx_quantiles, exact_quantiles, value_counts
 from ..functions.times import iso_utc
 
 
@@ -47,8 +47,10 @@ def top_domains_map(log: DataFrame, n: int = 10) -> DataFrame:
 
 def latency_percentiles(log: DataFrame, approximate: bool = False) -> DataFrame:
     """p50, p95 and p99 of the response time."""
-    quantiles = approx_quantiles if approximate else exact_quantiles
-    return quantiles(log, [], "response_time_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    probs, value = {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "response_time_ms"
+    if approximate:
+        return approx_quantiles(log, [], value, probs)
+    return exact_quantiles(value_counts(log, [], value), [], value, probs)
 
 
 def distinct_values(log: DataFrame, column: str | Column, limit: int = 5) -> DataFrame:

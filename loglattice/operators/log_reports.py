@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.stats import (
-    approx_quantiles, exact_quantiles, mean, mean_of, percent, thousandths,
+    approx_quantiles, exact_quantiles, mean, mean_of, percent, thousandths, value_counts,
 )
 from ..functions.times import as_of_column, back, since
 
@@ -29,10 +29,6 @@ def _hits():
     return F.count(F.lit(1))
 
 
-def _quantiles(approximate: bool):
-    return approx_quantiles if approximate else exact_quantiles
-
-
 def domain_hits(log: DataFrame) -> DataFrame:
     """Requests per domain, busiest first."""
     return (
@@ -143,20 +139,27 @@ def endpoint_quantiles(
     )
     keys = ["recruiter_domain", "endpoint_path"]
     return _with_quantiles(
-        window, keys, [_hits().alias("hits")],
-        {"p95_response_ms": 0.95, "p50_response_ms": 0.5}, approximate,
+        window, keys, {"p95_response_ms": 0.95, "p50_response_ms": 0.5}, approximate
     ).orderBy(F.desc("hits"), *keys)
 
 
-def _with_quantiles(rows, keys, aggregates, probs, approximate) -> DataFrame:
-    """Plain aggregates and quantiles side by side, one row per key."""
-    plain = rows.groupBy(*keys).agg(*aggregates)
-    quantiles = _quantiles(approximate)(rows, keys, LATENCY, probs)
-    renamed = quantiles.select(
-        *[F.col(k).alias(f"_q_{k}") for k in keys], *probs
-    )
-    same_key = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
-    return plain.join(renamed, same_key, "left").drop(*[f"_q_{k}" for k in keys])
+def _with_quantiles(rows, keys, probs, approximate, mean_name=None) -> DataFrame:
+    """Hits, optionally the mean latency, and latency quantiles per key."""
+    if approximate:
+        extra = [mean(F.col(LATENCY)).alias(mean_name)] if mean_name else []
+        plain = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"), *extra)
+        quantiles = approx_quantiles(rows, keys, LATENCY, probs)
+    else:
+        counts = value_counts(rows, keys, LATENCY)
+        n = F.col("_n")
+        total = F.sum(thousandths(F.col(LATENCY)) * n)
+        known = F.sum(F.when(F.col(LATENCY).isNotNull(), n))
+        extra = [mean_of(total, known).alias(mean_name)] if mean_name else []
+        plain = counts.groupBy(*keys).agg(F.sum(n).alias("hits"), *extra)
+        quantiles = exact_quantiles(counts, keys, LATENCY, probs)
+    renamed = quantiles.withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys]
+    return plain.join(renamed, same, "left").drop(*[f"_q_{k}" for k in keys])
 
 
 def recent_top_domains(
@@ -191,9 +194,9 @@ def endpoint_popularity(
     return _with_quantiles(
         since(log, as_of, days=days),
         ["endpoint_path"],
-        [_hits().alias("hits"), mean(F.col(LATENCY)).alias("avg_latency_ms")],
         {"p95_latency_ms": 0.95},
         approximate,
+        "avg_latency_ms",
     ).orderBy(F.desc("hits"), "endpoint_path")
 
 

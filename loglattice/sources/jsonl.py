@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import WEAK_MATCH
@@ -18,16 +19,12 @@ def read_jsonl_tolerant(
     spark: SparkSession, path: str, schema: T.StructType = WEAK_MATCH
 ) -> DataFrame:
     """All readable records; blank and corrupt lines are skipped and a path
-    that does not exist holds no records."""
+    that does not exist holds no records.
+
+    Lines are checked one by one, not by the reader's own mode, whose notion of
+    a corrupt line depends on the columns a query happens to need.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    # With column pruning a corrupt line would pass as a row of NULLs in a
-    # query that needs no column, so the check is on the record itself.
-    marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = (
-        spark.read.schema(marked)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
-    return rows.where(rows["_corrupt"].isNull()).select(*schema.fieldNames())
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")

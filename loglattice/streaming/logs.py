@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+import logging
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import weak_matches
@@ -11,6 +14,8 @@ from ..schemas import LIVE_LOG
 from ..session import path_exists
 from .runner import StreamRun, run_available, write_batch
 
+logger = logging.getLogger(__name__)
+
 
 def append_log_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamRun:
     """Append a stream of log rows to a parquet log."""
@@ -35,43 +40,45 @@ def stream_weak_matches(results: DataFrame, path: str, checkpoint: str) -> Strea
     return run_available(writer, checkpoint)
 
 
-def _not_loaded_before(rows: DataFrame, warehouse: str, batch_id: int) -> DataFrame:
-    """Rows whose id no other batch has loaded.
-
-    Only the days of this batch are looked up, and only the id column is read.
-    """
-    spark = rows.sparkSession
-    if not path_exists(spark, warehouse):
-        return rows
-    days = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-    if days["first"] is None:
-        return rows
-    loaded = (
+def _loaded_by_others(
+    spark: SparkSession, warehouse: str, batch_id: int, first: dt.date, last: dt.date
+) -> DataFrame:
+    """Ids other batches have loaded for the given days; one column is read."""
+    return (
         spark.read.parquet(warehouse)
-        .where(F.col("date").between(F.lit(days["first"]), F.lit(days["last"])))
+        .where(F.col("date").between(F.lit(first), F.lit(last)))
         .where(F.col("batch_id") != batch_id)
-        .select("date", "query_id")
+        .select("query_id")
     )
-    return rows.join(loaded, ["date", "query_id"], "left_anti")
 
 
-def load_batch(log: DataFrame, batch_id: int, warehouse: str, ledger: str) -> None:
-    """Load one micro-batch and record its ids.
+def load_batch(log: DataFrame, batch_id: int, warehouse: str, ledger: str) -> tuple[int, int]:
+    """Load one micro-batch, record its ids; rows fetched and rows loaded.
 
+    A row that comes twice, in this batch or an earlier one, is loaded once.
     Both writes replace the batch's own partitions, so a crash between them, or
     in the middle of one, is repaired by running the batch again.
     """
-    rows = to_warehouse(log.dropDuplicates(["query_id"]))
-    fresh = _not_loaded_before(rows, warehouse, batch_id).hint("rebalance", "date")
-    write_batch(fresh, warehouse, batch_id, ("date",))
     spark = log.sparkSession
+    rows = to_warehouse(log)
+    facts = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    ).first()
+    if not facts["n"]:
+        return 0, 0
+    fresh = rows.dropDuplicates(["query_id"])
     if path_exists(spark, warehouse):
-        loaded = spark.read.parquet(warehouse).where(F.col("batch_id") == batch_id)
+        loaded = _loaded_by_others(spark, warehouse, batch_id, facts["first"], facts["last"])
+        fresh = fresh.join(loaded, "query_id", "left_anti")
+    counted = Observation("loaded")
+    fresh = fresh.observe(counted, F.count(F.lit(1)).alias("n"))
+    write_batch(fresh.hint("rebalance", "date"), warehouse, batch_id, ("date",))
+    if counted.get["n"]:
+        ids = spark.read.parquet(warehouse).where(F.col("batch_id") == batch_id)
         write_batch(
-            loaded.select("query_id", F.current_timestamp().alias("synced_at")),
-            ledger,
-            batch_id,
+            ids.select("query_id", F.current_timestamp().alias("synced_at")), ledger, batch_id
         )
+    return facts["n"], counted.get["n"]
 
 
 def run_sync(
@@ -87,6 +94,9 @@ def run_sync(
     The checkpoint takes the place of a synced flag, and the scheduler that
     calls this decides the cadence. `max_files` bounds a micro-batch.
     """
+    if not path_exists(spark, source):
+        logger.error("nothing to sync at %s", source)
+        return _summary(spark, 0, 0, False)
     reader = spark.readStream.schema(LIVE_LOG)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -95,18 +105,19 @@ def run_sync(
 
 def sync_stream(log: DataFrame, warehouse: str, ledger: str, checkpoint: str) -> DataFrame:
     """The same from a stream of live-log rows."""
-    spark = log.sparkSession
+    counts: list[tuple[int, int]] = []
     writer = log.writeStream.foreachBatch(
-        lambda df, batch_id: load_batch(df, batch_id, warehouse, ledger)
+        lambda df, batch_id: counts.append(load_batch(df, batch_id, warehouse, ledger))
     )
     run = run_available(writer, checkpoint)
-    loaded = 0
-    if run.batches and path_exists(spark, ledger):
-        rows = spark.read.parquet(ledger)
-        loaded = rows.where(F.col("batch_id").isin(list(run.batches))).count()
+    fetched, loaded = sum(c[0] for c in counts), sum(c[1] for c in counts)
+    return _summary(log.sparkSession, fetched, loaded, run.success)
+
+
+def _summary(spark: SparkSession, fetched: int, loaded: int, success: bool) -> DataFrame:
     return spark.range(1).select(
-        F.lit(run.rows_read).alias("records_fetched"),
+        F.lit(fetched).alias("records_fetched"),
         F.lit(loaded).alias("records_loaded"),
-        F.lit(run.success).alias("success"),
+        F.lit(success).alias("success"),
         F.current_timestamp().alias("timestamp"),
     )

@@ -18,9 +18,7 @@ class StreamRun:
     """What one run of a stream did."""
 
     success: bool
-    rows_read: int = 0
     rows_late: int = 0
-    batches: tuple[int, ...] = ()
 
     def checked(self) -> StreamRun:
         """Itself, or an error for callers that read the output right away."""
@@ -45,9 +43,7 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamRun:
     progress = query.recentProgress if query else []
     return StreamRun(
         success,
-        sum(p["numInputRows"] for p in progress),
         sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]),
-        tuple(sorted({p["batchId"] for p in progress if p["numInputRows"]})),
     )
 
 
