@@ -134,18 +134,23 @@ def _shipped_candidates(queries: pd.DataFrame, vectors: DataFrame, schema, k: in
     return vectors.mapInPandas(scan, schema)
 
 
-def _blocked_candidates(queries: DataFrame, vectors: DataFrame, schema, k: int) -> DataFrame:
+def _blocked_candidates(
+    queries: DataFrame, vectors: DataFrame, schema, k: int, keyed: bool = True
+) -> DataFrame:
     """Candidates of (query block, vector block) pairs of the same key.
 
     A key is cut into as many blocks as its rows need on either side, so a key
     with a third of all rows is many groups of bounded size, not one.
     """
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
-        return df.groupBy("key").agg(n.alias(name))
-
-    plan = blocks(queries, "_nq").join(blocks(vectors, "_nv"), "key")
+    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).cast("int")
+    if keyed:
+        plan = queries.groupBy("key").agg(n.alias("_nq")).join(
+            vectors.groupBy("key").agg(n.alias("_nv")), "key"
+        )
+        queries, vectors = queries.join(plan, "key"), vectors.join(plan, "key")
+    else:  # one key: two numbers, no join
+        sizes = {"_nq": queries.agg(n).scalar(), "_nv": vectors.agg(n).scalar()}
+        queries, vectors = queries.withColumns(sizes), vectors.withColumns(sizes)
 
     def own(id_column: str, n: str) -> Column:
         return F.pmod(F.xxhash64(id_column), F.col(n)).cast("int")
@@ -153,16 +158,12 @@ def _blocked_candidates(queries: DataFrame, vectors: DataFrame, schema, k: int)
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = queries.join(plan, "key").withColumn("_qb", own("query", "_nq")).withColumn(
-        "_vb", every("_nv")
-    )
-    right = vectors.join(plan, "key").withColumn("_vb", own("id", "_nv")).withColumn(
-        "_qb", every("_nq")
-    )
+    left = queries.withColumn("_qb", own("query", "_nq")).withColumn("_vb", every("_nv"))
+    right = vectors.withColumn("_vb", own("id", "_nv")).withColumn("_qb", every("_nq"))
 
     def search(group: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
-            return pd.DataFrame({"query": [], "key": [], "id": [], "distance": []})
+            return pd.DataFrame()
         found = block_candidates(q["query"].to_numpy(), unit_rows(q["vector"]), v, k)
         return found.assign(key=group[0])
 
@@ -208,7 +209,7 @@ def cosine_top_k(
     if len(few) <= broadcast_rows and numbers <= BROADCAST_NUMBERS:
         candidates = _shipped_candidates(few, v, schema, k)
     else:
-        candidates = _blocked_candidates(q, v, schema, k)
+        candidates = _blocked_candidates(q, v, schema, k, keyed=match is not None)
     best = _ranked(candidates, ["query", "key"], k)
     best = best.withColumnRenamed("key", match) if match else best.drop("key")
     return best.withColumnsRenamed({"query": query_id, "id": vector_id})

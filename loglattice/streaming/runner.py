@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamRun:
         )
         query.awaitTermination()
         success = True
-    except PySparkException as error:
+    except (PySparkException, Py4JError) as error:
         logger.error("stream failed: %s", error)
         success = False
     progress = query.recentProgress if query else []
