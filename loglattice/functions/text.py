@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import SPACE_CLASS, SPACES
+from .fixed_values import SPACES
 
 EXACT = "(?U)"
 ANY_CASE = "(?iU)"
@@ -75,11 +75,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def words(text: Column) -> Column:
-    """The words of a text; no word for a blank one."""
-    return F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
-
-
 def truncated(text: Column, limit: int, tail: str = "...") -> Column:
     """The text, or its first characters and a tail that fit in `limit`."""
     cut = F.concat(F.substring(text, 1, limit - len(tail)), F.lit(tail))

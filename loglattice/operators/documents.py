@@ -5,6 +5,7 @@ All row-wise: no document ever leaves its row, so nothing here shuffles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from itertools import accumulate
 
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.arrays import exploded
 from ..functions.text import (
-    ANY_CASE, EXACT, any_of, apply_rules, matches, replace_all, strip, word_initials, words,
+    ANY_CASE, EXACT, any_of, apply_rules, matches, replace_all, strip, word_initials,
 )
 
 Rules = Iterable[tuple[str, str]]
@@ -49,9 +51,8 @@ def chunk_lines(
         return texts.map(lambda t: [] if t is None else line_chunks(t, size, overlap))
 
     keep = [c for c in docs.columns if c != text]
-    return docs.withColumn("_chunks", split_texts(text)).select(
-        *keep, F.posexplode("_chunks").alias("chunk_index", "text")
-    )
+    split = docs.withColumn("_chunks", split_texts(text))
+    return exploded(split, keep, "_chunks", "chunk_index", "text")
 
 
 def chunk_words(
@@ -60,22 +61,35 @@ def chunk_words(
     """Overlapping chunks of about `size` tokens, at 0.75 words a token."""
     length, shared = int(size * 0.75), int(overlap * 0.75)
     stride = length - shared
-    total = F.ceil(F.size("_words") / F.lit(stride)).cast("int")
-    keep = [c for c in docs.columns if c != text]
-    return (
-        docs.withColumn("_words", words(F.col(text)))
-        .withColumn("total_chunks", total)
-        .where(F.col("total_chunks") > 0)
-        .withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
-        .select(
-            *keep,
-            "chunk_index",
-            "total_chunks",
-            F.array_join(
-                F.slice("_words", F.col("chunk_index") * stride + 1, F.lit(length)), " "
-            ).alias("text"),
-        )
+    spaced = F.regexp_replace(strip(F.col(text)), f"{fv.SPACE_CLASS}+", " ")
+    # One pass cuts the text into runs of `stride` words; a chunk is its run and
+    # the first `shared` words of what follows. Arrays of words would be copied
+    # whole for every slice.
+    runs = F.col("_runs")
+    following = math.ceil(shared / stride)
+    chunks = F.transform(
+        runs,
+        lambda run, i: F.btrim(
+            F.concat(
+                run,
+                F.regexp_extract(
+                    F.array_join(F.slice(runs, i + 2, F.lit(following)), ""),
+                    _first_words(shared), 0,
+                ),
+            )
+        ),
     )
+    keep = [c for c in docs.columns if c != text]
+    chunked = docs.withColumn(
+        "_runs", F.regexp_extract_all(spaced, F.lit(_first_words(stride)), F.lit(0))
+    ).select(*keep, chunks.alias("_chunks"))
+    total = F.size("_chunks").alias("total_chunks")
+    return exploded(chunked, [*keep, total], "_chunks", "chunk_index", "text")
+
+
+def _first_words(n: int) -> str:
+    """Up to n words of a text whose words are one space apart."""
+    return rf"(?:[^ ]++ ?+){{{min(n, 1)},{n}}}+"
 
 
 def tag_documents(
@@ -221,19 +235,17 @@ def denylist_scan(
     excluded = name.isin(list(exclude_files)) | F.arrays_overlap(
         folders, F.array(*[F.lit(d) for d in exclude_dirs])
     )
-    lines = files.where(wanted & ~excluded).select(
-        "path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    scanned = files.where(wanted & ~excluded).withColumn("_lines", F.split("text", "\n"))
+    lines = exploded(scanned, ["path"], "_lines", "line_no", "line").withColumn(
+        "line_no", F.col("line_no") + 1
     )
     if not patterns:
         return lines.where(F.lit(False)).withColumn("pattern", F.lit(""))
     hits = F.array_compact(
         F.array(*[F.when(matches(F.col("line"), p, ANY_CASE), p) for p in patterns])
     )
-    return (
-        lines.where(matches(F.col("line"), any_of(patterns), ""))
-        .withColumn("pattern", F.explode(hits))
-        .withColumn("line_no", F.col("line_no") + 1)
-    )
+    suspects = lines.where(matches(F.col("line"), any_of(patterns), "")).withColumn("_hits", hits)
+    return exploded(suspects, ["path", "line_no", "line"], "_hits", "_", "pattern").drop("_")
 
 
 def denylist_verdict(hits: DataFrame) -> DataFrame:

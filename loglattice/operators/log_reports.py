@@ -201,9 +201,17 @@ def endpoint_popularity(
 
 
 def load_health(log: DataFrame, limit: int = 7) -> DataFrame:
-    """Rows, extent and distinct domains of the newest request days."""
+    """Rows, extent and distinct domains of the newest request days.
+
+    The days are found first, so a table partitioned by `date` is read for
+    these days only. The broadcast side has `limit` rows.
+    """
+    if "date" not in log.columns:
+        log = log.withColumn("date", F.to_date("request_timestamp"))
+    days = log.select("date").distinct().orderBy(F.desc("date")).limit(limit)
     return (
-        log.groupBy(F.to_date("request_timestamp").alias("sync_date"))
+        log.join(F.broadcast(days), "date", "left_semi")
+        .groupBy(F.col("date").alias("sync_date"))
         .agg(
             _hits().alias("records"),
             F.min("request_timestamp").alias("earliest"),
@@ -211,7 +219,6 @@ def load_health(log: DataFrame, limit: int = 7) -> DataFrame:
             F.count_distinct("recruiter_domain").alias("unique_domains"),
         )
         .orderBy(F.desc("sync_date"))
-        .limit(limit)
     )
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
+from ..functions.arrays import exploded
 from ..functions.text import contains_any
 from ..functions.times import iso_utc
 from ..functions.vectors import block_candidates, unit_rows
@@ -246,11 +247,9 @@ def ann_top_k(
     ).fit(vs)
 
     def buckets(df: DataFrame, name: str) -> DataFrame:
-        exploded = lsh.transform(df).select(
-            name, "vector", F.posexplode("hashes").alias("_table", "_hash")
-        )
+        rows = exploded(lsh.transform(df), [name, "vector"], "hashes", "_table", "_hash")
         bucket = F.get(vector_to_array("_hash"), F.lit(0)).cast("bigint")
-        return exploded.select(name, "vector", F.concat_ws(":", "_table", bucket).alias("key"))
+        return rows.select(name, "vector", F.concat_ws(":", "_table", bucket).alias("key"))
 
     q, v = buckets(qs, "query"), buckets(vs, "id")
     candidates = _blocked_candidates(q, v, _candidate_schema(q, v), k)
@@ -286,7 +285,8 @@ def question_tiers(questions: DataFrame) -> DataFrame:
             F.when(F.col("needs_architecture"), "architecture"),
         )
     )
-    return route_tiers(questions).withColumn("tier", F.explode(tiers))
+    routed = route_tiers(questions).withColumn("_tiers", tiers)
+    return exploded(routed, questions.columns, "_tiers", "_", "tier").drop("_")
 
 
 def retrieve_tiers(questions: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:

@@ -305,16 +305,8 @@ def sync_status(spark, sf):
 # -- documents -----------------------------------------------------------------
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than cores (one small file, say) dealt
-    out for row-wise work that is bound by the processor. A large table has
-    splits enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _documents(spark, sf) -> DataFrame:
-    return d.probe_documents(_spread(d.table(spark, sf, "documents")))
+    return d.probe_documents(logs.spread(d.table(spark, sf, "documents")))
 
 
 @query
@@ -366,7 +358,7 @@ def anonymize_documents(spark, sf):
 
 
 def _files(spark, sf) -> DataFrame:
-    return d.corpus_files(_spread(d.table(spark, sf, "documents")))
+    return d.corpus_files(logs.spread(d.table(spark, sf, "documents")))
 
 
 @query
@@ -439,7 +431,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 def embed_chunks(spark, sf):
     """Line chunks of all documents, encoded by hashed TF-IDF."""
     chunks = docs.chunk_lines(
-        _spread(d.table(spark, sf, "documents")).select(d.tier_of(F.col("doc_id")).alias("tier"),
+        logs.spread(d.table(spark, sf, "documents")).select(d.tier_of(F.col("doc_id")).alias("tier"),
                                                "doc_id", "text")
     )
     return retrieval.embed_chunks(chunks).select(

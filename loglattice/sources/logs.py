@@ -76,6 +76,14 @@ def write_partitioned(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores (one small file, say) dealt
+    out for work that is bound by the processor. A large table has splits
+    enough and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def replicate_rows(df: DataFrame, n: int = 10, id_column: str = "query_id") -> DataFrame:
     """Every row n times under fresh ids.
 

@@ -44,6 +44,19 @@ def by_blocks(text, size, overlap):
     return chunks if chunks[-1] else chunks[:-1]
 
 
+@pytest.mark.parametrize("size, overlap", [(8, 0), (8, 2), (8, 4), (8, 6), (500, 50), (500, 400)])
+def test_word_chunks_equal_brute_force(spark, size, overlap):
+    length, stride = int(size * 0.75), int(size * 0.75) - int(overlap * 0.75)
+    rows = [(n, " \t".join(f"wörd{i}" for i in range(n)) + "\xa0") for n in (1, 5, 6, 7, 12, 13, 40, 999)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in docs.chunk_words(df, size, overlap).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for n, text in rows:
+        all_words = text.split()
+        assert got[n] == [" ".join(all_words[s:s + length]) for s in range(0, n, stride)]
+
+
 @pytest.mark.parametrize("size, overlap", [(500, 50), (40, 7), (12, 0), (5, 30)])
 def test_line_chunks_equal_brute_force(size, overlap):
     texts = ["é" * i + "\n" * (i % 4) + "word " * (i % 9) + "\n" + "x" * (i * 3 % 17) for i in range(60)]
@@ -58,7 +71,8 @@ def test_word_chunks(spark):
     assert [(r["chunk_index"], r["total_chunks"]) for r in got] == [(0, 3), (1, 3), (2, 3)]
     words = text.split()
     assert [r["text"] for r in got] == [" ".join(words[s:s + 375]) for s in (0, 338, 676)]
-    assert docs.chunk_words(one(spark, " \n ")).count() == 0
+    assert docs.chunk_words(one(spark, " \n ")).count() == 0 == docs.chunk_words(one(spark, "")).count()
+    assert docs.chunk_words(one(spark, None)).count() == 0
     assert docs.chunk_words(one(spark, "x " * 338)).count() == 1
 
 
