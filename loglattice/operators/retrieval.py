@@ -221,7 +221,8 @@ def ann_top_k(
     vectors: DataFrame,
     k: int = 3,
     tables: int = 8,
-    bucket_length: float = 0.25,
+    projections: int = 3,
+    bucket_length: float = 0.5,
     seed: int = 7,
     query_id: str = "query_id",
     vector_id: str = "vec_id",
@@ -230,8 +231,10 @@ def ann_top_k(
     """Approximate search: random projections of the unit vectors pick the
     buckets a query looks into, and distances there are exact.
 
-    Buckets go through the same blocked search, so a bucket that holds a third
-    of the vectors is split. A query whose buckets hold nothing gets no row.
+    A bucket of a table is where all its `projections` agree; more of them make
+    buckets smaller, more tables make up for what that misses. Buckets go
+    through the same blocked search, so one that holds a third of the vectors
+    is split. A query whose buckets hold nothing gets no row.
     """
 
     def unit(df: DataFrame, id_column: str, name: str) -> DataFrame:
@@ -242,14 +245,21 @@ def ann_top_k(
 
     vs, qs = unit(vectors, vector_id, "id"), unit(queries, query_id, "query")
     lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", numHashTables=tables,
+        inputCol="unit", outputCol="hashes", numHashTables=tables * projections,
         bucketLength=bucket_length, seed=seed,
     ).fit(vs)
 
     def buckets(df: DataFrame, name: str) -> DataFrame:
-        rows = exploded(lsh.transform(df), [name, "vector"], "hashes", "_table", "_hash")
-        bucket = F.get(vector_to_array("_hash"), F.lit(0)).cast("bigint")
-        return rows.select(name, "vector", F.concat_ws(":", "_table", bucket).alias("key"))
+        hashes = [
+            F.get(vector_to_array(F.get("hashes", F.lit(i))), F.lit(0)).cast("bigint")
+            for i in range(tables * projections)
+        ]
+        keys = [
+            F.concat_ws(":", F.lit(t), *hashes[t * projections : (t + 1) * projections])
+            for t in range(tables)
+        ]
+        hashed = lsh.transform(df).select(name, "vector", F.array(*keys).alias("_keys"))
+        return exploded(hashed, [name, "vector"], "_keys", "_", "key").drop("_")
 
     q, v = buckets(qs, "query"), buckets(vs, "id")
     candidates = _blocked_candidates(q, v, _candidate_schema(q, v), k)

@@ -423,15 +423,19 @@ FROM (SELECT (SELECT count(*) FROM events) AS t, (SELECT count(*) FROM ledger) A
 
 # -- documents -----------------------------------------------------------------
 
-add("chunk_lines", f"""WITH RECURSIVE {DOCS},
-split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs),
+
+
+def line_chunks(docs: str) -> str:
+    """Line by line: the open chunk is the span s..e; cs..ce is one just closed."""
+    return f"""
+split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {docs}),
 lines AS (
   SELECT doc_id, i, sum(length(parts[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS stop
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM split)),
 walk AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e,
     CAST(NULL AS BIGINT) AS cs, CAST(NULL AS BIGINT) AS ce
-  FROM docs
+  FROM {docs}
   UNION ALL
   SELECT w.doc_id, l.i, CASE WHEN e > s AND stop - s > 500 THEN greatest(s, e - 50) ELSE s END,
     CAST(stop AS BIGINT), CASE WHEN e > s AND stop - s > 500 THEN s END,
@@ -442,12 +446,16 @@ spans AS (
   SELECT doc_id, i, cs, ce, false AS is_last FROM walk WHERE cs IS NOT NULL
   UNION ALL
   SELECT w.doc_id, w.i + 1, s, e, true FROM walk w JOIN ends USING (doc_id, i)),
-chunks AS (
+stripped AS (
   SELECT doc_id, i, is_last, {strip("substr(text || chr(10), cs + 1, ce - cs)")} AS text
-  FROM spans JOIN docs USING (doc_id))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index,
-  text
-FROM chunks WHERE NOT (is_last AND text = '')""")
+  FROM spans JOIN {docs} USING (doc_id)),
+line_chunks AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER)
+    AS chunk_index, text
+  FROM stripped WHERE NOT (is_last AND text = ''))"""
+
+
+add("chunk_lines", f"WITH RECURSIVE {DOCS}, {line_chunks('docs')} SELECT * FROM line_chunks")
 add("chunk_words", f"""WITH {DOCS},
 split AS (
   SELECT doc_id, source, list_filter(regexp_split_to_array(text, {lit(SPACE + '+')}), lambda w: w <> '') AS w
@@ -564,6 +572,11 @@ add("denylist_verdict", f"WITH {HITS_OF_SCAN} SELECT count(*) AS hits, count(*)
 
 # -- retrieval -----------------------------------------------------------------
 
+# the ids and sizes; what the vectors hold has no SQL form
+add("embed_chunks", f"""WITH RECURSIVE {line_chunks('documents')}
+SELECT (['resume', 'interview', 'architecture'])[doc_id % 3 + 1] AS tier, doc_id,
+  (['chunk', 'iv', 'arch'])[doc_id % 3 + 1] || '_' || chunk_index AS chunk_id, 256 AS dimensions
+FROM line_chunks""")
 DISTANCE = ("round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), "
             "CAST(v.embedding AS DOUBLE[])), 9)")
 

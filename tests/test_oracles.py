@@ -23,8 +23,8 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert len(got) or name in MAY_BE_EMPTY
 
 
-def test_only_encoder_and_approximate_search_lack_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"embed_chunks", "ann_top_k"}
+def test_only_approximate_search_lacks_sql():
+    assert set(entry.queries()) - set(ORACLES) == {"ann_top_k"}
 
 
 def test_derived_data_has_hits(con):
