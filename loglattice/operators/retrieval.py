@@ -181,6 +181,11 @@ def _ranked(candidates: DataFrame, per: Sequence[str], k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _named(best: DataFrame, match: str | None, query_id: str, vector_id: str) -> DataFrame:
+    best = best.withColumnRenamed("key", match) if match else best.drop("key")
+    return best.withColumnsRenamed({"query": query_id, "id": vector_id})
+
+
 def cosine_top_k(
     queries: DataFrame,
     vectors: DataFrame,
@@ -211,35 +216,36 @@ def cosine_top_k(
         candidates = _shipped_candidates(few, v, schema, k)
     else:
         candidates = _blocked_candidates(q, v, schema, k, keyed=match is not None)
-    best = _ranked(candidates, ["query", "key"], k)
-    best = best.withColumnRenamed("key", match) if match else best.drop("key")
-    return best.withColumnsRenamed({"query": query_id, "id": vector_id})
+    return _named(_ranked(candidates, ["query", "key"], k), match, query_id, vector_id)
 
 
 def ann_top_k(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 3,
+    match: str | None = None,
+    query_id: str = "query_id",
+    vector_id: str = "vec_id",
+    vector: str = "embedding",
     tables: int = 8,
     projections: int = 3,
     bucket_length: float = 0.5,
     seed: int = 7,
-    query_id: str = "query_id",
-    vector_id: str = "vec_id",
-    vector: str = "embedding",
 ) -> DataFrame:
-    """Approximate search: random projections of the unit vectors pick the
-    buckets a query looks into, and distances there are exact.
+    """Approximate form of `cosine_top_k`: random projections of the unit vectors
+    pick the buckets a query looks into, and distances there are exact.
 
     A bucket of a table is where all its `projections` agree; more of them make
     buckets smaller, more tables make up for what that misses. Buckets go
     through the same blocked search, so one that holds a third of the vectors
     is split. A query whose buckets hold nothing gets no row.
     """
+    group = F.col(match) if match else F.lit("")
 
     def unit(df: DataFrame, id_column: str, name: str) -> DataFrame:
         return Normalizer(inputCol="_v", outputCol="unit").transform(
             df.select(F.col(id_column).alias(name), F.col(vector).alias("vector"),
+                      group.alias("_group"),
                       array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
         )
 
@@ -255,7 +261,7 @@ def ann_top_k(
             for i in range(tables * projections)
         ]
         keys = [
-            F.concat_ws(":", F.lit(t), *hashes[t * projections : (t + 1) * projections])
+            F.concat_ws(":", F.lit(t), *hashes[t * projections : (t + 1) * projections], "_group")
             for t in range(tables)
         ]
         hashed = lsh.transform(df).select(name, "vector", F.array(*keys).alias("_keys"))
@@ -263,8 +269,12 @@ def ann_top_k(
 
     q, v = buckets(qs, "query"), buckets(vs, "id")
     candidates = _blocked_candidates(q, v, _candidate_schema(q, v), k)
-    found = candidates.groupBy("query", "id").agg(F.min("distance").alias("distance"))
-    return _ranked(found, ["query"], k).withColumnsRenamed({"query": query_id, "id": vector_id})
+    # the group is all that follows the table and its projections
+    of_group = F.regexp_extract("key", f"^(?:[^:]*:){{{projections + 1}}}(.*)$", 1)
+    found = candidates.groupBy("query", "id", of_group.alias("key")).agg(
+        F.min("distance").alias("distance")
+    )
+    return _named(_ranked(found, ["query", "key"], k), match, query_id, vector_id)
 
 
 def filtered_top_k(
@@ -299,15 +309,18 @@ def question_tiers(questions: DataFrame) -> DataFrame:
     return exploded(routed, questions.columns, "_tiers", "_", "tier").drop("_")
 
 
-def retrieve_tiers(questions: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
+def retrieve_tiers(
+    questions: DataFrame, vectors: DataFrame, k: int = 3, search: Callable = cosine_top_k
+) -> DataFrame:
     """Chunks per tier for each embedded question.
 
     questions: question_id, question, embedding; vectors: tier, chunk_id, text,
-    embedding. A tier counts as used if it returned rows, the résumé tier
+    embedding. `search` is exact by default; `ann_top_k` is the one for many
+    questions over many vectors. A tier counts as used if it returned rows, the résumé tier
     always; the top distance is that of the résumé tier, 1.0 if it is empty.
     """
     asked = question_tiers(questions)
-    hits = cosine_top_k(
+    hits = search(
         asked, vectors, k, match="tier", query_id="question_id", vector_id="chunk_id"
     )
     # hits are few next to the vectors; the adaptive planner broadcasts them if

@@ -196,21 +196,26 @@ def rate_limit(
 ) -> DataFrame:
     """Which requests stay within `limit` per key and clock-aligned window.
 
-    Only the first `limit` requests of a window matter, and each task cuts its
-    share down to them before the shuffle. The verdict is joined back by the
-    request's own id, which no key can skew.
+    A window is told by its `limit`-th request: all up to that one are allowed.
+    Each task cuts its share of a window down to `limit` rows before the
+    shuffle that finds it. Only windows that reach the limit have such a
+    request, so what is joined back is small and a hot key stays spread out.
     """
+    spot = F.struct("ts", "query_id")
     rows = requests.select(
         "query_id", key, "ts", F.window("ts", window)["start"].alias("window_start")
     )
     order = Window.partitionBy(key, "window_start").orderBy("ts", "query_id")
-    within = (
+    last_allowed = (
         rows.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= limit)
-        .select("query_id", F.lit(True).alias("allowed"))
+        .where(F.col("_n") == limit)
+        .select(F.col(key).alias("_key"), F.col("window_start").alias("_start"),
+                spot.alias("_last"))
     )
-    return rows.join(within, "query_id", "left").withColumn(
-        "allowed", F.coalesce("allowed", F.lit(False))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("window_start") == F.col("_start"))
+    within = F.col("_last").isNull() | (spot <= F.col("_last"))
+    return rows.join(last_allowed, same, "left").select(
+        "query_id", key, "ts", "window_start", within.alias("allowed")
     )
 
 

@@ -193,7 +193,7 @@ def read_text_corpus(spark, sf):
     path = scratch_path(spark, "corpus")
     (
         d.table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang")
-        .option("maxRecordsPerFile", 100).text(path)
+        .option("maxRecordsPerFile", 10_000).text(path)
     )
     files = corpus.read_text_corpus(spark, path)
     lang = F.regexp_extract("path", "lang=([a-z]+)", 1)

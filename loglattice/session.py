@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +15,9 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Documents differ in size by orders of magnitude; rows alone do not bound a
+    # batch handed to Python.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     # A run sums up the progress of all its micro-batches.
     "spark.sql.streaming.numRecentProgressUpdates": "100000",
 }
@@ -31,21 +35,32 @@ def build_session(app: str = "loglattice", master: str | None = None, **conf) ->
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings results depend on to a session made elsewhere."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.numRecentProgressUpdates"):
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.execution.arrow.maxBytesPerBatch",
+        "spark.sql.streaming.numRecentProgressUpdates",
+    ):
         spark.conf.set(key, ENGINE_CONF[key])
     return spark
 
 
+@lru_cache(maxsize=None)
+def _local_root(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="loglattice-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables and stream state that outlive one job.
 
     On a cluster it lies in the shared folder named by `spark.checkpoint.dir`.
-    Only where that is unset (tests, one machine) is a local folder made.
+    Only a local session (tests, one machine) may leave that unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="loglattice-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = _local_root(context.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -83,12 +83,14 @@ def test_block_ties_go_to_the_first_row():
     assert (rows.tolist(), cols.tolist(), found.tolist()) == ([0, 0], [0, 2], [0.0, 0.0])
 
 
-def test_approximate_search_recall(cloud):
+@pytest.mark.parametrize("match", [None, "grp"])
+def test_approximate_search_recall(cloud, match):
     queries = as_queries(cloud)
-    exact = retrieval.cosine_top_k(queries, cloud, 5).select("query_id", "vec_id")
-    near = retrieval.ann_top_k(queries, cloud, 5, bucket_length=0.5)
+    exact = retrieval.cosine_top_k(queries, cloud, 5, match).select("query_id", "vec_id")
+    near = retrieval.ann_top_k(queries, cloud, 5, match)
     assert near.select("query_id", "vec_id").distinct().count() == near.count()
     assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+    assert near.groupBy("query_id").count().where("count > 5").count() == 0
 
 
 def test_public_mode_filters_before_ranking(cloud):
@@ -128,6 +130,17 @@ def results(spark):
     return retrieval.retrieve_tiers(asked, vectors, k=2)
 
 
+def test_tiered_retrieval_with_approximate_search(spark):
+    vectors = [[math.cos(a), math.sin(a)] for a in (0.0, 0.01, 3.0)]
+    stored = spark.createDataFrame(
+        [("resume", f"chunk_{i}", f"t{i}", v) for i, v in enumerate(vectors)],
+        "tier string, chunk_id string, text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "plain", vectors[0])],
+                                  "question_id long, question string, embedding array<float>")
+    row = retrieval.retrieve_tiers(asked, stored, 2, retrieval.ann_top_k).first()
+    assert row["resume_chunks"] == ["t0", "t1"] and row["top_distance"] == 0.0
+
+
 def test_tiered_retrieval(results):
     one, two, three = results.orderBy("question_id").collect()
     assert one["resume_chunks"] == ["r" * 300, "r1"] and one["interview_chunks"] == ["i0"]

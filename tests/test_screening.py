@@ -172,7 +172,10 @@ def test_rate_limit(spark):
     got = [r["allowed"] for r in screening.rate_limit(df).orderBy("query_id").collect()]
     assert got == [True] * 10 + [False] * 2 + [True, True]
     plan = screening.rate_limit(df)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert plan.count("WindowGroupLimit") == 2  # before and after the shuffle
+    no_address = requests(spark, *[(i, False, None) for i in range(4)])
+    got = screening.rate_limit(no_address, limit=3).orderBy("query_id").collect()
+    assert [r["allowed"] for r in got] == [True, True, True, False]
 
 
 def test_sender_windows(spark):
