@@ -141,16 +141,32 @@ def _blocked_candidates(
     """Candidates of (query block, vector block) pairs of the same key.
 
     A key is cut into as many blocks as its rows need on either side, so a key
-    with a third of all rows is many groups of bounded size, not one.
+    with a third of all rows is many pairs of bounded size, not one. Pairs are
+    dealt out by hash into groups of about a block's rows, so thousands of
+    small keys do not cost a call into Python each.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).cast("int")
+
+    def blocks(n: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK_ROWS))).cast("int")
+
+    def placed(sizes: DataFrame) -> DataFrame:
+        return sizes.withColumns({"_nq": blocks("_cq"), "_nv": blocks("_cv")})
+
+    moved = F.sum(F.col("_cq") * F.col("_nv") + F.col("_cv") * F.col("_nq"))
+    slots = F.greatest(F.lit(1), F.ceil(moved / F.lit(BLOCK_ROWS))).cast("int")
+    rows = F.count(F.lit(1))
     if keyed:
-        plan = queries.groupBy("key").agg(n.alias("_nq")).join(
-            vectors.groupBy("key").agg(n.alias("_nv")), "key"
+        plan = placed(
+            queries.groupBy("key").agg(rows.alias("_cq"))
+            .join(vectors.groupBy("key").agg(rows.alias("_cv")), "key")
         )
-        queries, vectors = queries.join(plan, "key"), vectors.join(plan, "key")
+        sizes = plan.select("key", "_nq", "_nv")
+        queries, vectors = queries.join(sizes, "key"), vectors.join(sizes, "key")
     else:  # one key: two numbers, no join
-        sizes = {"_nq": queries.agg(n).scalar(), "_nv": vectors.agg(n).scalar()}
+        plan = placed(
+            queries.agg(rows.alias("_cq")).withColumn("_cv", vectors.agg(rows).scalar())
+        )
+        sizes = {n: plan.select(n).scalar() for n in ("_nq", "_nv")}
         queries, vectors = queries.withColumns(sizes), vectors.withColumns(sizes)
 
     def own(id_column: str, n: str) -> Column:
@@ -159,19 +175,30 @@ def _blocked_candidates(
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
+    pair = ["key", "_qb", "_vb"]
+    n_slots = plan.agg(slots).scalar()
+
+    def dealt(side: DataFrame, *columns: str):
+        slot = F.pmod(F.xxhash64(*pair), n_slots).alias("_slot")
+        return side.select(slot, *pair, *columns).groupBy("_slot")
+
     left = queries.withColumn("_qb", own("query", "_nq")).withColumn("_vb", every("_nv"))
     right = vectors.withColumn("_vb", own("id", "_nv")).withColumn("_qb", every("_nq"))
 
-    def search(group: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame()
-        found = block_candidates(q["query"].to_numpy(), unit_rows(q["vector"]), v, k)
-        return found.assign(key=group[0])
+    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        vector_blocks = dict(list(v.groupby(pair)))
+        found = [
+            block_candidates(
+                part["query"].to_numpy(), unit_rows(part["vector"]), vector_blocks[name], k
+            ).assign(key=name[0])
+            for name, part in q.groupby(pair)
+            if name in vector_blocks
+        ]
+        return pd.concat(found) if found else pd.DataFrame()
 
-    keys = ["key", "_qb", "_vb"]
     return (
-        left.select(*keys, "query", "vector").groupBy(*keys)
-        .cogroup(right.select(*keys, "id", "vector").groupBy(*keys))
+        dealt(left, "query", "vector")
+        .cogroup(dealt(right, "id", "vector"))
         .applyInPandas(search, schema)
     )
 

@@ -186,6 +186,24 @@ def test_partitioned_reports_prune_days(spark, tmp_path):
     assert "user_agent" not in scan  # columns are pruned
 
 
+def test_health_reads_the_newest_days_only(spark, tmp_path):
+    log = log_of(spark, [{"request_timestamp": NOW - i * dt.timedelta(hours=8)} for i in range(60)])
+    path = str(tmp_path / "log")
+    write_partitioned(log, path)
+    health = log_reports.load_health(spark.read.parquet(path), limit=3)
+    assert [(str(r["sync_date"]), r["records"]) for r in health.collect()] == [
+        ("2024-01-31", 2), ("2024-01-30", 3), ("2024-01-29", 3)]
+    assert "dynamicpruning" in plan_of(health)
+
+
+def test_quantile_reports_scan_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log_of(spark, [{"response_time_ms": float(i)} for i in range(100)]).write.parquet(path)
+    report = log_reports.endpoint_popularity(spark.read.parquet(path), NOW)
+    assert report.collect()[0]["p95_latency_ms"] == 94.0
+    assert "ReusedExchange" in plan_of(report)
+
+
 def test_top_k_is_cut_before_the_shuffle(spark, seeded):
     plan = plan_of(log_reports.domain_scorecard(seeded))
     assert plan.count("WindowGroupLimit") == 2

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -80,6 +81,14 @@ def test_flags_equal_a_simulation(spark):
         position += len(history)
 
 
+def test_no_request_is_grouped_by_address_alone(spark):
+    plan = screening.flagged_requests(requests(spark, (0, True)))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2
+    for line in exchanges:
+        assert re.search(r"hashpartitioning\(client_ip#\d+, _\w+#", line)  # the address and its slice
+
+
 def test_count_survives_gaps_without_a_benign_request(spark):
     row = screening.flag_counts(requests(spark, (0, True), (1000, True), (9000, True))).first()
     assert (row["flag_count"], row["last_flagged_at"]) == (3, T0 + dt.timedelta(seconds=9000))
