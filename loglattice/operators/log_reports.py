@@ -208,7 +208,10 @@ def load_health(log: DataFrame, limit: int = 7) -> DataFrame:
     """
     if "date" not in log.columns:
         log = log.withColumn("date", F.to_date("request_timestamp"))
-    days = log.select("date").distinct().orderBy(F.desc("date")).limit(limit)
+    # Partitions are pruned by a join only if its other side looks selective;
+    # a limit does not count as that, a comparison does.
+    dated = log.select("date").where(F.col("date") > F.to_date(F.lit("0001-01-01")))
+    days = dated.distinct().orderBy(F.desc("date")).limit(limit)
     return (
         log.join(F.broadcast(days), "date", "left_semi")
         .groupBy(F.col("date").alias("sync_date"))
