@@ -1,6 +1,13 @@
+import os
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
 from loglattice import session
+from loglattice.functions.vectors import unit_rows
+from loglattice.operators.documents import line_chunks
 
 
 class Conf(dict):
@@ -37,3 +44,18 @@ def test_path_exists(spark, tmp_path):
     assert session.path_exists(spark, str(tmp_path))
     assert not session.path_exists(spark, str(tmp_path / "no"))
     assert not session.path_exists(spark, str(tmp_path / "no*"))
+
+
+def test_worker_functions_need_no_package_on_the_executor(tmp_path):
+    """What is sent to a Python worker runs where `loglattice` is unknown."""
+    blob = tmp_path / "fn.pkl"
+    blob.write_bytes(cloudpickle.dumps((line_chunks, unit_rows)))
+    code = (
+        "import pickle, sys\n"
+        f"chunks, unit = pickle.load(open({str(blob)!r}, 'rb'))\n"
+        "print(chunks('a\\nb', 500, 50), unit([[3, 4]]).tolist(), 'loglattice' in sys.modules)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=60, check=True)
+    assert done.stdout.strip().endswith("['a\\nb'] [[0.6, 0.8]] False")
