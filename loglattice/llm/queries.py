@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import quality_rules as rules
+from loglattice.llm import token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.token_digests(token_files.read_tokens(manifest))
+
+
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
 }
