@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loglattice.llm import packing
 from loglattice.llm import quality_rules as rules
 from loglattice.llm import token_files
 
@@ -26,7 +27,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(manifest))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces, _ = packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
+    "op9_packing": op9_packing,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
 }

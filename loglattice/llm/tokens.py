@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Sure cuts lie between two of these: a letter run, a digit run and a run of signs, each with at most
 #: one space before it. Apostrophes, other white space and all other characters stick to both sides.
@@ -151,7 +152,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, text: str = "text") ->
     kind = id_type(path)
     others = [c for c in docs.columns if c not in (text, "ids")]
     source = docs.select(*[f"`{c}`" for c in others], docs[text].cast("string").alias("ids"))
-    schema = source.drop("ids").schema.add("ids", "binary")
+    schema = StructType([*source.drop("ids").schema.fields, StructField("ids", BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
