@@ -28,6 +28,8 @@ from loglattice.llm.tokens import id_type, token_table
 
 MAGIC = b"LLHUFF01"
 BLOCK = 512
+#: Ids coded or decoded at a time, which bounds memory whatever the file's size; a multiple of BLOCK.
+CHUNK = 1 << 20
 LIMIT = 20
 
 
@@ -79,25 +81,33 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit stream of `ids`, and the bit offset of every block."""
+    """The bit stream of `ids`, and the bit offset of every block. Every `CHUNK` ids start a new 64-bit word."""
+    streams, offsets, bits = [], [], 0
+    for begin in range(0, len(ids), CHUNK):
+        words, at = _pack_chunk(ids[begin : begin + CHUNK], codes, lengths)
+        offsets.append(at[::BLOCK] + bits)
+        streams.append(words.astype(">u8").tobytes())
+        bits += 64 * len(words)
+    return b"".join(streams), np.concatenate([*offsets, np.zeros(0, np.int64)]).astype("<u8")
+
+
+def _pack_chunk(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = lengths[ids].astype(np.int64)
     ends = np.cumsum(width)
     at = ends - width
-    total = int(ends[-1]) if len(ends) else 0
-    words = np.zeros(total // 64 + 2, dtype=np.uint64)
-    if total:
-        code, word, room = codes[ids], at >> 6, 64 - (at & 63) - width
-        fits = np.left_shift(code, np.maximum(room, 0).astype(np.uint64))
-        value = np.where(room >= 0, fits, np.right_shift(code, np.maximum(-room, 0).astype(np.uint64)))
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.bitwise_or.reduceat(value, first)
-        over = np.flatnonzero(room < 0)
-        words[word[over] + 1] |= np.left_shift(code[over], (64 + room[over]).astype(np.uint64))
-    return words.astype(">u8").tobytes(), at[::BLOCK].astype("<u8")
+    words = np.zeros(int(ends[-1]) // 64 + 1, dtype=np.uint64)
+    code, word, room = codes[ids], at >> 6, 64 - (at & 63) - width
+    fits = np.left_shift(code, np.maximum(room, 0).astype(np.uint64))
+    value = np.where(room >= 0, fits, np.right_shift(code, np.maximum(-room, 0).astype(np.uint64)))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] = np.bitwise_or.reduceat(value, first)
+    over = np.flatnonzero(room < 0)
+    words[word[over] + 1] |= np.left_shift(code[over], (64 + room[over]).astype(np.uint64))
+    return words, at
 
 
 def unpack(stream: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
-    """The first `n` ids; every step decodes one id of every block."""
+    """The first `n` ids; every step decodes one id of each of many blocks."""
     if not n:
         return np.zeros(0, dtype=np.uint32)
     limit = max(int(lengths.max()), 1)
@@ -105,20 +115,22 @@ def unpack(stream: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray) -> n
     used = np.flatnonzero(lengths)
     used = used[np.lexsort((used, lengths[used]))]
     spans = np.left_shift(np.int64(1), limit - lengths[used].astype(np.int64))
-    symbol, size = np.zeros(1 << limit, dtype=np.uint32), np.zeros(1 << limit, dtype=np.int64)
+    symbol, size = np.zeros(1 << limit, dtype=np.uint32), np.zeros(1 << limit, dtype=np.uint8)
     begin = int(codes[used[0]]) << (limit - int(lengths[used[0]]))
     symbol[begin : begin + int(spans.sum())] = np.repeat(used, spans)
     size[begin : begin + int(spans.sum())] = np.repeat(lengths[used], spans)
     raw = np.frombuffer(stream + b"\0" * 16, dtype=np.uint8)
     windows = np.ndarray(len(raw) - 7, dtype=">u8", buffer=raw, strides=(1,))
     last = len(stream) * 8
-    at = offsets.astype(np.int64)
-    out = np.zeros((len(at), BLOCK), dtype=np.uint32)
-    for k in range(min(BLOCK, n)):
-        bits = np.left_shift(windows[at >> 3].astype(np.uint64), (at & 7).astype(np.uint64))
-        entry = np.right_shift(bits, np.uint64(64 - limit))
-        out[:, k] = symbol[entry]
-        at = np.minimum(at + size[entry], last)
+    out = np.zeros((len(offsets), BLOCK), dtype=np.uint32)
+    lanes = CHUNK // BLOCK
+    for some in range(0, len(offsets), lanes):
+        at = offsets[some : some + lanes].astype(np.int64)
+        for k in range(min(BLOCK, n)):
+            bits = np.left_shift(windows[at >> 3].astype(np.uint64), (at & 7).astype(np.uint64))
+            entry = np.right_shift(bits, np.uint64(64 - limit))
+            out[some : some + lanes, k] = symbol[entry]
+            at = np.minimum(at + size[entry], last)
     return out.reshape(-1)[:n]
 
 

@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -41,7 +42,7 @@ class Numbers(dict):
 class Encoder:
     """Ids of batches of texts; remembers those of about `most` distinct pieces."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -123,17 +124,16 @@ class Encoder:
         return ids, np.diff(up_to)
 
 
-def by_size(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    """The texts in order, in runs of about `most` characters; a longer text is a run of its own."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+def by_size(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs [begin, end) of about `most` in sum, in order; a larger value is a run of its own."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and total + size > most:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def id_type(path: str) -> str:
@@ -157,19 +157,16 @@ def token_table(docs: DataFrame, path: str, end_id: int, text: str = "text") ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            at = 0
-            texts = [t or "" for t in batch.column(len(others)).to_pylist()]
-            for run in by_size(texts):
-                ids, counts = encoder.encode(run)
-                up_to = np.cumsum(counts + 1)
+            texts = batch.column(len(others))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for begin, end in by_size(sizes):
+                ids, counts = encoder.encode([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
                 stream = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
-                width = stream.itemsize
-                offsets = np.concatenate([[0], up_to * width]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(counts + 1) * stream.itemsize]).astype(np.int32)
                 column = pa.Array.from_buffers(
-                    pa.binary(), len(run), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(stream.tobytes())]
+                    pa.binary(), end - begin, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(stream.tobytes())]
                 )
-                part = batch.slice(at, len(run))
+                part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], column], names=[*others, "ids"])
-                at += len(run)
 
     return source.mapInArrow(encode, schema)
