@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loglattice.llm import packing
+from loglattice.llm import mixing, packing
 from loglattice.llm import quality_rules as rules
 from loglattice.llm import suffix_dedup, token_files
 
@@ -28,6 +29,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken, about = mixing.mix(docs, F.array("source"), mixing.cycled)
+    # One row per source.
+    return taken.join(F.broadcast(about), F.get("sources", F.lit(0)).eqNullSafe(about["source"])).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -44,6 +54,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_mixing": op2_mixing,
     "op9_packing": op9_packing,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
