@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import mixing, packing
 from loglattice.llm import quality_rules as rules
-from loglattice.llm import suffix_dedup, token_files
+from loglattice.llm import suffix_dedup, token_files, vector_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op9_packing": op9_packing,
+    "op10_vector_links": op10_vector_links,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
 }
