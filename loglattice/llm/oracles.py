@@ -32,6 +32,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+WARC_ZIP = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), h AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS holder FROM p
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM h
+"""
+
 ORACLES = {
+    "op8_warc_zip": WARC_ZIP,
     "op4_quality_rules": QUALITY_RULES,
 }

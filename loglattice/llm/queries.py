@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import mixing, packing
 from loglattice.llm import quality_rules as rules
-from loglattice.llm import suffix_dedup, token_files, vector_links
+from loglattice.llm import suffix_dedup, token_files, vector_links, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(manifest))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.read_packages(warc_zip.write_packages(table(spark, sf_dir, "pages")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces, _ = packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -59,6 +63,7 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
+    "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_vector_links": op10_vector_links,
     "op3_token_files": op3_token_files,
