@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import mixing, packing
+from loglattice.llm import mixing, packing, quality_model
 from loglattice.llm import quality_rules as rules
 from loglattice.llm import suffix_dedup, token_files, vector_links, warc_zip
 
@@ -44,6 +44,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(manifest))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_packages(warc_zip.write_packages(table(spark, sf_dir, "pages")))
 
@@ -63,6 +69,7 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
+    "op6_quality_model": op6_quality_model,
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_vector_links": op10_vector_links,
