@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import mixing, packing, quality_model
 from loglattice.llm import quality_rules as rules
-from loglattice.llm import suffix_dedup, token_files, vector_links, warc_zip
+from loglattice.llm import suffix_dedup, token_files, toxicity, vector_links, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_packages(warc_zip.write_packages(table(spark, sf_dir, "pages")))
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op6_quality_model": op6_quality_model,
+    "op7_toxicity": op7_toxicity,
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_vector_links": op10_vector_links,
