@@ -21,14 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import written
+from loglattice.llm.common import bucketed, written
+from loglattice.llm.tokens import by_size
 
 SPAN = 128
 #: How many window distances a group holds, round by round.
-WIDTHS = (128, 16, 1)
+WIDTHS = (SPAN, 16, 1)
 #: Fixed odd multipliers of the hashes.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _BASE = 0xD6E8FEB86659FD93
@@ -70,19 +72,16 @@ def _smallest(hashes: np.ndarray, span: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _bytes(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts as (first row, last row, bytes of all, offsets); a longer text is a run of its own."""
-    texts = [t.encode() if t else b"" for t in column.to_pylist()]
-    begin, size = 0, 0
-    for i, t in enumerate([*texts, None]):
-        if t is None or (size and size + len(t) > most):
-            run = texts[begin:i]
-            if run:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in run])])
-                yield begin, i, np.frombuffer(b"".join(run) + b"\0" * 16, dtype=np.uint8), offsets
-            begin, size = i, 0
-        if t is not None:
-            size += len(t)
+def _bytes(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts as (first row, last row, bytes of all, offsets); a longer text is a run of its own.
+
+    About a hundred bytes of working memory are needed per byte of a run.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for begin, end in by_size(sizes, most):
+        run = [t.encode() if isinstance(t, str) else t or b"" for t in column.slice(begin, end - begin).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in run])])
+        yield begin, end, np.frombuffer(b"".join(run) + b"\0" * 16, dtype=np.uint8), offsets
 
 
 def _anchors(names: Names, offsets: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
@@ -112,50 +111,51 @@ def _rows(names: Names, rows: tuple[np.ndarray, ...], width: int, threshold: int
     begin, end = anchor - cell * width, anchor + threshold - (cell + 1) * width + 1
     middle = begin + (end - begin) // 2
     whole = names.of(anchor - far, anchor + threshold - near)
+    rank, following = names.of(begin, middle), names.of(middle, end) ^ _mixed(cell.astype(np.uint64) + np.uint64(1))
+    if width > 1:
+        # The pair itself only sorts out what is alone, so one number for both will do before the last round.
+        rank, following = _mixed(rank ^ _mixed(following)), np.zeros_like(following)
     return {
         "row": doc,
         "anchor": anchor,
         "near": near,
         "far": far,
-        "rank": names.of(begin, middle),
-        "next": names.of(middle, end) ^ _mixed(cell.astype(np.uint64) + np.uint64(1)),
+        "rank": rank,
+        "next": following,
         "whole": whole ^ _mixed((near * 1024 + far).astype(np.uint64)),
     }
 
 
-def _batch(values: dict[str, np.ndarray], uids: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    start = offsets[values["row"]]
+_NAMES = ["uid", "anchor", "near", "far", "rank", "next", "whole"]
+_SCHEMA = "uid long, anchor int, near int, far int, rank long, next long, whole long"
+
+
+def _batch(values: dict[str, np.ndarray], uids: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """`start`: per text, where its first byte lies in the buffer."""
+    at = values["anchor"] - start[values["row"]]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(uids[values["row"]]),
-            *(pa.array((values[k] - (start if k == "anchor" else 0)).astype(np.int32)) for k in ("anchor", "near", "far")),
+            *(pa.array(x.astype(np.int32)) for x in (at, values["near"], values["far"])),
             *(pa.array(values[k].view(np.int64)) for k in ("rank", "next", "whole")),
         ],
-        names=["uid", "anchor", "near", "far", "rank", "next", "whole"],
+        names=_NAMES,
     )
 
 
-_SCHEMA = "uid long, anchor int, near int, far int, rank long, next long, whole long"
-
-
 def _judged(groups: DataFrame, name: str) -> DataFrame:
     """The groups that are not alone in their rank pair, with `done`: all their windows repeat.
 
-    `open`: some group of the pair is not done.
+    `open`: some group of the pair is not done. Groups are counted by pair first; what they span is
+    compared only for those that are not alone.
     """
-    pairs = groups.groupBy("rank", "next", "whole").agg(F.count(F.lit(1)).alias("same"))
-    shared = (
-        pairs.groupBy("rank", "next")
-        .agg(F.sum("same").alias("n"), F.max(F.col("same") == 1).alias("open"))
-        .where("n > 1")
-        .select("rank", "next", "open")
-    )
-    repeated = pairs.where("same > 1").select("rank", "next", "whole", F.lit(True).alias("done"))
-    left = written(groups.join(shared, ["rank", "next"]), f"{name}-pairs")
-    return written(
-        left.join(repeated, ["rank", "next", "whole"], "left").withColumn("done", F.coalesce("done", F.lit(False))),
-        f"{name}-judged",
-    )
+    pair = ["rank", "next"]
+    shared = groups.groupBy(pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(pair)
+    left = written(groups.join(shared, pair), f"{name}-pairs")
+    kinds = written(left.groupBy(*pair, "whole").agg(F.count(F.lit(1)).alias("same")), f"{name}-kinds")
+    open_pairs = kinds.groupBy(pair).agg(F.max(F.col("same") == 1).alias("open"))
+    verdicts = kinds.join(open_pairs, pair).select(*pair, "whole", (F.col("same") > 1).alias("done"), "open")
+    return written(left.join(verdicts, [*pair, "whole"]), f"{name}-judged")
 
 
 def _still_open(judged: DataFrame) -> DataFrame:
@@ -170,34 +170,77 @@ def _still_open(judged: DataFrame) -> DataFrame:
     return judged.where("NOT done").select(place).union(partners)
 
 
-def repeated_spans(docs: DataFrame, threshold: int = 200, text: str = "text") -> DataFrame:
+def repeated_spans(texts: DataFrame, threshold: int = 200) -> DataFrame:
     """(uid, spans): per document with any, the byte ranges [begin, end) that repeated windows cover, merged.
 
-    `docs` has a unique `uid`. A document's ranges are at most as many as its bytes over `threshold`
-    plus its anchors, so gathering them is bounded by the document itself.
+    `texts` has a unique `uid` and `text`, best bucketed by uid. A document's ranges are at most as many as its
+    anchors and windows, so gathering them is bounded by the document itself.
     """
     if threshold < SPAN + GRAM:
         raise ValueError(f"threshold must be at least {SPAN + GRAM} bytes")
-    source = docs.select("uid", F.col(text).cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
             for begin, end, raw, offsets in _bytes(batch.column("text")):
                 names = Names(raw)
-                rows = _anchors(names, offsets, threshold)
-                yield _batch(_rows(names, rows, WIDTHS[0], threshold), uids[begin:end], offsets)
+                rows = _rows(names, _anchors(names, offsets, threshold), WIDTHS[0], threshold)
+                yield _batch(rows, uids[begin:end], offsets)
 
-    covered, groups = None, source.mapInArrow(first, _SCHEMA)
+    def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, rows, text in zip(batch.column("uid"), batch.column("rows"), batch.column("text")):
+                raw = text.as_py().encode()
+                places = [(r["anchor"], r["near"], r["far"]) for r in rows.as_py()]
+                columns = [pa.array([r[k] for r in places], pa.int32()) for k in range(3)]
+                cuts = pa.array([raw[a - far : a - near + threshold] for a, near, far in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()] * len(places)), *columns, cuts], names=["uid", "anchor", "near", "far", "cut"])
+
+    def again(width: int):
+        """Splits the groups of an excerpt; `rows` are the parts of it that are still open."""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                uids = batch.column("uid").to_numpy(zero_copy_only=False)
+                places, far = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("anchor", "far"))
+                lists = batch.column("rows")
+                for begin, end, raw, offsets in _bytes(batch.column("cut")):
+                    some = lists.slice(begin, end - begin)
+                    which = np.repeat(np.arange(end - begin), np.asarray(some.value_lengths()))
+                    near_, far_ = (some.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+                    anchors = offsets[:-1] + far[begin:end]
+                    values = _rows(Names(raw), (which, anchors[which], near_, far_), width, threshold)
+                    yield _batch(values, uids[begin:end], anchors - places[begin:end])
+
+        return split
+
+    covered, cuts = None, None
+    groups = texts.select("uid", "text").mapInArrow(first, _SCHEMA)
     for k, width in enumerate(WIDTHS):
-        judged = _judged(groups if k == 0 else written(groups, f"round{k}"), f"round{k}")
-        done = judged.where("done" if width > 1 else "true")
+        judged = _judged(groups, f"round{k}")
+        done = judged.where("done") if width > 1 else judged
         found = done.select("uid", (F.col("anchor") - F.col("far")).alias("begin"), (F.col("anchor") - F.col("near") + threshold).alias("end"))
         covered = found if covered is None else covered.union(found)
         if width == 1:
             break
-        open_rows = _still_open(judged).groupBy("uid").agg(F.collect_list(F.struct("anchor", "near", "far")).alias("rows"))
-        groups = open_rows.join(source, "uid").mapInArrow(_again(WIDTHS[k + 1], threshold), _SCHEMA)
+        open_rows = _still_open(judged)
+        if cuts is None:
+            listed = open_rows.groupBy("uid").agg(F.collect_list(F.struct("anchor", "near", "far")).alias("rows"))
+            cuts = written(
+                listed.join(texts.select("uid", "text"), "uid").select("uid", "rows", "text").mapInArrow(
+                    excerpts, "uid long, anchor int, near int, far int, cut binary"
+                ),
+                "excerpts",
+            )
+            parts = cuts.withColumn("rows", F.array(F.struct("near", "far")))
+        else:
+            # Anchors of one text lie apart, but one anchor may have several groups where a text repeats itself.
+            part = open_rows.select("uid", "anchor", F.col("near").alias("n"), F.col("far").alias("f"))
+            inside = cuts.join(part, ["uid", "anchor"]).where("n >= near AND f <= far")
+            parts = inside.groupBy("uid", "anchor", "near", "far").agg(
+                F.first("cut").alias("cut"), F.collect_list(F.struct(F.col("n").alias("near"), F.col("f").alias("far"))).alias("rows")
+            )
+        groups = written(parts.select("uid", "anchor", "far", "rows", "cut").mapInArrow(again(WIDTHS[k + 1]), _SCHEMA), f"round{k + 1}")
 
     @F.pandas_udf("array<struct<begin:int,end:int>>")
     def merged(spans: pd.Series) -> pd.Series:
@@ -213,23 +256,6 @@ def repeated_spans(docs: DataFrame, threshold: int = 200, text: str = "text") ->
     return covered.groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).select("uid", merged("spans").alias("spans"))
 
 
-def _again(width: int, threshold: int):
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uids = batch.column("uid").to_numpy(zero_copy_only=False)
-            lists = batch.column("rows")
-            for begin, end, raw, offsets in _bytes(batch.column("text")):
-                names = Names(raw)
-                some = lists.slice(begin, end - begin)
-                flat = some.flatten()
-                doc = np.repeat(np.arange(end - begin), np.asarray(some.value_lengths()))
-                part = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-                rows = (doc, part[0] + offsets[doc], part[1], part[2])
-                yield _batch(_rows(names, rows, width, threshold), uids[begin:end], offsets)
-
-    return again
-
-
 def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", kept: str = "kept_text") -> DataFrame:
     """Every document with `kept` (its bytes outside repeated windows), n_bytes, n_removed, n_spans and kept_sha256.
 
@@ -238,10 +264,9 @@ def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", ke
     those of the added names are replaced. No rows give no rows.
     """
     added = [kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "uid"]
-    numbered = written(
-        docs.select(*[f"`{c}`" for c in docs.columns if c not in added]).withColumn("uid", F.monotonically_increasing_id()), "numbered-texts"
-    )
-    spans = written(repeated_spans(numbered, threshold, text), "spans")
+    rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in added])
+    numbered = bucketed(rows.withColumn("uid", F.monotonically_increasing_id()), "uid", "numbered-texts")
+    spans = written(repeated_spans(numbered.select("uid", F.col(text).cast("string").alias("text")), threshold), "spans")
 
     @F.pandas_udf("binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -264,7 +289,7 @@ def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", ke
             kept,
             F.octet_length(whole).cast("long").alias("n_bytes"),
             F.coalesce(F.aggregate("spans", none, lambda n, s: n + s["end"] - s["begin"]), none).alias("n_removed"),
-            F.coalesce(F.size("spans").cast("long"), none).alias("n_spans"),
+            F.when(F.col("spans").isNull(), none).otherwise(F.size("spans").cast("long")).alias("n_spans"),
             F.sha2(kept, 256).alias("kept_sha256"),
         )
     )
