@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import mixing, packing, quality_model
+from loglattice.llm import jaccard_join, mixing, packing, quality_model
 from loglattice.llm import quality_rules as rules
 from loglattice.llm import suffix_dedup, token_files, toxicity, vector_links, warc_zip
 
@@ -44,6 +44,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(manifest))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_links(docs, threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_model.quality_scores(docs, table(spark, sf_dir, "labels"))
@@ -75,6 +80,7 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_model": op6_quality_model,
     "op7_toxicity": op7_toxicity,
     "op8_warc_zip": op8_warc_zip,

@@ -293,3 +293,9 @@ def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", ke
             F.sha2(kept, 256).alias("kept_sha256"),
         )
     )
+
+
+@F.pandas_udf("string")
+def readable(raw: pd.Series) -> pd.Series:
+    """Bytes as text, without the remains of characters that a cut went through."""
+    return pd.Series([None if x is None else x.decode("utf-8", "ignore") for x in raw])
