@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import bucketed, written
@@ -295,7 +295,11 @@ def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", ke
     )
 
 
-@F.pandas_udf("string")
-def readable(raw: pd.Series) -> pd.Series:
+def readable(column: str) -> Column:
     """Bytes as text, without the remains of characters that a cut went through."""
-    return pd.Series([None if x is None else x.decode("utf-8", "ignore") for x in raw])
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else x.decode("utf-8", "ignore") for x in raw])
+
+    return decoded(column)
