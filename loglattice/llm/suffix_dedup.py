@@ -266,7 +266,7 @@ def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", ke
     added = [kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "uid"]
     rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in added])
     numbered = bucketed(rows.withColumn("uid", F.monotonically_increasing_id()), "uid", "numbered-texts")
-    spans = written(repeated_spans(numbered.select("uid", F.col(text).cast("string").alias("text")), threshold), "spans")
+    spans = written(repeated_spans(numbered.select("uid", F.col(text).cast("string").alias("text")), threshold).withColumnRenamed("spans", "__spans"), "spans")
 
     @F.pandas_udf("binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -283,13 +283,13 @@ def dedup_passages(docs: DataFrame, threshold: int = 200, text: str = "text", ke
     none = F.lit(0).cast("long")
     return (
         numbered.join(spans, "uid", "left")
-        .withColumn(kept, cut(whole, "spans"))
+        .withColumn(kept, cut(whole, "__spans"))
         .select(
             *[f"`{c}`" for c in numbered.columns if c != "uid"],
             kept,
             F.octet_length(whole).cast("long").alias("n_bytes"),
-            F.coalesce(F.aggregate("spans", none, lambda n, s: n + s["end"] - s["begin"]), none).alias("n_removed"),
-            F.when(F.col("spans").isNull(), none).otherwise(F.size("spans").cast("long")).alias("n_spans"),
+            F.coalesce(F.aggregate("__spans", none, lambda n, s: n + s["end"] - s["begin"]), none).alias("n_removed"),
+            F.when(F.col("__spans").isNull(), none).otherwise(F.size("__spans").cast("long")).alias("n_spans"),
             F.sha2(kept, 256).alias("kept_sha256"),
         )
     )
