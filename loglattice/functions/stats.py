@@ -13,24 +13,20 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)
 
 
-def thousandths(value: Column) -> Column:
-    """The value in whole thousandths.
+def mean(value: Column, digits: int = 2) -> Column:
+    """Rounded average; NULLs do not count, a NaN makes it NaN."""
+    return _rounded(F.avg(value), digits)
 
-    Sums of these are exact integers, so an average does not depend on the
-    order in which tasks add up doubles and never flips at a rounding border.
-    """
-    return F.round(value * 1000).cast("bigint")
 
+def mean_of(total: Column, n: Column, digits: int = 2) -> Column:
+    """Rounded average from a sum and the number of values in it."""
+    return _rounded(F.try_divide(total.cast("double"), n.cast("double")), digits)
 
-def mean(value: Column, digits: int = 2) -> Column:
-    """Rounded average of a measure that has at most three decimals."""
-    return mean_of(F.sum(thousandths(value)), F.count(value), digits)
 
-
-def mean_of(total_thousandths: Column, n: Column, digits: int = 2) -> Column:
-    """Rounded average from a sum of `thousandths` and a count."""
-    ratio = F.try_divide(total_thousandths.cast("double"), n.cast("double"))
-    return F.round(ratio / 1000, digits)
+def _rounded(ratio: Column, digits: int) -> Column:
+    """Rounded half up. Sums of doubles differ in their last digits with the order of rows;
+    rounding those away first keeps them from flipping a tie."""
+    return F.round(F.round(ratio, digits + 7), digits)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -53,7 +49,13 @@ def exact_quantiles(
     """
     keys = list(keys)
     known = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
-    unit = F.coalesce(F.floor(F.col(value)), F.lit(-(2**62)))  # NULLs apart
+    number = F.col(value).cast("double")
+    # NULLs apart, NaN after all numbers; units beyond a long's range share the outermost ones
+    unit = (
+        F.when(number.isNull(), F.lit(-(2**62)))
+        .when(F.isnan(number), F.lit(2**62))
+        .otherwise(F.floor(F.greatest(F.lit(-1e18), F.least(F.lit(1e18), number))))
+    )
     counts = counts.withColumn("_unit", unit).withColumn("_known", known)
     units = counts.groupBy(*keys, "_unit").agg(F.sum("_known").alias("_n"))
     per_key = Window.partitionBy(*keys)

@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 
 def as_of_column(log: DataFrame, as_of, ts: str = "request_timestamp") -> Column:
-    """The given instant, or the newest row of the log as a scalar subquery."""
+    """The given instant as a literal; without one, the newest row of the log."""
     if as_of is None:
-        return log.agg(F.max(ts)).scalar()
-    if isinstance(as_of, (dt.datetime, str)):
+        as_of = newest(log, ts)
+    if as_of is None or isinstance(as_of, (dt.datetime, str)):
         return F.lit(as_of).cast("timestamp")
     return as_of
 
 
-def newest(log: DataFrame, ts: str = "request_timestamp") -> dt.datetime:
-    """The newest instant as a plain value (one row reaches the driver).
+def newest(log: DataFrame, ts: str = "request_timestamp") -> str | None:
+    """The newest instant as text in the session's zone (one row reaches the driver).
 
-    A literal bound prunes partitions when the query is planned; a subquery
-    does not.
+    A literal bound prunes partitions when the query is planned; a subquery does
+    not. On a log with a `date` column only its newest day is read for the time.
     """
-    return log.agg(F.max(ts).alias("t")).first()["t"]
+    if "date" in log.columns:
+        # Cast to text and back: a date from Python would go through the driver's zone.
+        day = log.agg(F.max("date").cast("string").alias("d")).first()["d"]
+        if day is not None:
+            log = log.where(F.col("date") == F.lit(day).cast("date"))
+    return log.agg(F.max(ts).cast("string").alias("t")).first()["t"]
 
 
 def back(as_of: Column, *, days: int = 0, hours: int = 0) -> Column:
@@ -34,12 +39,12 @@ def since(log: DataFrame, as_of, *, days: int = 0, hours: int = 0,
           ts: str = "request_timestamp") -> DataFrame:
     """Rows no older than the given span.
 
-    With a literal `as_of` the bound is repeated on the stored `date` column,
-    because a predicate on the timestamp alone does not prune partitions.
+    The bound is repeated on the stored `date` column, because a predicate on
+    the timestamp alone does not prune partitions.
     """
     start = back(as_of_column(log, as_of, ts), days=days, hours=hours)
     kept = log.where(F.col(ts) >= start)
-    if as_of is not None and "date" in log.columns:
+    if "date" in log.columns:
         kept = kept.where(F.col("date") >= F.to_date(start))
     return kept
 

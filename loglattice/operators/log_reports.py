@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.stats import (
-    approx_quantiles, exact_quantiles, mean, mean_of, percent, thousandths, value_counts,
+    approx_quantiles, exact_quantiles, mean, mean_of, percent, value_counts,
 )
 from ..functions.times import as_of_column, back, since
 
@@ -68,7 +68,7 @@ def domain_scorecard(
         .agg(
             _hits().alias("n"),
             _n_ok().alias("n_ok"),
-            F.sum(thousandths(F.col(LATENCY))).alias("ms"),
+            F.sum(LATENCY).alias("ms"),
             F.count(LATENCY).alias("n_ms"),
             F.min("request_timestamp").alias("first"),
             F.max("request_timestamp").alias("last"),
@@ -152,7 +152,7 @@ def _with_quantiles(rows, keys, probs, approximate, mean_name=None) -> DataFrame
     else:
         counts = value_counts(rows, keys, LATENCY)
         n = F.col("_n")
-        total = F.sum(thousandths(F.col(LATENCY)) * n)
+        total = F.sum(F.col(LATENCY) * n)
         known = F.sum(F.when(F.col(LATENCY).isNotNull(), n))
         extra = [mean_of(total, known).alias(mean_name)] if mean_name else []
         plain = counts.groupBy(*keys).agg(F.sum(n).alias("hits"), *extra)
@@ -203,17 +203,19 @@ def endpoint_popularity(
 def load_health(log: DataFrame, limit: int = 7) -> DataFrame:
     """Rows, extent and distinct domains of the newest request days.
 
-    The days are found first, so a table partitioned by `date` is read for
-    these days only. The broadcast side has `limit` rows.
+    The days are found first (`limit` values reach the driver), so that a table
+    partitioned by `date` is read for these days only. Rows without a day are
+    one, the oldest.
     """
     if "date" not in log.columns:
         log = log.withColumn("date", F.to_date("request_timestamp"))
-    # Partitions are pruned by a join only if its other side looks selective;
-    # a limit does not count as that, a comparison does.
-    dated = log.select("date").where(F.col("date") > F.to_date(F.lit("0001-01-01")))
-    days = dated.distinct().orderBy(F.desc("date")).limit(limit)
+    newest = log.select("date").distinct().orderBy(F.desc_nulls_last("date")).limit(limit).collect()
+    days = [r["date"] for r in newest if r["date"] is not None]
+    wanted = F.col("date").isin(days) if days else F.lit(False)
+    if len(days) < len(newest):
+        wanted = wanted | F.col("date").isNull()
     return (
-        log.join(F.broadcast(days), "date", "left_semi")
+        log.where(wanted)
         .groupBy(F.col("date").alias("sync_date"))
         .agg(
             _hits().alias("records"),

@@ -18,6 +18,7 @@ MAX_CHARS = 500
 INJECTION_STARTS = r"adijprswy\[<"
 MAX_MESSAGES = 10
 FLAG_SECONDS = 300
+SLICES = 16
 
 
 def _length_reason(clean: Column, subject: str) -> Column:
@@ -84,17 +85,9 @@ def suspicious_phrases(texts: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
-def newest_per_slice(requests: DataFrame, ttl: int = FLAG_SECONDS) -> DataFrame:
-    """The last injection of each address in each slice of `ttl` seconds."""
-    return (
-        requests.where("is_injection")
-        .groupBy("client_ip", _slice(ttl).alias("_slice"))
-        .agg(F.max("ts").alias("ts"))
-    )
-
-
 def _slice(ttl: int) -> Column:
-    return F.floor(F.unix_micros("ts") / F.lit(ttl * 1_000_000))
+    """Time in steps of a sixteenth of the flag's lifetime."""
+    return F.floor(F.unix_micros("ts") * SLICES / F.lit(ttl * 1_000_000)).cast("bigint")
 
 
 def _with_last_injection(
@@ -102,11 +95,11 @@ def _with_last_injection(
 ) -> DataFrame:
     """Adds `_slice` and `_last`, the newest injection before each request.
 
-    Time is cut into slices of the flag's lifetime. A flag that still holds was
-    set in the request's own slice or the one before, so each slice gets one
-    carried row per address, the last injection of the slice before it, and is
-    ordered on its own. `earlier` holds injections (client_ip, ts) known from
-    before; they only arm flags.
+    Time is cut into slices. Each slice gets one carried row per address, the
+    last injection of the slices before it that its flag can reach, which are
+    maxima combined before they are shuffled; so only the requests of one address
+    in one slice are ordered together. `earlier` holds injections (client_ip,
+    ts) known from before; they only arm flags.
     """
 
     def armed(rows: DataFrame) -> DataFrame:
@@ -121,8 +114,11 @@ def _with_last_injection(
     )
     if earlier is not None:
         rows = rows.unionByName(armed(earlier.withColumn("_slice", _slice(ttl))))
+    newest = rows.where("is_injection").groupBy("client_ip", "_slice").agg(F.max("ts").alias("ts"))
+    reached = newest.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(SLICES + 1))))
     carried = armed(
-        newest_per_slice(rows, ttl).withColumn("_slice", F.col("_slice") + 1)
+        reached.groupBy("client_ip", (F.col("_slice") + F.col("_ahead")).alias("_slice"))
+        .agg(F.max("ts").alias("ts"))
     )
     before = (
         Window.partitionBy("client_ip", "_slice")
@@ -200,7 +196,10 @@ def rate_limit(
     Each task cuts its share of a window down to `limit` rows before the
     shuffle that finds it. Only windows that reach the limit have such a
     request, so what is joined back is small and a hot key stays spread out.
+    A limit of zero allows nothing; a negative one is an error.
     """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
     spot = F.struct("ts", "query_id")
     rows = requests.select(
         "query_id", key, "ts", F.window("ts", window)["start"].alias("window_start")

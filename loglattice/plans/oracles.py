@@ -29,8 +29,7 @@ def rounded(x: str, digits: int) -> str:
 
 
 def avg_ms(column: str = "response_time_ms", digits: int = 2) -> str:
-    total = f"sum(CAST(round({column} * 1000) AS BIGINT))"
-    return rounded(f"(CAST({total} AS DOUBLE) / count({column}) / 1000)", digits)
+    return rounded(f"avg({column})", digits)
 
 
 def pct(part: str, whole: str, digits: int) -> str:

@@ -694,7 +694,7 @@ def stream_ip_flags(spark, sf):
     requests = d.screened_requests(_event_stream(spark, sf))
     armed = scratch_path(spark, "armed")
     flag_streams.stream_ip_flags(requests, path, armed, checkpoint, LONG_TTL).checked()
-    return spark.read.parquet(path).drop("batch_id")
+    return flag_streams.verdicts_from(spark, path)
 
 
 @query

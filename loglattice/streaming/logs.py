@@ -1,8 +1,7 @@
-"""Appending served requests, and loading them into the warehouse exactly once."""
+"""Appending served requests, and loading each of them into the warehouse once."""
 
 from __future__ import annotations
 
-import datetime as dt
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..operators.retrieval import weak_matches
 from ..operators.sync import enrich_requests, to_warehouse
 from ..schemas import LIVE_LOG
 from ..session import path_exists
-from .runner import StreamRun, run_available, write_batch
+from .runner import StreamRun, run_available, stream_name, write_batch
 
 logger = logging.getLogger(__name__)
 
@@ -40,44 +39,42 @@ def stream_weak_matches(results: DataFrame, path: str, checkpoint: str) -> Strea
     return run_available(writer, checkpoint)
 
 
-def _loaded_by_others(
-    spark: SparkSession, warehouse: str, batch_id: int, first: dt.date, last: dt.date
-) -> DataFrame:
-    """Ids other batches have loaded for the given days; one column is read."""
-    return (
-        spark.read.parquet(warehouse)
-        .where(F.col("date").between(F.lit(first), F.lit(last)))
-        .where(F.col("batch_id") != batch_id)
-        .select("query_id")
-    )
-
-
-def load_batch(log: DataFrame, batch_id: int, warehouse: str, ledger: str) -> tuple[int, int]:
+def load_batch(
+    log: DataFrame, batch_id: int, warehouse: str, ledger: str, stream: str = "s0"
+) -> tuple[int, int]:
     """Load one micro-batch, record its ids; rows fetched and rows loaded.
 
-    A row that comes twice, in this batch or an earlier one, is loaded once.
-    Both writes replace the batch's own partitions, so a crash between them, or
-    in the middle of one, is repaired by running the batch again.
+    An id that comes twice is loaded once, whatever day, stream or checkpoint it
+    came from before; of several rows in this batch the earliest. Both writes
+    replace what this batch of this stream left, so a crash between them, or in
+    the middle of one, is repaired by running the batch again. Two streams
+    loading one warehouse must take turns, or ids both fetch meanwhile come twice.
     """
     spark = log.sparkSession
     rows = to_warehouse(log)
     facts = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+        F.count(F.lit(1)).alias("n"), F.min("query_id").alias("low"), F.max("query_id").alias("high")
     ).first()
     if not facts["n"]:
         return 0, 0
-    fresh = rows.dropDuplicates(["query_id"])
+    rest = [c for c in rows.columns if c not in ("query_id", "request_timestamp")]
+    first = F.min(F.struct("request_timestamp", *rest)).alias("first")
+    fresh = rows.groupBy("query_id").agg(first).select("query_id", "first.*").select(rows.columns)
+    own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
     if path_exists(spark, warehouse):
-        loaded = _loaded_by_others(spark, warehouse, batch_id, facts["first"], facts["last"])
-        fresh = fresh.join(loaded, "query_id", "left_anti")
-    write_batch(fresh.hint("rebalance", "date"), warehouse, batch_id, ("date",))
+        # One column of the row groups that can hold one of the ids.
+        others = spark.read.parquet(warehouse).where(
+            F.col("query_id").between(facts["low"], facts["high"]) & ~own
+        )
+        fresh = fresh.join(others.select("query_id"), "query_id", "left_anti")
+    write_batch(fresh.hint("rebalance", "date"), warehouse, batch_id, ("date",), stream)
     if not path_exists(spark, warehouse):
         return facts["n"], 0
     # counted in the table: a figure gathered while writing may count a task
     # twice that was run again
-    written = spark.read.parquet(warehouse).where(F.col("batch_id") == batch_id)
+    written = spark.read.parquet(warehouse).where(own)
     ids = written.select("query_id", F.current_timestamp().alias("synced_at"))
-    write_batch(ids, ledger, batch_id)
+    write_batch(ids, ledger, batch_id, (), stream)
     return facts["n"], written.count()
 
 
@@ -106,8 +103,9 @@ def run_sync(
 def sync_stream(log: DataFrame, warehouse: str, ledger: str, checkpoint: str) -> DataFrame:
     """The same from a stream of live-log rows."""
     counts: list[tuple[int, int]] = []
+    name = stream_name(log.sparkSession, checkpoint)
     writer = log.writeStream.foreachBatch(
-        lambda df, batch_id: counts.append(load_batch(df, batch_id, warehouse, ledger))
+        lambda df, batch_id: counts.append(load_batch(df, batch_id, warehouse, ledger, name))
     )
     run = run_available(writer, checkpoint)
     fetched, loaded = sum(c[0] for c in counts), sum(c[1] for c in counts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..session import path_exists
+
 logger = logging.getLogger(__name__)
 
 
@@ -48,30 +51,47 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamRun:
     )
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
-    """Write a micro-batch under its own `batch_id`, replacing what an earlier
-    attempt at the same batch left there."""
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name under which a checkpoint's stream writes, made up once and kept in it.
+
+    Batch ids start at zero with every checkpoint; only together with this name
+    do they tell a batch from those of other streams, or of a lost checkpoint.
+    """
+    path = f"{checkpoint.rstrip('/')}/stream-name"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        name = f"s{uuid.uuid4().hex}"
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()["value"]
+
+
+def write_batch(
+    df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = (), stream: str = "s0"
+) -> None:
+    """Write a micro-batch under its stream's name and its own `batch_id`,
+    replacing what an earlier attempt at the same batch left there."""
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        df.withColumn("stream", F.lit(stream))
+        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions, "batch_id")
+        .partitionBy(*partitions, "stream", "batch_id")
         .parquet(path)
     )
 
 
 def write_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamRun:
     """Run an aggregation in update mode, keeping each batch's changed rows."""
+    name = stream_name(stream.sparkSession, checkpoint)
     writer = stream.writeStream.outputMode("update").foreachBatch(
-        lambda df, batch_id: write_batch(df, path, batch_id)
+        lambda df, batch_id: write_batch(df, path, batch_id, stream=name)
     )
     return run_available(writer, checkpoint)
 
 
 def newest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The latest state of each key in a change table."""
+    """The latest state of each key in the change table of one stream."""
     changes = spark.read.parquet(path)
-    values = [c for c in changes.columns if c not in (*keys, "batch_id")]
+    values = [c for c in changes.columns if c not in (*keys, "stream", "batch_id")]
     return (
         changes.groupBy(*keys)
         .agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean_of, thousandths
+from ..functions.stats import mean_of
 from ..operators.log_reports import session_depth_of, session_parts
 from .runner import StreamRun, newest_rows, write_changes
 
@@ -24,7 +24,7 @@ def stream_hourly_traffic(log: DataFrame, path: str, checkpoint: str) -> StreamR
         .groupBy(F.window("request_timestamp", "1 hour").alias("w"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(thousandths(F.col("response_time_ms"))).alias("ms"),
+            F.sum("response_time_ms").alias("ms"),
             F.count("response_time_ms").alias("n_ms"),
         )
     )

@@ -84,9 +84,29 @@ def test_flags(spark, events, stream, places, ttl):
     out, checkpoint, armed = places
     requests = d.screened_requests(events)
     assert flags.stream_ip_flags(d.screened_requests(stream), out, armed, checkpoint, ttl).success
-    verdicts = spark.read.parquet(out).drop("batch_id")
+    verdicts = flags.verdicts_from(spark, out)
     assert same(verdicts, screening.flagged_requests(requests, ttl))
-    assert same(screening.flag_counts(verdicts, ttl), screening.flag_counts(requests, ttl))
+    assert same(flags.flag_counts_from(spark, out, ttl), screening.flag_counts(requests, ttl))
+
+
+@pytest.mark.parametrize("ttl", [60, 300])
+def test_flags_of_late_requests(spark, places, ttl):
+    """Requests in batches of shuffled order, none more than ten minutes late."""
+    import random
+
+    random.seed(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, random.choice("ab"), start + dt.timedelta(seconds=i * 20), random.random() < 0.08) for i in range(600)]
+    rows.append((1000, "a", start + dt.timedelta(seconds=1990), False))
+    requests = spark.createDataFrame(rows, "query_id long, client_ip string, ts timestamp, is_injection boolean")
+    out, _, state = places
+    late = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=random.uniform(0, 590)))
+    for batch_id, low in enumerate(range(0, len(late), 40)):
+        flags.screen_batch(spark.createDataFrame(late[low : low + 40], requests.schema), batch_id, out, state, ttl)
+    want = screening.flagged_requests(requests, ttl)
+    assert same(flags.verdicts_from(spark, out), want)
+    assert want.where("deflected AND NOT is_injection").count() > 0
+    assert same(flags.flag_counts_from(spark, out, ttl), screening.flag_counts(requests, ttl))
 
 
 def test_flag_batch_run_again_changes_nothing(spark, events, places):
@@ -95,7 +115,7 @@ def test_flag_batch_run_again_changes_nothing(spark, events, places):
     for batch_id, part in enumerate((requests.where("query_id < 500"), requests.where("query_id >= 500"))):
         for _ in range(2):
             flags.screen_batch(part, batch_id, out, armed, 200_000)
-    assert same(spark.read.parquet(out).drop("batch_id"), screening.flagged_requests(requests, 200_000))
+    assert same(flags.verdicts_from(spark, out), screening.flagged_requests(requests, 200_000))
 
 
 def test_session_depth(spark, events, stream, places):

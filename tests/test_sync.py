@@ -118,6 +118,40 @@ def test_sync_with_a_lost_checkpoint_and_repeated_rows(spark, places, tmp_path):
     assert ids(spark, warehouse) == [0, 1, 2, 3]
 
 
+def test_two_checkpoints_into_one_warehouse(spark, tmp_path):
+    """Batch ids start anew with each checkpoint; no row of another stream is replaced."""
+    at = {n: str(tmp_path / n) for n in ("one", "two", "warehouse", "ledger", "c1", "c2")}
+    live(spark, [0, 2, 4]).write.parquet(at["one"])
+    live(spark, [1, 3, 5]).write.parquet(at["two"])
+    for source, checkpoint in (("one", "c1"), ("two", "c2"), ("one", "c1")):
+        streams.run_sync(spark, at[source], at["warehouse"], at["ledger"], at[checkpoint])
+    assert ids(spark, at["warehouse"]) == ids(spark, at["ledger"]) == list(range(6))
+
+
+def test_lost_checkpoint_with_a_trimmed_source(spark, places, tmp_path):
+    source, warehouse, ledger, checkpoint = places
+    live(spark, [0, 1, 2]).write.parquet(source)
+    streams.run_sync(spark, *places)
+    trimmed = str(tmp_path / "trimmed")
+    live(spark, [2, 3]).write.parquet(trimmed)
+    streams.run_sync(spark, trimmed, warehouse, ledger, str(tmp_path / "new"))
+    assert ids(spark, warehouse) == ids(spark, ledger) == [0, 1, 2, 3]
+
+
+def test_an_id_sent_again_on_another_day_loads_once(spark, places):
+    source, warehouse, ledger, checkpoint = places
+    rows = live(spark, [0, 1, 2])
+    rows.write.parquet(source)
+    streams.run_sync(spark, *places)
+    again = rows.withColumn("timestamp", F.col("timestamp") + 5 * 86_400)
+    again.union(live(spark, [7])).union(live(spark, [7]).withColumn("timestamp", F.col("timestamp") - 86_400)).write.mode("append").parquet(source)
+    streams.run_sync(spark, *places)
+    assert ids(spark, warehouse) == [0, 1, 2, 7]
+    kept = spark.read.parquet(warehouse).where("query_id = 7").first()["request_timestamp"]
+    want = sync.to_warehouse(live(spark, [7])).first()["request_timestamp"] - dt.timedelta(days=1)
+    assert kept == want
+
+
 def test_stream_failure_is_reported_not_raised(spark, tmp_path):
     bad = streams.run_sync(spark, str(tmp_path / "missing"), *[str(tmp_path / n) for n in "abc"])
     assert bad.first()["success"] is False and bad.first()["records_loaded"] == 0
