@@ -33,7 +33,7 @@ BY_NAME = [
     "funnel_by_campaign", "funnel_dropoff", "session_depth", "campaign_device_region",
     "latency_percentiles", "flagged_requests", "rate_limit", "cosine_top_k",
     "cosine_top_k_blocked", "chunk_lines", "chunk_words", "anonymize_documents",
-    "detect_injection", "generate_access_log",
+    "detect_injection", "read_csv_log",
 ]
 
 

@@ -67,14 +67,18 @@ def profile_sections(profiles: DataFrame, section: str = "all") -> DataFrame:
 
 def action_validation(actions: DataFrame) -> DataFrame:
     """Status, message and confirmation of recruiter actions; an action that
-    lacks a field gets the name of the first one instead."""
+    lacks a field gets the name of the first one instead, one that is neither a
+    contact nor a shortlist request the field `action`."""
 
     def first_missing(fields) -> Column:
         return F.coalesce(*[F.when(F.col(f).isNull(), f) for f in fields])
 
     is_contact = F.col("action") == "contact"
-    missing = F.when(is_contact, first_missing(fv.CONTACT_FIELDS)).otherwise(
-        first_missing(fv.SHORTLIST_FIELDS)
+    known = F.coalesce(F.col("action").isin("contact", "shortlist"), F.lit(False))
+    missing = (
+        F.when(~known, F.lit("action"))
+        .when(is_contact, first_missing(fv.CONTACT_FIELDS))
+        .otherwise(first_missing(fv.SHORTLIST_FIELDS))
     )
     accepted = F.col("missing_field").isNull()
     digest = F.md5(F.col("action_id").cast("string"))
@@ -100,7 +104,12 @@ def _bullets(items: Column) -> Column:
 
 
 def _label(key: Column) -> Column:
-    return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
+    """Title case: a letter after anything but a letter is upper case, others lower."""
+    low = F.lower(F.replace(key, F.lit("_"), F.lit(" ")))
+    parts = F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(
+        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10**6))), ""
+    )
 
 
 def render_profile_text(profiles: DataFrame) -> DataFrame:

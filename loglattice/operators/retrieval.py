@@ -81,14 +81,17 @@ def pandas_encoder(
 def embed_chunks(
     chunks: DataFrame, encoder: Encoder | None = None, existing: DataFrame | None = None
 ) -> DataFrame:
-    """Chunks (`tier`, `chunk_index`, `text`) with an id and a vector. Tiers that
-    already hold chunks are left as they are."""
+    """Chunks (`tier`, `doc_id`, `chunk_index`, `text`) with an id and a vector. Tiers
+    that already hold chunks are left as they are. Ids are unique within a tier;
+    without `doc_id`, the chunk numbers must be."""
     if existing is not None:
         chunks = chunks.join(existing.select("tier").distinct(), "tier", "left_anti")
     prefix = F.col("tier")
     for tier, short in fv.TIER_PREFIXES.items():
         prefix = F.when(F.col("tier") == tier, short).otherwise(prefix)
-    named = chunks.withColumn("chunk_id", F.concat_ws("_", prefix, "chunk_index"))
+    # A chunk's number counts within its document; with the document's key in front it is the tier's own.
+    parts = [c for c in ("doc_id", "chunk_index") if c in chunks.columns]
+    named = chunks.withColumn("chunk_id", F.concat_ws("_", prefix, *parts))
     if encoder is None:
         return encode_texts(fit_text_encoder(named), named)
     return encoder(named)
@@ -232,10 +235,10 @@ def cosine_top_k(
     key = F.col(match) if match else F.lit("")
     q = queries.select(
         F.col(query_id).alias("query"), F.col(vector).alias("vector"), key.alias("key")
-    )
+    ).where("vector IS NOT NULL")
     v = vectors.select(
         F.col(vector_id).alias("id"), F.col(vector).alias("vector"), key.alias("key")
-    )
+    ).where("vector IS NOT NULL")
     schema = _candidate_schema(q, v)
     few = q.limit(broadcast_rows + 1).toPandas()
     numbers = sum(len(x) for x in few["vector"])

@@ -212,7 +212,7 @@ def rate_limit(
                 spot.alias("_last"))
     )
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("window_start") == F.col("_start"))
-    within = F.col("_last").isNull() | (spot <= F.col("_last"))
+    within = F.lit(limit > 0) & (F.col("_last").isNull() | (spot <= F.col("_last")))
     return rows.join(last_allowed, same, "left").select(
         "query_id", key, "ts", "window_start", within.alias("allowed")
     )

@@ -107,6 +107,21 @@ def request_log(events: DataFrame) -> DataFrame:
     )
 
 
+def historic_log(events: DataFrame) -> DataFrame:
+    """The same rows in the layout of the historic (CSV) log."""
+    return request_log(events).select(
+        "query_id",
+        F.col("request_timestamp").alias("timestamp"),
+        "recruiter_domain",
+        F.col("endpoint_path").alias("endpoint_hit"),
+        "skill_searched",
+        F.floor("response_time_ms").cast("int").alias("response_time_ms"),
+        F.col("http_status_code").alias("http_status"),
+        "user_agent",
+        F.concat(F.lit("https://"), "recruiter_domain").alias("referer_url"),
+    )
+
+
 def live_log(events: DataFrame) -> DataFrame:
     """The same rows in the layout the service writes."""
     log = request_log(events)

@@ -138,24 +138,12 @@ files AS (
     {entry_of(['.txt', '.md', '.py', '.pyc'], 'doc_id')} AS ext, text
   FROM docs)"""
 
-HISTORIC = f"""
-drawn AS (SELECT event_id, md5('42:' || event_id) AS a, md5('42:' || event_id || ':b') AS b FROM events),
-numbers AS (SELECT event_id, {', '.join(
-    f"CAST('0x' || substr({h}, {i * 8 + 1}, 8) AS BIGINT) AS {h}{i}" for h in "ab" for i in range(4)
-)} FROM drawn),
+HISTORIC = f"""{LOG},
 historic AS (
-  SELECT event_id AS query_id,
-    TIMESTAMP '2024-02-01 00:00:00' - to_seconds(b0 % {90 * 86_400}) AS timestamp,
-    {entry_of(fv.DOMAINS, 'a0')} AS recruiter_domain,
-    {entry_of(fv.ENDPOINTS, 'a1')} AS endpoint_hit,
-    CASE WHEN contains({entry_of(fv.ENDPOINTS, 'a1')}, 'skills') THEN {entry_of(fv.SKILLS, 'a2')} END
-      AS skill_searched,
-    CAST(a3 % 839 + 12 AS INTEGER) AS response_time_ms,
-    CASE WHEN b1 % 100 < 85 THEN 200 WHEN b1 % 100 < 90 THEN 304 WHEN b1 % 100 < 94 THEN 400
-      WHEN b1 % 100 < 98 THEN 404 ELSE 500 END AS http_status,
-    {entry_of(['agent/1.0', 'agent/2.0', 'agent/3.0', 'agent/4.0'], 'b2')} AS user_agent,
-    'https://' || {entry_of(fv.DOMAINS, 'a0')} AS referer_url
-  FROM numbers)"""
+  SELECT query_id, request_timestamp AS timestamp, recruiter_domain, endpoint_path AS endpoint_hit,
+    skill_searched, CAST(floor(response_time_ms) AS INTEGER) AS response_time_ms,
+    http_status_code AS http_status, user_agent, 'https://' || recruiter_domain AS referer_url
+  FROM log)"""
 
 ORACLES: dict[str, str] = {}
 add = ORACLES.__setitem__
@@ -363,7 +351,6 @@ FROM log"""
 add("read_access_log", log_query(LIVE))
 add("append_log_stream", log_query(LIVE))
 HISTORIC_ROWS = "SELECT * FROM historic"
-add("generate_access_log", f"WITH {HISTORIC} {HISTORIC_ROWS}")
 add("write_csv_log", f"WITH {HISTORIC} {HISTORIC_ROWS}")
 add("read_csv_log", f"WITH {HISTORIC}, " + scorecard("""
   SELECT recruiter_domain, timestamp AS request_timestamp, http_status AS http_status_code,
@@ -411,7 +398,13 @@ SELECT query_id, request_timestamp, http_method, endpoint_path, query_params, re
 FROM log"""))
 PER_DAY = 'SELECT date, count(*) AS "rows", count(DISTINCT query_id) AS ids'
 add("append_warehouse", log_query(f"{PER_DAY} FROM log GROUP BY 1"))
-add("run_sync", log_query(f"{PER_DAY}, count(*) AS synced FROM log GROUP BY 1"))
+for name in ("run_sync", "stream_sync"):
+    add(name, log_query(f"""
+SELECT query_id, request_timestamp, http_method, endpoint_path, query_params, recruiter_domain,
+  user_agent, client_ip, http_status_code, response_time_ms, request_timestamp AS created_at, {FUNNEL},
+  CAST(hour(request_timestamp) AS INTEGER) AS hour_of_day,
+  dayname(request_timestamp) AS day_of_week, date, 1 AS synced
+FROM log"""))
 add("mark_synced", f"""WITH {LOG}, {LEDGER}
 SELECT query_id, recruiter_domain,
   CASE WHEN query_id IN (SELECT query_id FROM ledger) THEN 1 ELSE 0 END AS synced
@@ -574,7 +567,7 @@ add("denylist_verdict", f"WITH {HITS_OF_SCAN} SELECT count(*) AS hits, count(*)
 # the ids and sizes; what the vectors hold has no SQL form
 add("embed_chunks", f"""WITH RECURSIVE {line_chunks('documents')}
 SELECT (['resume', 'interview', 'architecture'])[doc_id % 3 + 1] AS tier, doc_id,
-  (['chunk', 'iv', 'arch'])[doc_id % 3 + 1] || '_' || chunk_index AS chunk_id, 256 AS dimensions
+  (['chunk', 'iv', 'arch'])[doc_id % 3 + 1] || '_' || doc_id || '_' || chunk_index AS chunk_id, 256 AS dimensions
 FROM line_chunks""")
 DISTANCE = ("round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), "
             "CAST(v.embedding AS DOUBLE[])), 9)")
@@ -833,6 +826,5 @@ WHERE cost >= budget""")
 
 # -- streams: each equals its batch twin over the whole input ------------------
 
-add("stream_sync", hourly(""))
 add("stream_hourly_traffic", hourly(""))
 add("stream_session_depth", depth("funnel_stage IS NOT NULL"))

@@ -12,7 +12,7 @@ from ..operators import documents as docs
 from ..operators import log_api, log_reports, profiles, retrieval, screening, sync
 from ..schemas import HISTORIC_LOG, SKILL_ANALYSIS, WEAK_MATCH
 from ..session import prepare, scratch_path
-from ..sources import corpus, generator, jsonl, logs
+from ..sources import corpus, jsonl, logs
 from ..streaming import flags as flag_streams
 from ..streaming import logs as log_streams
 from ..streaming import windows
@@ -117,13 +117,7 @@ def read_access_log(spark, sf):
 
 
 def _historic(spark, sf) -> DataFrame:
-    events = d.table(spark, sf, "events")
-    return generator.access_log_for(events, "event_id", 42, "2024-02-01 00:00:00")
-
-
-@query
-def generate_access_log(spark, sf):
-    return _historic(spark, sf)
+    return d.historic_log(d.table(spark, sf, "events"))
 
 
 @query
@@ -287,14 +281,14 @@ def run_sync(spark, sf):
     ledger, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "state")
     _live(spark, sf).write.parquet(source)
     for _ in range(2):
-        log_streams.run_sync(spark, source, warehouse, ledger, checkpoint)
+        _succeeded(log_streams.run_sync(spark, source, warehouse, ledger, checkpoint))
     ids = spark.read.parquet(ledger).select("query_id")
-    rows = sync.mark_synced(spark.read.parquet(warehouse), ids)
-    return rows.groupBy("date").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("query_id").alias("ids"),
-        F.sum("synced").alias("synced"),
-    )
+    return sync.mark_synced(spark.read.parquet(warehouse), ids).drop("stream", "batch_id")
+
+
+def _succeeded(summary: DataFrame) -> None:
+    if not summary.first()["success"]:
+        raise RuntimeError("the sync failed; see the log")
 
 
 @query
@@ -669,8 +663,9 @@ def stream_sync(spark, sf):
     warehouse, checkpoint = _paths(spark)
     ledger = scratch_path(spark, "ledger")
     stream = d.live_log(_event_stream(spark, sf))
-    log_streams.sync_stream(stream, warehouse, ledger, checkpoint)
-    return log_reports.hourly_traffic(spark.read.parquet(warehouse), days=10_000)
+    _succeeded(log_streams.sync_stream(stream, warehouse, ledger, checkpoint))
+    ids = spark.read.parquet(ledger).select("query_id")
+    return sync.mark_synced(spark.read.parquet(warehouse), ids).drop("stream", "batch_id")
 
 
 @query

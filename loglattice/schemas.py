@@ -28,7 +28,7 @@ LIVE_LOG = T.StructType(
     ]
 )
 
-# The generated (historic) log; also the layout of its CSV form.
+# The historic log; also the layout of its CSV form.
 HISTORIC_LOG = T.StructType(
     [
         T.StructField("query_id", T.LongType()),

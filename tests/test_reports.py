@@ -77,6 +77,17 @@ def test_exact_quantiles_equal_sorting(spark):
         assert got[key] == want
 
 
+def test_means_of_any_digits_and_nan(spark):
+    """Small values are not cut, and one NaN spoils its own group only."""
+    small = spark.createDataFrame([(0.00449,)] * 3 + [(0.00549,)] * 4, "v double")
+    assert small.agg(mean(F.col("v"))).first()[0] == 0.01
+    assert small.agg(mean(F.col("v"), 6).alias("m")).first()[0] == 0.005061
+    log = log_of(spark, [{"response_time_ms": float("nan")}, {"recruiter_domain": "b.com"}, {"recruiter_domain": "b.com"}])
+    assert log_reports.domain_rank_first(log).first()["avg_response_ms"] is not None
+    counts = value_counts(spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 2.0)], "k string, v double"), ["k"], "v")
+    assert tuple(exact_quantiles(counts, ["k"], "v", {"p50": 0.5}).first()) == ("a", 2.0)
+
+
 def test_mean_and_percent(spark):
     df = spark.createDataFrame([(6.55,), (6.56,), (None,)], "v double")
     assert df.agg(mean(F.col("v"))).first()[0] == 6.56  # 6.555 rounds half up

@@ -1,45 +1,25 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from loglattice.functions import fixed_values as fv
 from loglattice.operators.retrieval import weak_matches
 from loglattice.schemas import HISTORIC_LOG
-from loglattice.sources import corpus, generator, jsonl, logs
-
-
-def test_generated_log(spark):
-    n = 20_000
-    log = generator.generate_access_log(spark, n, seed=3).cache()
-    assert log.schema.fieldNames() == HISTORIC_LOG.fieldNames()
-    facts = log.agg(
-        F.count_distinct("query_id").alias("ids"),
-        F.count_distinct("recruiter_domain").alias("domains"),
-        F.count_distinct("endpoint_hit").alias("endpoints"),
-        F.min("response_time_ms").alias("low"), F.max("response_time_ms").alias("high"),
-        F.count_if((F.col("skill_searched").isNotNull()) != F.contains("endpoint_hit", F.lit("skills"))).alias("bad"),
-        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
-        F.count_if(F.col("referer_url") != F.concat(F.lit("https://"), "recruiter_domain")).alias("refs"),
-    ).first()
-    assert (facts["ids"], facts["domains"], facts["endpoints"]) == (n, 14, 7)
-    assert (facts["low"], facts["high"], facts["bad"], facts["refs"]) == (12, 850, 0, 0)
-    end = dt.datetime(2026, 1, 1)
-    assert end - dt.timedelta(days=90) < facts["first"] and facts["last"] <= end
-    shares = {r["http_status"]: r["count"] / n * 100 for r in log.groupBy("http_status").count().collect()}
-    for status, weight in fv.STATUS_WEIGHTS:
-        assert abs(shares[status] - weight) < 2
-    again = generator.generate_access_log(spark, n, seed=3).repartition(3)
-    assert log.exceptAll(again).count() == 0
-    assert log.exceptAll(generator.generate_access_log(spark, n, seed=4)).count() > n * 0.9
-
-
-def test_csv_round_trip(spark, tmp_path):
-    log = generator.generate_access_log(spark, 200, seed=1)
+from loglattice.plans import derived as d
+from loglattice.sources import corpus, jsonl, logs
+
+
+@pytest.fixture(scope="module")
+def log(spark, sf_dir):
+    return d.historic_log(d.table(spark, sf_dir, "events"))
+
+
+def test_csv_round_trip(spark, log, tmp_path):
     path = str(tmp_path / "csv")
     logs.write_csv_log(log, path)
     fixed = logs.read_csv_log(spark, path, infer=False)
     assert fixed.schema.fieldNames() == HISTORIC_LOG.fieldNames()
-    assert fixed.exceptAll(log).count() == 0 and fixed.count() == 200
+    assert fixed.exceptAll(log).count() == 0 and fixed.count() == 1000
     detected = logs.read_csv_log(spark, path)
     assert detected.select("timestamp").exceptAll(log.select("timestamp")).count() == 0
     assert dict(detected.dtypes)["response_time_ms"] == "int"
@@ -52,8 +32,8 @@ def test_csv_timestamp_as_text(spark, tmp_path):
     assert [r["timestamp"] for r in got] == [dt.datetime(2024, 1, 2, 3, 4, 5), None]
 
 
-def test_clustered_write_keeps_rows_and_splits_a_hot_day(spark, tmp_path):
-    log = logs.historic_to_log(generator.generate_access_log(spark, 3000)).withColumn(
+def test_clustered_write_keeps_rows_and_splits_a_hot_day(spark, log, tmp_path):
+    log = logs.historic_to_log(log).withColumn(
         "date", F.when(F.col("query_id") % 3 == 0, F.lit(dt.date(2026, 1, 1))).otherwise(F.col("date"))
     )
     path = str(tmp_path / "table")
@@ -61,13 +41,13 @@ def test_clustered_write_keeps_rows_and_splits_a_hot_day(spark, tmp_path):
     logs.write_partitioned(log, path)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     stored = spark.read.parquet(path)
-    assert stored.count() == 3000
+    assert stored.count() == 1000
     hot = stored.where(F.col("date") == "2026-01-01")
     assert hot.select(F.input_file_name()).distinct().count() > 1
 
 
-def test_replicas(spark):
-    log = generator.generate_access_log(spark, 50)
+def test_replicas(log):
+    log = log.limit(50)
     copies = logs.replicate_rows(log, 10)
     assert copies.count() == 500 == copies.select("query_id").distinct().count()
     assert copies.groupBy("recruiter_domain", "timestamp").count().where("count % 10 <> 0").count() == 0
