@@ -21,7 +21,7 @@ from loglattice.operators import log_reports  # noqa: E402
 from loglattice.plans import derived  # noqa: E402
 from loglattice.plans.queries import QUERIES  # noqa: E402
 from loglattice.session import build_session, scratch_path  # noqa: E402
-from loglattice.sources.logs import replicate_rows, spread, write_partitioned  # noqa: E402
+from loglattice.sources.logs import replicate_rows, write_partitioned  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -74,7 +74,7 @@ def main() -> None:
     queries = {name: best(lambda n=name: QUERIES[n](spark, SF_DIR)) for name in BY_NAME}
 
     # the 5M-row table, plain and by day
-    events = spread(derived.table(spark, SF_DIR, "events"))
+    events = derived.table(spark, SF_DIR, "events").repartition(int(CPUS))
     log = replicate_rows(derived.request_log(events), COPIES)
     plain, by_day = scratch_path(spark, "bench-plain"), scratch_path(spark, "bench-by-day")
     start = time.perf_counter()
@@ -99,7 +99,7 @@ def main() -> None:
     queries["session_depth_5m"] = best(lambda: log_reports.session_depth(plain_log, as_of, days=30))
 
     recent = [str(r["date"]) for r in day_log.where(
-        F.col("date") >= F.to_date(F.lit(as_of) - F.expr("INTERVAL 10 DAYS"))
+        F.col("date") >= F.to_date(F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 10 DAYS"))
     ).select("date").distinct().collect()]
     print(json.dumps({
         "metric": "headline queries, total",

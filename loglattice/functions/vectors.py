@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-# Distances are kept to nine decimals, so that copies of a vector tie exactly
-# and do not depend on how the rows were laid out in blocks.
-DIGITS = 9
+# How far a block product may be off: rows this close to the k-th are measured
+# again one by one, which gives copies of a vector the same distance anywhere.
+SLACK = 1e-9
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -22,13 +22,13 @@ def nearest_in_block(queries: np.ndarray, block: np.ndarray, k: int):
 
     Ties go to the earlier block row.
     """
-    distances = np.round(1.0 - queries @ block.T, DIGITS)
+    distances = 1.0 - queries @ block.T
     if block.shape[0] > k:
         worst = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(distances <= worst)
+        rows, cols = np.nonzero(distances <= worst + SLACK)
     else:
         rows, cols = np.nonzero(np.ones_like(distances, dtype=bool))
-    found = distances[rows, cols]
+    found = 1.0 - (queries[rows] * block[cols]).sum(axis=1)
     order = np.lexsort((cols, found, rows))
     rows, cols, found = rows[order], cols[order], found[order]
     position = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")

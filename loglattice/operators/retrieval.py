@@ -24,10 +24,6 @@ from ..functions.text import contains_any
 from ..functions.times import iso_utc
 from ..functions.vectors import block_candidates, unit_rows
 
-# A query set is shipped to the tasks only if it has at most this many rows and
-# numbers; a larger one meets the vectors block by block in a shuffle.
-BROADCAST_ROWS = 2048
-BROADCAST_NUMBERS = 4_000_000
 BLOCK_ROWS = 4096
 WEAK_DISTANCE = 0.7
 QUESTION_CHARS = 300
@@ -111,35 +107,9 @@ def _candidate_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
     )
 
 
-def _shipped_candidates(queries: pd.DataFrame, vectors: DataFrame, schema, k: int) -> DataFrame:
-    """Candidates from one scan of the vectors, the queries shipped to each task."""
-    by_key = {
-        key: (part["query"].to_numpy(), unit_rows(part["vector"]))
-        for key, part in queries.groupby("key")
-    }
-    shared = vectors.sparkSession.sparkContext.broadcast(by_key)
-
-    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
-        ranked = pd.concat(found).sort_values(["query", "key", "distance", "id"], kind="stable")
-        return ranked.groupby(["query", "key"], sort=False).head(k)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            for key, block in batch.groupby("key"):
-                if key in shared.value:
-                    found = block_candidates(*shared.value[key], block, k)
-                    kept.append(found.assign(key=key))
-            if len(kept) > 8:
-                kept = [best(kept)]
-        if kept:
-            yield best(kept)
-
-    return vectors.mapInPandas(scan, schema)
-
-
 def _blocked_candidates(
-    queries: DataFrame, vectors: DataFrame, schema, k: int, keyed: bool = True
+    queries: DataFrame, vectors: DataFrame, schema, k: int, keyed: bool = True,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Candidates of (query block, vector block) pairs of the same key.
 
@@ -150,13 +120,13 @@ def _blocked_candidates(
     """
 
     def blocks(n: str) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK_ROWS))).cast("int")
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block_rows))).cast("int")
 
     def placed(sizes: DataFrame) -> DataFrame:
         return sizes.withColumns({"_nq": blocks("_cq"), "_nv": blocks("_cv")})
 
     moved = F.sum(F.col("_cq") * F.col("_nv") + F.col("_cv") * F.col("_nq"))
-    slots = F.greatest(F.lit(1), F.ceil(moved / F.lit(BLOCK_ROWS))).cast("int")
+    slots = F.greatest(F.lit(1), F.ceil(moved / F.lit(block_rows))).cast("int")
     rows = F.count(F.lit(1))
     if keyed:
         plan = placed(
@@ -224,13 +194,14 @@ def cosine_top_k(
     query_id: str = "query_id",
     vector_id: str = "vec_id",
     vector: str = "embedding",
-    broadcast_rows: int = BROADCAST_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k vectors nearest to each query by cosine distance (0..2), ties by id.
 
     With `match`, a query row only meets vectors with the same value of that
-    (string) column and gets k of them per value. Queries are shipped to the
-    tasks if they are few; at most `broadcast_rows` + 1 are fetched to find out.
+    (string) column and gets k of them per value. Both sides are cut into blocks of
+    about `block_rows`; a small query set is one block, sent to each block of
+    vectors. NULL vectors, on either side, are left out.
     """
     key = F.col(match) if match else F.lit("")
     q = queries.select(
@@ -240,12 +211,7 @@ def cosine_top_k(
         F.col(vector_id).alias("id"), F.col(vector).alias("vector"), key.alias("key")
     ).where("vector IS NOT NULL")
     schema = _candidate_schema(q, v)
-    few = q.limit(broadcast_rows + 1).toPandas()
-    numbers = sum(len(x) for x in few["vector"])
-    if len(few) <= broadcast_rows and numbers <= BROADCAST_NUMBERS:
-        candidates = _shipped_candidates(few, v, schema, k)
-    else:
-        candidates = _blocked_candidates(q, v, schema, k, keyed=match is not None)
+    candidates = _blocked_candidates(q, v, schema, k, match is not None, block_rows)
     return _named(_ranked(candidates, ["query", "key"], k), match, query_id, vector_id)
 
 

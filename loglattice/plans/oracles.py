@@ -569,8 +569,8 @@ add("embed_chunks", f"""WITH RECURSIVE {line_chunks('documents')}
 SELECT (['resume', 'interview', 'architecture'])[doc_id % 3 + 1] AS tier, doc_id,
   (['chunk', 'iv', 'arch'])[doc_id % 3 + 1] || '_' || doc_id || '_' || chunk_index AS chunk_id, 256 AS dimensions
 FROM line_chunks""")
-DISTANCE = ("round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), "
-            "CAST(v.embedding AS DOUBLE[])), 9)")
+DISTANCE = ("(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), "
+            "CAST(v.embedding AS DOUBLE[])))")
 
 
 def nearest(k: int, where: str = "true") -> str:

@@ -300,7 +300,7 @@ def sync_status(spark, sf):
 
 
 def _documents(spark, sf) -> DataFrame:
-    return d.probe_documents(logs.spread(d.table(spark, sf, "documents")))
+    return d.probe_documents(d.table(spark, sf, "documents"))
 
 
 @query
@@ -352,7 +352,7 @@ def anonymize_documents(spark, sf):
 
 
 def _files(spark, sf) -> DataFrame:
-    return d.corpus_files(logs.spread(d.table(spark, sf, "documents")))
+    return d.corpus_files(d.table(spark, sf, "documents"))
 
 
 @query
@@ -425,7 +425,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 def embed_chunks(spark, sf):
     """Line chunks of all documents, encoded by hashed TF-IDF."""
     chunks = docs.chunk_lines(
-        logs.spread(d.table(spark, sf, "documents")).select(d.tier_of(F.col("doc_id")).alias("tier"),
+        d.table(spark, sf, "documents").select(d.tier_of(F.col("doc_id")).alias("tier"),
                                                "doc_id", "text")
     )
     return retrieval.embed_chunks(chunks).select(
@@ -441,10 +441,10 @@ def cosine_top_k(spark, sf):
 
 @query
 def cosine_top_k_blocked(spark, sf):
-    """The same by the path that a large query set takes."""
+    """The same over many small blocks."""
     vectors = _vectors(spark, sf)
     return _rounded(
-        retrieval.cosine_top_k(_as_queries(vectors), vectors, 3, broadcast_rows=0)
+        retrieval.cosine_top_k(_as_queries(vectors), vectors, 3, block_rows=128)
     )
 
 

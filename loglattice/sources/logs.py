@@ -59,31 +59,27 @@ def write_partitioned(
     cluster: Sequence[str] = ("recruiter_domain", "endpoint_path"),
     tie: str = "query_id",
     mode: str = "overwrite",
+    files: int | None = None,
+    rows_per_file: int = 5_000_000,
 ) -> None:
     """Write by day, clustered by the given keys.
 
-    Rows are range-partitioned on (day, cluster keys, id), so a hot day or a
-    hot domain spreads over as many files as it needs and each file covers a
-    narrow key range that row-group statistics can skip.
+    Rows are range-partitioned on (day, cluster keys, id) into `files` ranges (the
+    shuffle partitions, unless given), so a hot day or a hot domain spreads over
+    several files and each file covers a narrow key range that row-group
+    statistics can skip. A file is closed after `rows_per_file` rows.
     """
     order = [by, *cluster]
+    ranged = df.repartitionByRange(*([files] if files else []), *order, tie)
     (
-        df.repartitionByRange(*order, tie)
-        .sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .write.mode(mode)
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(by)
         .parquet(path)
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than cores (one small file, say) dealt
-    out for work that is bound by the processor. A large table has splits
-    enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def replicate_rows(df: DataFrame, n: int = 10, id_column: str = "query_id") -> DataFrame:
     """Every row n times under fresh ids.
 

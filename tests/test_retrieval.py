@@ -45,19 +45,19 @@ def ids(hits):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+@pytest.mark.parametrize("block_rows", [4096, 16])
 @pytest.mark.parametrize("match", [None, "grp"])
-def test_exact_search_on_both_paths(spark, cloud, monkeypatch, broadcast_rows, match):
+def test_exact_search_on_both_paths(spark, cloud, monkeypatch, block_rows, match):
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)  # many blocks on either side
     queries = as_queries(cloud)
-    hits = retrieval.cosine_top_k(queries, cloud.repartition(7), 5, match, broadcast_rows=broadcast_rows)
+    hits = retrieval.cosine_top_k(queries, cloud.repartition(7), 5, match, block_rows=block_rows)
     assert ids(hits) == brute(queries, cloud, 5, match)
     assert [r["rank"] for r in hits.where("query_id = 0").orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
 @pytest.mark.parametrize("match", [None, "grp"])
 def test_blocked_search_has_no_cross_join(cloud, match):
-    hits = retrieval.cosine_top_k(as_queries(cloud), cloud, match=match, broadcast_rows=0)
+    hits = retrieval.cosine_top_k(as_queries(cloud), cloud, match=match, block_rows=16)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
@@ -65,9 +65,9 @@ def test_blocked_search_has_no_cross_join(cloud, match):
 def test_fewer_vectors_than_k_and_none(spark, cloud):
     queries = as_queries(cloud, 3)
     assert retrieval.cosine_top_k(queries, cloud.limit(2), 5).count() == 6
-    for rows in (1000, 0):
-        assert retrieval.cosine_top_k(queries, cloud.limit(0), 5, broadcast_rows=rows).count() == 0
-        assert retrieval.cosine_top_k(queries.limit(0), cloud, 5, broadcast_rows=rows).count() == 0
+    for rows in (4096, 16):
+        assert retrieval.cosine_top_k(queries, cloud.limit(0), 5, block_rows=rows).count() == 0
+        assert retrieval.cosine_top_k(queries.limit(0), cloud, 5, block_rows=rows).count() == 0
 
 
 def test_distance_range_and_zero_vector(spark):
