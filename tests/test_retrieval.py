@@ -300,3 +300,35 @@ def test_actions(spark, sf_dir):
     assert [r["missing_field"] for r in got] == [None, None, "priority", "recruiter_email"]
     assert got[0]["confirmation_id"].startswith("conf_") and len(got[0]["confirmation_id"]) == 13
     assert got[1]["confirmation_id"] is None
+
+
+def test_unknown_actions_are_refused(spark, sf_dir):
+    actions = d.actions(d.table(spark, sf_dir, "orders")).limit(20)
+    for odd in ("delete", None):
+        got = profiles.action_validation(actions.withColumn("action", F.lit(odd).cast("string"))).collect()
+        assert {(r["status"], r["message"], r["missing_field"]) for r in got} == {(None, None, "action")}
+
+
+def test_section_titles(spark):
+    keys = ["ci/cd", "front-end", "big_data", "it's", "3d ART", "école"]
+    frame = spark.createDataFrame([(k,) for k in keys], "k string").select(profiles._label(F.col("k")).alias("t"))
+    assert [r["t"] for r in frame.collect()] == [k.replace("_", " ").title() for k in keys]
+
+
+def test_missing_vectors_are_left_out(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 1e-6])], "vec_id long, embedding array<float>")
+    queries = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    got = retrieval.cosine_top_k(queries, v, 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 0), (0, 2), (2, 2), (2, 0)]
+
+
+def test_chunk_ids_are_unique_and_tiers_give_k(spark):
+    texts = ["alpha beta", "gamma delta", "alpha gamma", "beta beta"]
+    chunks = spark.createDataFrame([("resume", i, 0, t) for i, t in enumerate(texts)], "tier string, doc_id long, chunk_index int, text string")
+    embedded = retrieval.embed_chunks(chunks)
+    assert embedded.select("tier", "chunk_id").distinct().count() == len(texts)
+    model = retrieval.fit_text_encoder(chunks)
+    asked = retrieval.encode_texts(model, spark.createDataFrame([(1, "alpha")], "question_id long, text string"))
+    asked = asked.withColumnRenamed("text", "question")
+    row = retrieval.retrieve_tiers(asked, embedded, k=3).first()
+    assert len(row["resume_chunks"]) == 3

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglattice.functions import fixed_values as fv
 from loglattice.operators import screening
@@ -84,7 +85,7 @@ def test_flags_equal_a_simulation(spark):
 def test_no_request_is_grouped_by_address_alone(spark):
     plan = screening.flagged_requests(requests(spark, (0, True)))._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert len(exchanges) == 2
+    assert len(exchanges) == 3  # the requests, and the last injections per slice and of the slices before
     for line in exchanges:
         assert re.search(r"hashpartitioning\(client_ip#\d+, _\w+#", line)  # the address and its slice
 
@@ -243,3 +244,10 @@ def test_budgets(spark):
     got = {r["notice_id"]: (r["cost"], r["budget"], r["budget_name"])
            for r in screening.budget_breaches(df).collect()}
     assert got == {2: (10.0, 10.0, "b"), 3: (11.5, 10.0, "unknown"), 4: (0.0, 0.0, "unknown")}
+
+
+def test_a_limit_of_zero_allows_nothing(spark):
+    rows = spark.range(5).select(F.col("id").alias("query_id"), F.lit("a").alias("client_ip"), F.timestamp_seconds("id").alias("ts"))
+    assert screening.rate_limit(rows, limit=0).where("allowed").count() == 0
+    with pytest.raises(ValueError):
+        screening.rate_limit(rows, limit=-1)
