@@ -150,11 +150,15 @@ def _judged(groups: DataFrame, name: str) -> DataFrame:
     compared only for those that are not alone.
     """
     pair = ["rank", "next"]
-    shared = groups.groupBy(pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(pair)
+    # What groups are joined with is written first: a join on a plain table can split the rows of a hot
+    # pair, one in the stage of its aggregate cannot.
+    counts = groups.groupBy(pair).agg(F.count(F.lit(1)).alias("n"))
+    shared = written(counts.where("n > 1").select(pair), f"{name}-shared")
     left = written(groups.join(shared, pair), f"{name}-pairs")
     kinds = written(left.groupBy(*pair, "whole").agg(F.count(F.lit(1)).alias("same")), f"{name}-kinds")
     open_pairs = kinds.groupBy(pair).agg(F.max(F.col("same") == 1).alias("open"))
     verdicts = kinds.join(open_pairs, pair).select(*pair, "whole", (F.col("same") > 1).alias("done"), "open")
+    verdicts = written(verdicts, f"{name}-verdicts")
     return written(left.join(verdicts, [*pair, "whole"]), f"{name}-judged")
 
 
