@@ -212,10 +212,14 @@ def jaccard_links(
     )
     heads = usable.select(F.col("uid").alias("class"), "bands").join(classes.select("class", "size"), "class")
     banded = heads.select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "root")
+    # Written before the join, which then can split the rows of a hot band.
+    counted = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n"))
+    shared = written(counted.where("n > 1").select("band", "root"), "shared-bands")
     stars = written(banded.join(shared, "band"), "band-stars")
     groups = written(components(stars.select(F.col("class").alias("a"), F.col("root").alias("b")).distinct(), "candidates"), "candidate-groups")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = written(
+        groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "candidate-sizes"
+    )
     members = written(
         groups.join(blocks, "component")
         .join(classes.select(F.col("class").alias("id"), "size"), "id")
