@@ -4,8 +4,9 @@ import pytest
 from check_oracles import database, difference
 
 import __spark_entry__ as entry
+from loglattice.plans.oracles import ORACLES
+from loglattice.plans.queries import QUERIES
 
-ORACLES = entry.oracle_sql()
 # Too few rows at this scale for a hit.
 MAY_BE_EMPTY: set[str] = set()
 
@@ -15,16 +16,20 @@ def con(sf_dir):
     return database(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    got = entry.queries()[name](spark, sf_dir).toPandas()
+    got = QUERIES[name](spark, sf_dir).toPandas()
     if name in ORACLES:
         assert difference(got, con.execute(ORACLES[name]).df()) is None
     assert len(got) or name in MAY_BE_EMPTY
 
 
 def test_only_approximate_search_lacks_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"ann_top_k"}
+    assert set(QUERIES) - set(ORACLES) == {"ann_top_k"}
+
+
+def test_entry_holds_all_of_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_derived_data_has_hits(con):
