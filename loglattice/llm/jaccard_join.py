@@ -5,9 +5,9 @@ share a band are candidates. For a candidate pair the values are compared a few
 the similarity, m equal values of n leave a Beta(m + 1, n - m + 1) posterior, and a pair is dropped once
 the chance that its similarity reaches the threshold is below the tolerance. What is left is compared set by set.
 
-Pairs never become rows. Shared bands give star edges, their components are dealt to blocks of bounded
-size, and blocks that share a band meet in one task, which compares all their candidate pairs and
-returns counts and star edges of the links it verified.
+Pairs never become rows. Classes are dealt to blocks of bounded size, those next to each other that share
+a band's smallest class; blocks with a common band meet in one task, which compares all their candidate
+pairs and returns counts and star edges of the links it verified.
 """
 
 from __future__ import annotations
@@ -125,12 +125,12 @@ def _compared(threshold: float, tolerance: float):
     def links(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class", kind="stable").reset_index(drop=True)
         ids, size, block = rows["class"].to_numpy(), rows["size"].to_numpy(), rows["block"].to_numpy()
-        sets = [shingles(t) for t in rows["text"]]
-        marks = np.array([signature(s) for s in sets])
-        i, j = np.flatnonzero(block == keys[1]), np.flatnonzero(block == keys[2])
+        sets = [np.frombuffer(s, dtype="<u8") for s in rows["grams"]]
+        marks = np.array([np.frombuffer(m, dtype="<u4") for m in rows["marks"]])
+        i, j = np.flatnonzero(block == keys[0]), np.flatnonzero(block == keys[1])
         x, y = _survivors(marks[i], marks[j], least)
         x, y = i[x], j[y]
-        if keys[1] == keys[2]:
+        if keys[0] == keys[1]:
             x, y = x[x < y], y[x < y]
         near = np.zeros(len(x), dtype=bool)
         for k, (a, b) in enumerate(zip(x, y)):
@@ -216,34 +216,47 @@ def jaccard_links(
     counted = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n"))
     shared = written(counted.where("n > 1").select("band", "root"), "shared-bands")
     stars = written(banded.join(shared, "band"), "band-stars")
-    groups = written(components(stars.select(F.col("class").alias("a"), F.col("root").alias("b")).distinct(), "candidates"), "candidate-groups")
-    blocks = written(
-        groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "candidate-sizes"
+    # A class goes with the smallest class of any of its bands: a hot band's is among the smallest, so its
+    # members come together, and are split by hash into blocks.
+    near = written(stars.groupBy("class").agg(F.min("root").alias("near")), "band-neighbours")
+    sizes = written(near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "band-sizes")
+    place = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    members = written(near.join(sizes, "near").select("class", F.xxhash64("near", place).alias("block")), "band-blocks")
+    # Blocks meet where a band has rows in both; a band's blocks are far fewer than its rows.
+    in_band = stars.join(members, "class").groupBy("band", "block").agg(F.count(F.lit(1)).alias("n"))
+    in_band = written(in_band, "blocks-in-bands")
+    alone = in_band.where("n > 1").select(F.col("block").alias("left"), F.col("block").alias("right"))
+    lists = in_band.groupBy("band").agg(F.sort_array(F.collect_list("block")).alias("list")).where(F.size("list") > 1)
+    met = lists.select(F.explode("list").alias("left"), "list").select(
+        "left", F.explode(F.filter("list", lambda x: x > F.col("left"))).alias("right")
     )
-    members = written(
-        groups.join(blocks, "component")
-        .join(classes.select(F.col("class").alias("id"), "size"), "id")
-        .select(F.col("id").alias("class"), "component", "size", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks"),
-        "candidate-blocks",
-    )
-    # Blocks meet where a band has rows in both. Small components are one block; of large ones, a band's blocks
-    # are listed, of which there are a hundredth of its rows.
-    alone = members.select("component", F.col("block").alias("left"), F.col("block").alias("right")).distinct()
-    dealt = stars.join(members.where("blocks > 1").select("class", "component", "block"), "class")
-    in_band = dealt.select("component", "band", "block").distinct().groupBy("component", "band").agg(F.sort_array(F.collect_list("block")).alias("list"))
-    met = (
-        in_band.select("component", F.explode("list").alias("left"), "list")
-        .select("component", "left", F.explode(F.filter("list", lambda x: x > F.col("left"))).alias("right"))
-        .distinct()
-    )
-    pairs = written(alone.union(met), "block-pairs")
-    sides = pairs.select("component", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    pairs = written(alone.union(met).distinct(), "block-pairs")
+
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                some = batch.slice(begin, 500)
+                sets = [shingles(t.as_py()) for t in some.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("uid"),
+                        pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
+                        pa.array([signature(s).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["class", "grams", "marks"],
+                )
+
+    wanted = numbered.select("uid", "text").join(members.select(F.col("class").alias("uid")), "uid", "left_semi")
+    ready = written(wanted.mapInArrow(prepared, "class long, grams binary, marks binary"), "candidate-sets")
+    sides = pairs.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     work = (
-        sides.join(members, ["component", "block"])
-        .join(written(numbered.join(members.select(F.col("class").alias("uid")), "uid", "left_semi"), "candidate-texts").select(F.col("uid").alias("class"), "text"), "class")
-        .select("component", "left", "right", "class", "size", "block", "text")
+        sides.join(members, "block")
+        .join(classes.select("class", "size"), "class")
+        .join(ready, "class")
+        .select("left", "right", "class", "size", "block", "grams", "marks")
     )
-    found = written(work.groupBy("component", "left", "right").applyInPandas(_compared(threshold, tolerance), "class long, n long, root long"), "text-links")
+    found = work.groupBy("left", "right").applyInPandas(_compared(threshold, tolerance), "class long, n long, root long")
+    found = written(found, "text-links")
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
     linked = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")), "text-links")
     named = (

@@ -32,6 +32,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], chr(10)) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)
+), reach AS (
+    SELECT doc_id AS id, doc_id AS root FROM documents
+    UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id
+)
+SELECT id AS doc_id, min(root) AS class_id, (SELECT count(*) FROM links WHERE links.a = id) AS n_links, id = min(root) AS kept
+FROM reach GROUP BY id
+"""
+
+VECTOR_LINKS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT vec_id AS id, vec_id AS root FROM embeddings
+    UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id
+)
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = id) AS n_links, min(root) AS component_id, id = min(root) AS kept
+FROM reach GROUP BY id
+"""
+
 WARC_ZIP = """
 WITH p AS (
     SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
@@ -45,6 +79,8 @@ FROM h
 """
 
 ORACLES = {
+    "op5_jaccard_join": JACCARD_JOIN,
     "op8_warc_zip": WARC_ZIP,
+    "op10_vector_links": VECTOR_LINKS,
     "op4_quality_rules": QUALITY_RULES,
 }
