@@ -28,7 +28,7 @@ WORDS = 5
 BANDS, ROWS = 32, 5
 #: Values compared between two looks at the posterior.
 STEP = 16
-BLOCK = 128
+BLOCK = 512
 SEED = 0x5EED
 
 
