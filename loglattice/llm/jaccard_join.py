@@ -215,7 +215,8 @@ def jaccard_links(
     # Written before the join, which then can split the rows of a hot band.
     counted = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n"))
     shared = written(counted.where("n > 1").select("band", "root"), "shared-bands")
-    stars = written(banded.join(shared, "band"), "band-stars")
+    # Shared bands grow with the corpus: the join is planned as one that holds at any size.
+    stars = written(banded.join(shared.hint("merge"), "band"), "band-stars")
     # A class goes with the smallest class of any of its bands: a hot band's is among the smallest, so its
     # members come together, and are split by hash into blocks.
     near = written(stars.groupBy("class").agg(F.min("root").alias("near")), "band-neighbours")
