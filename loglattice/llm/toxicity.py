@@ -35,13 +35,18 @@ STANDS_FOR = {
 SIGN, NOISE, AGAIN = 1.0, 7.0, 0.3
 
 LETTER = "a-zß-öø-ÿ"
-SIGNS = "".join(re.escape(c) for c in STANDS_FOR if c not in "!|*")
+EDGE = "".join(c for c in STANDS_FOR if not c.isdigit())
 INNER = "".join(re.escape(c) for c in STANDS_FOR)
+PLAIN = "".join(re.escape(c) for c in STANDS_FOR if c not in "!|*")
 WORD = re.compile(rf"[{LETTER}]+")
-#: A token with a sign before or between letters, or digits at its end.
-SIGNED = re.compile(rf"(?<![{LETTER}{INNER}])(?:[{SIGNS}][{LETTER}{INNER}]*[{LETTER}]|[{LETTER}]+[{INNER}]+[{LETTER}][{LETTER}{INNER}]*|[{LETTER}]{{2,}}[0-9]+)(?![{LETTER}])")
+#: Letters and signs without a gap. One with a sign is disguised if it is more than a number.
+CHUNK = re.compile(rf"[{LETTER}{INNER}]+")
+SIGN_IN = re.compile(rf"[{INNER}]")
+NO_NUMBER = re.compile(r"[^0-9]")
+#: Signs that are punctuation as well, so that words may meet at them.
+MEETING = re.compile(r"[!|*(+]+")
 #: Single signs or letters, at least four, with the same separator between them.
-SPACED = re.compile(rf"(?<![{LETTER}{INNER}])[{LETTER}{SIGNS}]([ .\-_*·]+)[{LETTER}{SIGNS}](?:\1[{LETTER}{SIGNS}]){{1,28}}(?![{LETTER}{INNER}])")
+SPACED = re.compile(rf"(?<![{LETTER}{INNER}])[{LETTER}{PLAIN}]([ .\-_*·]+)[{LETTER}{PLAIN}](?:\1[{LETTER}{PLAIN}]){{1,28}}(?![{LETTER}{INNER}])")
 REPEATED = re.compile(rf"[{LETTER}]*([{LETTER}])\1\1[{LETTER}]*")
 
 
@@ -58,7 +63,7 @@ def _letters() -> np.ndarray:
     return codes
 
 
-CODES = _letters()
+CODES = _letters().tolist()
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -95,11 +100,18 @@ def costs(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     return (-np.log(chance)).reshape(-1, BASE).astype(np.float32)
 
 
+def readings(chunk: str) -> set[str]:
+    """The chunk as it stands, without the punctuation at either end or both, and cut where words may meet; what has a sign of these."""
+    left, right = chunk.lstrip(EDGE), chunk.rstrip(EDGE)
+    return {t for t in (chunk, left, right, left.rstrip(EDGE), *MEETING.split(chunk)) if len(t) > 1 and SIGN_IN.search(t) and NO_NUMBER.search(t)}
+
+
 class Restorer:
     """Restored words of disguised tokens; remembers those it has seen."""
 
     def __init__(self, table: np.ndarray, most: int = 200_000):
-        self.table = table
+        # A list of numbers: the lattice looks up one at a time.
+        self.table = table.ravel().tolist()
         self.known: dict[str, str] = {}
         self.most = most
 
@@ -119,24 +131,27 @@ class Restorer:
             options = [(c, 0.0)] if c not in STANDS_FOR else [(x, SIGN) for x in STANDS_FOR[c]]
             found: dict[int, tuple[float, str]] = {}
             for state, (cost, said) in paths.items():
-                moves = [(x, p + self.table[state][CODES[ord(x)]]) for x, p in options if CODES[ord(x)]]
+                moves = [(x, p + self.table[state * BASE + CODES[ord(x)]]) for x, p in options if CODES[ord(x)]]
                 if c in STANDS_FOR:
                     moves.append(("", NOISE))
                 elif c == before:
                     moves.append(("", AGAIN))
                 for x, p in moves:
-                    after = (state * BASE + int(CODES[ord(x)])) % cap if x else state
+                    after = (state * BASE + CODES[ord(x)]) % cap if x else state
                     total = cost + p
                     if after not in found or total < found[after][0]:
                         found[after] = (total, said + x)
             paths, before = found, c
-        return min((cost + self.table[state][0], said) for state, (cost, said) in paths.items())[1] if paths else ""
+        return min((cost + self.table[state * BASE], said) for state, (cost, said) in paths.items())[1] if paths else ""
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the whole text, and what its disguised tokens restore to."""
         low = (text or "").lower()
-        out = set(WORD.findall(low))
-        tokens = set(SIGNED.findall(low))
+        out = set(CHUNK.findall(low))
+        signed = {chunk for chunk in out if SIGN_IN.search(chunk)}
+        out -= signed
+        out.update(w for chunk in signed for w in WORD.findall(chunk))
+        tokens = {t for chunk in signed for t in readings(chunk)}
         tokens.update(m.group() for m in REPEATED.finditer(low))
         for m in SPACED.finditer(low):
             tokens.add(m.group().replace(m.group(1), ""))

@@ -55,6 +55,23 @@ def test_restored_words(tables):
     assert restorer.words("plain words") == {"plain", "words"}
 
 
+@pytest.fixture(scope="module")
+def restorer(tables):
+    docs, _ = tables
+    words = ["idiot", "moron", "stupid", "loser", "trash", "clown", "disgusting"]
+    lines = docs.sparkSession.createDataFrame([(" ".join(words * 20),)], "text string")
+    return toxicity.Restorer(toxicity.costs(toxicity.character_counts(docs.select("text").union(lines))))
+
+
+def test_signs_at_any_place(restorer):
+    for disguised, word in [
+        ("idio+", "idiot"), ("1d107", "idiot"), ("1di0+", "idiot"), ("!diot", "idiot"), ("!d!ot", "idiot"), ("*diot", "idiot"), ("|oser", "loser"),
+        ("(lown", "clown"), ("tra$h!", "trash"), ("1diot!!", "idiot"), ("(cl0wn)", "clown"), ("!diot!", "idiot"), ("m0r0n|1d10t", "idiot"),
+    ]:
+        assert word in restorer.words(f"so {disguised}, then"), disguised
+    assert restorer.words("1053 or 10,531") == {"or"}
+
+
 def test_logistic_and_folds(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((4000, 2))
