@@ -37,7 +37,7 @@ SIGN, NOISE, AGAIN = 1.0, 7.0, 0.3
 LETTER = "a-zß-öø-ÿ"
 EDGE = "".join(c for c in STANDS_FOR if not c.isdigit())
 INNER = "".join(re.escape(c) for c in STANDS_FOR)
-PLAIN = "".join(re.escape(c) for c in STANDS_FOR if c not in "!|*")
+MARKS = "".join(re.escape(c) for c in EDGE)
 WORD = re.compile(rf"[{LETTER}]+")
 #: Letters and signs without a gap. One with a sign is disguised if it is more than a number.
 CHUNK = re.compile(rf"[{LETTER}{INNER}]+")
@@ -45,8 +45,12 @@ SIGN_IN = re.compile(rf"[{INNER}]")
 NO_NUMBER = re.compile(r"[^0-9]")
 #: Signs that are punctuation as well, so that words may meet at them.
 MEETING = re.compile(r"[!|*(+]+")
-#: Single signs or letters, at least four, with the same separator between them.
-SPACED = re.compile(rf"(?<![{LETTER}{INNER}])[{LETTER}{PLAIN}]([ .\-_*·]+)[{LETTER}{PLAIN}](?:\1[{LETTER}{PLAIN}]){{1,28}}(?![{LETTER}{INNER}])")
+#: A letter or digit alone among what is no letter, with or without signs around it; and three such or more in a row.
+ALONE = rf"(?=[0-9{LETTER}{INNER}])[{MARKS}]*+[013-9{LETTER}]?+[{MARKS}]*+(?![0-9{LETTER}{INNER}])"
+SPACED = re.compile(rf"(?<![0-9{LETTER}{INNER}]){ALONE}(?:[^0-9{LETTER}{INNER}]++{ALONE}){{2,}}")
+GAP = re.compile(rf"[^0-9{LETTER}{INNER}]+")
+#: Letters a word in a spaced run may have: lengths that are told from their beginnings, and any other.
+PARTS = (4, 5, 6, 24)
 REPEATED = re.compile(rf"[{LETTER}]*([{LETTER}])\1\1[{LETTER}]*")
 
 
@@ -106,6 +110,17 @@ def readings(chunk: str) -> set[str]:
     return {t for t in (chunk, left, right, left.rstrip(EDGE), *MEETING.split(chunk)) if len(t) > 1 and SIGN_IN.search(t) and NO_NUMBER.search(t)}
 
 
+def joined(run: str) -> set[str]:
+    """Letters of a spaced run, its gaps left out; where a sign lies between all letters, it is a gap too."""
+    whole = GAP.sub("", run)
+    found = {whole}
+    for c in set(whole).intersection(EDGE):
+        parts = [p for p in whole.split(c) if p]
+        if len(parts) > 2 and all(len(p) == 1 for p in parts):
+            found.add("".join(parts))
+    return {t for t in found if NO_NUMBER.search(t)}
+
+
 class Restorer:
     """Restored words of disguised tokens; remembers those it has seen."""
 
@@ -115,23 +130,32 @@ class Restorer:
         self.known: dict[str, str] = {}
         self.most = most
 
-    def word(self, token: str) -> str:
-        if token not in self.known:
+    def word(self, token: str, spaced: bool = False) -> str:
+        """The restored word; of a `spaced` token words, with a blank between them."""
+        key = " " + token if spaced else token
+        if key not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[token] = self._decode(token)
-        return self.known[token]
+            self.known[key] = self._decode(token, spaced)
+        return self.known[key]
 
-    def _decode(self, token: str) -> str:
-        # States are the three letters before; a path carries its cost, its letters, and the last sign read.
-        paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    def _decode(self, token: str, spaced: bool) -> str:
+        # States are the three letters before; a path carries its cost, and its letters as a chain from the last one.
+        table, cap = self.table, BASE ** (ORDER - 1)
+        paths: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         before = ""
-        cap = BASE ** (ORDER - 1)
         for c in token:
+            if spaced:
+                # A word may end before any letter.
+                for state, (cost, said) in list(paths.items()):
+                    if state % BASE:
+                        after, total = state * BASE % cap, cost + table[state * BASE]
+                        if after not in paths or total < paths[after][0]:
+                            paths[after] = (total, (said, " "))
             options = [(c, 0.0)] if c not in STANDS_FOR else [(x, SIGN) for x in STANDS_FOR[c]]
-            found: dict[int, tuple[float, str]] = {}
+            found: dict[int, tuple[float, tuple]] = {}
             for state, (cost, said) in paths.items():
-                moves = [(x, p + self.table[state * BASE + CODES[ord(x)]]) for x, p in options if CODES[ord(x)]]
+                moves = [(x, p + table[state * BASE + CODES[ord(x)]]) for x, p in options if CODES[ord(x)]]
                 if c in STANDS_FOR:
                     moves.append(("", NOISE))
                 elif c == before:
@@ -140,9 +164,16 @@ class Restorer:
                     after = (state * BASE + CODES[ord(x)]) % cap if x else state
                     total = cost + p
                     if after not in found or total < found[after][0]:
-                        found[after] = (total, said + x)
+                        found[after] = (total, (said, x) if x else said)
             paths, before = found, c
-        return min((cost + self.table[state * BASE], said) for state, (cost, said) in paths.items())[1] if paths else ""
+        if not paths:
+            return ""
+        best = min((cost + table[state * BASE], state) for state, (cost, _) in paths.items())[1]
+        chain, letters = paths[best][1], []
+        while chain:
+            chain, x = chain
+            letters.append(x)
+        return "".join(reversed(letters))
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the whole text, and what its disguised tokens restore to."""
@@ -153,9 +184,15 @@ class Restorer:
         out.update(w for chunk in signed for w in WORD.findall(chunk))
         tokens = {t for chunk in signed for t in readings(chunk)}
         tokens.update(m.group() for m in REPEATED.finditer(low))
-        for m in SPACED.finditer(low):
-            tokens.add(m.group().replace(m.group(1), ""))
+        spaced = {t for m in SPACED.finditer(low) for t in joined(m.group())}
+        spaced.update(t for chunk in signed for t in joined(chunk) - {chunk})
         out.update(self.word(t) for t in tokens if len(t) <= 40)
+        for t in spaced:
+            one, several = self.word(t), self.word(t, spaced=True)
+            out.update([one, *several.split()])
+            # Borders the character model does not see: a word may begin at any letter of the run.
+            for run in {one, several.replace(" ", "")}:
+                out.update(run[i : i + n] for i in range(len(run) - 3) for n in PARTS)
         out.discard("")
         return out
 

@@ -72,6 +72,17 @@ def test_signs_at_any_place(restorer):
     assert restorer.words("1053 or 10,531") == {"or"}
 
 
+def test_spaced_words(restorer):
+    for disguised, word in [
+        ("you are a l o s e r", "loser"), ("I d i o t", "idiot"), ("i d ! o t", "idiot"), ("t/r/a/s/h", "trash"), ("t, r, a, s, h", "trash"), ("t\tr\ta\ts\th", "trash"),
+        ("I l o s e r a n d", "loser"), ("(l o s e r!)", "loser"), ("a $ t u p 1 d c l o w n", "stupid"), ("a $ t u p 1 d c l o w n", "clown"), ("i * d * i * o * t", "idiot"),
+        ("l|o|s|e|r", "loser"), ("i  d i - o t", "idiot"), ("l\no\ns\ne\nr", "loser"), (" ".join("whatonecansayisthatyouallareidiots"), "idiot"),
+    ]:
+        assert word in restorer.words(f"so {disguised}, then"), disguised
+    assert "loser" in restorer.words("b " * 5_000 + "l o s e r" + " b" * 5_000)
+    assert restorer.words("1 0 5 3 1 0") == set()
+
+
 def test_logistic_and_folds(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((4000, 2))
