@@ -51,7 +51,9 @@ SPACED = re.compile(rf"(?<![0-9{LETTER}{INNER}]){ALONE}(?:[^0-9{LETTER}{INNER}]+
 GAP = re.compile(rf"[^0-9{LETTER}{INNER}]+")
 #: Letters a word in a spaced run may have: lengths that are told from their beginnings, and any other.
 PARTS = (4, 5, 6, 24)
-REPEATED = re.compile(rf"[{LETTER}]*([{LETTER}])\1\1[{LETTER}]*")
+REPEATED = re.compile(r"(.)\1")
+#: A character repeated more often says no more than three of it do, as each but the first may be written again.
+LONG = re.compile(r"(.)\1{3,}")
 
 
 def _letters() -> np.ndarray:
@@ -132,6 +134,7 @@ class Restorer:
 
     def word(self, token: str, spaced: bool = False) -> str:
         """The restored word; of a `spaced` token words, with a blank between them."""
+        token = LONG.sub(r"\1\1\1", token)
         key = " " + token if spaced else token
         if key not in self.known:
             if len(self.known) >= self.most:
@@ -156,10 +159,10 @@ class Restorer:
             found: dict[int, tuple[float, tuple]] = {}
             for state, (cost, said) in paths.items():
                 moves = [(x, p + table[state * BASE + CODES[ord(x)]]) for x, p in options if CODES[ord(x)]]
-                if c in STANDS_FOR:
-                    moves.append(("", NOISE))
-                elif c == before:
+                if c == before:
                     moves.append(("", AGAIN))
+                elif c in STANDS_FOR:
+                    moves.append(("", NOISE))
                 for x, p in moves:
                     after = (state * BASE + CODES[ord(x)]) % cap if x else state
                     total = cost + p
@@ -183,10 +186,10 @@ class Restorer:
         out -= signed
         out.update(w for chunk in signed for w in WORD.findall(chunk))
         tokens = {t for chunk in signed for t in readings(chunk)}
-        tokens.update(m.group() for m in REPEATED.finditer(low))
+        tokens.update(w for w in out if REPEATED.search(w))
         spaced = {t for m in SPACED.finditer(low) for t in joined(m.group())}
         spaced.update(t for chunk in signed for t in joined(chunk) - {chunk})
-        out.update(self.word(t) for t in tokens if len(t) <= 40)
+        out.update(self.word(t) for t in tokens)
         for t in spaced:
             one, several = self.word(t), self.word(t, spaced=True)
             out.update([one, *several.split()])

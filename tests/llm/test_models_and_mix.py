@@ -83,6 +83,15 @@ def test_spaced_words(restorer):
     assert restorer.words("1 0 5 3 1 0") == set()
 
 
+def test_repeated_letters(restorer):
+    for disguised, word in [
+        ("st" + "u" * 40 + "pid", "stupid"), ("iiddiioott", "idiot"), ("sttuuppiidd", "stupid"), ("stuupid", "stupid"), ("l" + "0" * 50 + "ser", "loser"),
+        ("i" * 30 + "d" * 30 + "i" * 30 + "0" * 20 + "t" * 9, "idiot"), ("m0r0n" + "!" * 60, "moron"), ("l o o o o s e r", "loser"),
+    ]:
+        assert word in restorer.words(f"so {disguised}, then"), disguised
+    assert "idiot" in restorer.words("ab" * 150_000 + " 1d10t")
+
+
 def test_logistic_and_folds(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((4000, 2))
