@@ -8,10 +8,13 @@ included, are scored by what labelled texts say about them and their beginnings.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,20 @@ STANDS_FOR = {
 #: Costs of the channel, as negative log probabilities: a sign for a letter, a sign that means nothing,
 #: and a repeated letter written again.
 SIGN, NOISE, AGAIN = 1.0, 7.0, 0.3
+#: Cost of a letter that is none of the character model's.
+OTHER = math.log(BASE)
 
-LETTER = "a-zß-öø-ÿ"
+
+def _ranges() -> str:
+    """All letters and the marks on them, for a character class; beyond the basic plane whole blocks of scripts."""
+    on = [unicodedata.category(chr(i))[0] in "LM" and not 0xFE00 <= i <= 0xFE0F for i in range(0x10000)] + [False]
+    edges = [i for i in range(0x10001) if on[i] != (i > 0 and on[i - 1])]
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2])) + "\U00010000-\U0001bfff\U0001e000-\U0001e9ff\U00020000-\U0003ffff"
+
+
+LETTER = _ranges()
+#: Scripts that set no blanks between words (Thai to Khmer, kana, Han); any one to four letters of them are a word.
+UNCUT = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 EDGE = "".join(c for c in STANDS_FOR if not c.isdigit())
 INNER = "".join(re.escape(c) for c in STANDS_FOR)
 MARKS = "".join(re.escape(c) for c in EDGE)
@@ -56,20 +71,24 @@ REPEATED = re.compile(r"(.)\1")
 LONG = re.compile(r"(.)\1{3,}")
 
 
+@lru_cache(maxsize=None)
+def code(c: str) -> int:
+    """Number of a Latin letter, accents and strokes taken off; 0 for all else."""
+    base = unicodedata.normalize("NFKD", c.lower())[0]
+    if not "a" <= base <= "z":
+        named = re.match(r"LATIN SMALL LETTER (?:SHARP )?([A-Z])(?: WITH .*)?$", unicodedata.name(base, ""))
+        base = named.group(1).lower() if named else ""
+    return ord(base) - 96 if base else 0
+
+
 def _letters() -> np.ndarray:
     """Code of each Latin-1 character."""
-    import unicodedata
-
-    codes = np.zeros(256, dtype=np.int64)
-    for i in range(256):
-        base = unicodedata.normalize("NFKD", chr(i).lower())[0]
-        if "a" <= base <= "z":
-            codes[i] = ord(base) - 96
-    codes[0xDF] = 19
-    return codes
+    return np.array([code(chr(i)) for i in range(256)], dtype=np.int64)
 
 
-CODES = _letters().tolist()
+def _latin(error: UnicodeEncodeError) -> tuple[str, int]:
+    """Letters beyond Latin-1 by the letter they are made from."""
+    return "".join(chr(96 + k) if (k := code(c)) else "?" for c in error.object[error.start : error.end]), error.end
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -77,9 +96,10 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = _letters(), np.zeros(BASE**ORDER, dtype=np.int64)
+        codecs.register_error("toxicity-latin", _latin)
         for batch in batches:
             for t in batch.column(0):
-                raw = (t.as_py() or "").encode("latin-1", "replace")
+                raw = (t.as_py() or "").encode("latin-1", "toxicity-latin")
                 at = codes[np.frombuffer(b"   " + raw + b" ", dtype=np.uint8)]
                 if len(at) >= ORDER:
                     runs = ((at[:-3] * BASE + at[1:-2]) * BASE + at[2:-1]) * BASE + at[3:]
@@ -158,13 +178,13 @@ class Restorer:
             options = [(c, 0.0)] if c not in STANDS_FOR else [(x, SIGN) for x in STANDS_FOR[c]]
             found: dict[int, tuple[float, tuple]] = {}
             for state, (cost, said) in paths.items():
-                moves = [(x, p + table[state * BASE + CODES[ord(x)]]) for x, p in options if CODES[ord(x)]]
+                moves = [(x, p + (table[state * BASE + code(x)] if code(x) else OTHER)) for x, p in options]
                 if c == before:
                     moves.append(("", AGAIN))
                 elif c in STANDS_FOR:
                     moves.append(("", NOISE))
                 for x, p in moves:
-                    after = (state * BASE + CODES[ord(x)]) % cap if x else state
+                    after = (state * BASE + code(x)) % cap if x else state
                     total = cost + p
                     if after not in found or total < found[after][0]:
                         found[after] = (total, (said, x) if x else said)
@@ -180,7 +200,7 @@ class Restorer:
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the whole text, and what its disguised tokens restore to."""
-        low = (text or "").lower()
+        low = unicodedata.normalize("NFC", (text or "").lower())
         out = set(CHUNK.findall(low))
         signed = {chunk for chunk in out if SIGN_IN.search(chunk)}
         out -= signed
@@ -196,13 +216,16 @@ class Restorer:
             # Borders the character model does not see: a word may begin at any letter of the run.
             for run in {one, several.replace(" ", "")}:
                 out.update(run[i : i + n] for i in range(len(run) - 3) for n in PARTS)
+        if UNCUT.search(low):
+            runs = {run for w in out for run in UNCUT.findall(w)}
+            out.update(run[i : i + n] for run in runs for i in range(len(run)) for n in (1, 2, 3, 4))
         out.discard("")
         return out
 
 
 def features(word: str) -> list[str]:
     """The word as a whole, and its beginnings of four to six letters."""
-    return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) > n)] if len(word) > 3 else []
+    return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) > n)]
 
 
 def lexicon(sample: DataFrame, table: np.ndarray, least: int = 5) -> dict[str, float]:

@@ -92,6 +92,19 @@ def test_repeated_letters(restorer):
     assert "idiot" in restorer.words("ab" * 150_000 + " 1d10t")
 
 
+@pytest.mark.parametrize("bad", ["zły", "дурак", "μωρό", "傻瓜", "ass", "głupi"])
+def test_short_words_and_other_letters(spark, bad):
+    good = ["kot", "дом", "σπίτι", "天气", "tea", "źródło"]
+    texts = [(i, (f"{good[i % 6]} {bad} {good[i // 6 % 6]}" if bad != "傻瓜" else f"天{bad}气{i}") if i % 2 else f"{good[i % 6]} 天气 {good[i // 6 % 6]}", i % 2) for i in range(200)]
+    scored = toxicity.toxicity_scores(spark.createDataFrame(texts, "doc_id long, text string, y int"), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int"))
+    assert scored.where("predicted <> y").count() == 0
+
+
+def test_letters_beyond_latin_1(restorer):
+    for disguised, word in [("д у р а к", "дурак"), ("дуррррак", "дурак"), ("gł0wa", "głowa"), ("傻 瓜", "傻"), ("你是傻瓜吗", "傻瓜"), ("nai\u0308ve", "naïve")]:
+        assert word in restorer.words(f"so {disguised}, then"), disguised
+
+
 def test_logistic_and_folds(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((4000, 2))
