@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import BLANKS, bucketed, written
+from loglattice.llm.common import bucketed, written
 from loglattice.llm.jaccard_join import jaccard_links
 from loglattice.llm.mixing import cycled, mix
 from loglattice.llm.packing import pack_tokens
@@ -44,22 +44,12 @@ def fresh_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy the mix takes; the document that fills up its source's target gives its first words only."""
+    """A row per copy the mix takes; every copy is whole."""
     rows = _numbered(docs, "pipeline-mix")
-    taken, _ = mix(rows, F.array("source"), cycled, uid="uid")
+    taken, _ = mix(rows, F.array("source"), cycled, uid="uid", whole_copies=True)
     taken = written(taken.where("taken > 0").select("uid", "size", "taken"), "pipeline-taken")
-    both = rows.join(taken, "uid")
-    whole = both.where("taken >= size").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int")))
-    )
-    rest = (F.col("taken") % F.col("size")).cast("int")
-    words = F.filter(F.split("text", BLANKS), lambda w: w != "")
-    part = (
-        both.where(rest > 0)
-        .withColumn("text", F.array_join(F.slice(words, F.lit(1), rest), " "))
-        .withColumn("n_chars", F.length("text").cast("long"))
-    )
-    return whole.select(COLUMNS).union(part.select(COLUMNS))
+    copies = F.sequence(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    return rows.join(taken, "uid").withColumn("copy", F.explode(copies)).select(COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

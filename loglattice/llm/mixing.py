@@ -141,6 +141,7 @@ def mix(
     text: str = "text",
     key: str = "doc_id",
     uid: str | None = None,
+    whole_copies: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """What is taken of every row, and what every source gets.
 
@@ -152,6 +153,9 @@ def mix(
     have size 0 and nothing is taken of them. Reruns agree: the choice depends on seed, key and text, and only
     rows equal in both are told apart by place. `uid` names a column that tells rows apart; without it
     rows are numbered. Other columns are not used. No rows give no rows.
+
+    With `whole_copies` the document taken in part is taken whole or not at all, whichever leaves its pattern
+    nearer what it should give, whole if both are as near; `taken` then is a multiple of the size.
     """
     whole = text_or_empty(text)
     sized = written(
@@ -185,6 +189,8 @@ def mix(
     amounts = [(r["pattern"], *divmod(sum(f.values()), max(r["size"], 1))) for r, f in zip(rows, flow)]
     plan = spark.createDataFrame(amounts, "pattern string, copies long, rest long")
     extra = _cut(sized.select("uid", "pattern", "size", "u"), plan)
+    if whole_copies:
+        extra = extra.withColumn("extra", F.when(F.col("extra") * 2 >= F.col("size"), F.col("size")).otherwise(0))
     taken = (
         sized.drop("u")
         .join(extra.select("uid", "extra"), "uid")

@@ -145,6 +145,18 @@ def test_mix_meets_targets(odd_docs, no_docs):
     assert mixing.mix(no_docs, F.array("source"), mixing.cycled)[0].count() == 0
 
 
+def test_pipeline_mixes_whole_copies(spark, odd_docs):
+    mixed = corpus_pipeline.mixed_documents(spark, odd_docs, SF).collect()
+    texts = {r["text"] for r in odd_docs.collect()}
+    assert mixed and all(r["text"] in texts for r in mixed)
+    got, about = {}, mixing.mix(odd_docs, F.array("source"), mixing.cycled)[1].collect()
+    for r in mixed:
+        got[r["source"]] = got.get(r["source"], 0) + n_words(r["text"])
+    for r in about:
+        longest = max(n_words(d["text"]) for d in odd_docs.where(F.col("source").eqNullSafe(r["source"])).collect())
+        assert abs(got.get(r["source"], 0) - r["target"]) <= longest / 2 + 2
+
+
 def test_flow_is_cheapest():
     """Against all whole-number flows of small networks."""
     import itertools
