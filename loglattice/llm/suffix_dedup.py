@@ -1,4 +1,4 @@
-"""Repeated passages by prefix doubling over sampled suffixes.
+"""Repeated passages by names of strings at sampled places, in place of prefix doubling (see the README).
 
 A byte is removed if some string of `threshold` bytes that covers it also starts elsewhere. Every such
 string (a window) owns one anchor: the place of the smallest hash among its first `SPAN` places. Equal
