@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglattice.llm import jaccard_join, mixing, packing, quality_model
 from loglattice.llm import quality_rules as rules
-from loglattice.llm import suffix_dedup, token_files, toxicity, vector_links, warc_zip
+from loglattice.llm import suffix_dedup, token_counts, token_files, toxicity, vector_links, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_vector_links": op10_vector_links,
+    "op12_token_counts": op12_token_counts,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
 }
