@@ -78,7 +78,71 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
 FROM h
 """
 
+PREFIX_TRIE = """
+WITH crc AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) AS r(i)
+), turns AS (
+    SELECT conv_id, role, text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS pos
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), sizes AS (
+    SELECT conv_id, count(*) AS n FROM turns GROUP BY 1
+), convs AS (
+    SELECT s.conv_id, s.n, s.conv_id - s.conv_id % 5 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length(CAST(s.conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(s.conv_id AS VARCHAR)[i]) AS BIGINT))),
+        lambda c, b: xor(crc.t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) % 9 AS h
+    FROM sizes AS s, crc
+), starts AS (
+    SELECT c.*, least(h, coalesce(b.n, 0)) AS m FROM convs AS c LEFT JOIN sizes AS b ON b.conv_id = base
+), rebuilt AS (
+    SELECT conv_id, pos - h + m AS pos, role, text FROM turns JOIN starts USING (conv_id) WHERE pos > h
+    UNION ALL SELECT s.conv_id, pos, role, text FROM turns AS t JOIN starts AS s ON s.base = t.conv_id WHERE pos <= m
+), prefixes AS (
+    SELECT conv_id, pos AS depth, strlen(text) AS n_bytes, list(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY pos) AS node
+    FROM rebuilt UNION ALL SELECT conv_id, 0, 0, CAST([] AS VARCHAR[]) FROM sizes
+), nodes AS (
+    SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(n_bytes) AS n_bytes FROM prefixes GROUP BY node
+), childless AS (
+    SELECT n.node, count(c.node) AS n_children FROM nodes AS n LEFT JOIN nodes AS c ON c.depth > 0 AND c.node[:-2] = n.node GROUP BY n.node
+), ups AS (
+    SELECT node[:k] AS node, CAST(n_children = 0 AS BIGINT) AS leaf, (n_convs - 1) * n_bytes AS saved
+    FROM (SELECT *, unnest(range(depth + 1)) AS k FROM nodes JOIN childless USING (node))
+), sums AS (
+    SELECT node, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM ups GROUP BY node
+), lengths AS (
+    SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY 1
+), ends AS (
+    SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM prefixes JOIN lengths USING (conv_id, depth) GROUP BY node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes AS n JOIN childless USING (node) JOIN sums USING (node) LEFT JOIN ends USING (node)
+LEFT JOIN nodes AS p ON n.depth > 0 AND p.node = n.node[:-2]
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 ORACLES = {
+    "op13_hard_negatives": HARD_NEGATIVES,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op5_jaccard_join": JACCARD_JOIN,
     "op8_warc_zip": WARC_ZIP,
     "op10_vector_links": VECTOR_LINKS,

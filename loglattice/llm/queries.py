@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import jaccard_join, mixing, packing, quality_model
+from loglattice.llm import hard_negatives, jaccard_join, mixing, packing, prefix_trie, quality_model
 from loglattice.llm import quality_rules as rules
 from loglattice.llm import suffix_dedup, token_counts, token_files, toxicity, vector_links, warc_zip
 
@@ -82,6 +82,22 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    taken = F.crc32(F.col("conv_id").cast("string")) % 9
+    return prefix_trie.prefix_nodes(*prefix_trie.borrowed_starts(turns, base, taken, most=8))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").where(finite).select(
+        "vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector")
+    )
+    return hard_negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -91,7 +107,9 @@ QUERIES = {
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_vector_links": op10_vector_links,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_counts": op12_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
 }
