@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 ENGINE_CONF = {
@@ -70,3 +71,54 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(hadoop_path)
     return found is not None and len(found) > 0
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, but for hidden ones; none if there is no such folder."""
+    path, fs = _file_system(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    return [n for n in names if not n.startswith((".", "_"))]
+
+
+def read_text(spark: SparkSession, file: str) -> str:
+    path, fs = _file_system(spark, file)
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, file: str, text: str) -> bool:
+    """Write a small file whole, or not at all: False if there is one by that name."""
+    path, fs = _file_system(spark, file)
+    draft, _ = _file_system(spark, f"{file.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    if fs.exists(path):
+        return False
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    # A rename that never replaces, as the engine's own checkpoints use it.
+    context = hadoop.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, path, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as error:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the caller's own making, if it is there."""
+    hadoop_path, fs = _file_system(spark, path)
+    fs.delete(hadoop_path, True)

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..operators.screening import FLAG_SECONDS, flag_counts, flagged_requests
 from ..session import path_exists
-from .runner import StreamRun, newest_rows, run_available, stream_name, write_batch
+from .runner import (
+    StreamRun, add_changes, change_table, newest_rows, run_available, stream_name, write_batch,
+)
 
 LATENESS_SECONDS = 600
 OPEN = T.StructType(
@@ -47,7 +49,7 @@ def screen_batch(
     before = _left_open(requests.sparkSession, state, batch_id, stream)
     rows = requests.select(columns).unionByName(before.where("open").select(columns))
     armed = before.where("NOT open").select("client_ip", "ts")
-    write_batch(flagged_requests(rows, ttl, armed), verdicts, batch_id, stream=stream)
+    add_changes(flagged_requests(rows, ttl, armed), batch_id, verdicts, ["query_id"], stream)
     known = rows.withColumn("open", F.lit(True)).unionByName(before.where("NOT open"))
     edge = known.agg(F.max("ts")).scalar() - F.make_dt_interval(secs=F.lit(LATENESS_SECONDS))
     still = F.col("ts") >= edge
@@ -64,7 +66,10 @@ def stream_ip_flags(
     writer = requests.writeStream.foreachBatch(
         lambda df, batch_id: screen_batch(df, batch_id, verdicts, state, ttl, name)
     )
-    return run_available(writer, checkpoint)
+    run = run_available(writer, checkpoint)
+    if run.success:
+        change_table(requests.sparkSession, verdicts, ["query_id"], name).mark_caught_up()
+    return run
 
 
 def verdicts_from(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..session import path_exists
+from ..session import list_names, path_exists
+from .committed import Tables, newest_of
 
 logger = logging.getLogger(__name__)
 
@@ -55,11 +57,12 @@ def stream_name(spark: SparkSession, checkpoint: str) -> str:
     """The name under which a checkpoint's stream writes, made up once and kept in it.
 
     Batch ids start at zero with every checkpoint; only together with this name
-    do they tell a batch from those of other streams, or of a lost checkpoint.
+    do they tell a batch from those of other streams, or of a lost checkpoint. Names
+    sort by when the stream began.
     """
     path = f"{checkpoint.rstrip('/')}/stream-name"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        name = f"s{uuid.uuid4().hex}"
+        name = f"s{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(path)
     return spark.read.text(path).first()["value"]
 
@@ -79,21 +82,41 @@ def write_batch(
     )
 
 
-def write_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamRun:
-    """Run an aggregation in update mode, keeping each batch's changed rows."""
-    name = stream_name(stream.sparkSession, checkpoint)
+def write_changes(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamRun:
+    """Run an aggregation in update mode, keeping the newest state of each key."""
+    spark = stream.sparkSession
+    name = stream_name(spark, checkpoint)
     writer = stream.writeStream.outputMode("update").foreachBatch(
-        lambda df, batch_id: write_batch(df, path, batch_id, stream=name)
+        lambda df, batch_id: add_changes(df, batch_id, path, keys, name)
     )
-    return run_available(writer, checkpoint)
+    run = run_available(writer, checkpoint)
+    if run.success:
+        change_table(spark, path, keys, name).mark_caught_up()
+    return run
+
+
+def change_table(spark: SparkSession, path: str, keys: list[str], stream: str) -> Tables:
+    """The table of one stream's changes, below its own name."""
+    return Tables(spark, f"{path.rstrip('/')}/{stream}", {"changes": newest_of(keys)})
+
+
+def add_changes(rows: DataFrame, batch_id: int, path: str, keys: list[str], stream: str = "s0") -> None:
+    """Add a batch's rows to its stream's table, once."""
+    numbered = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    table = change_table(rows.sparkSession, path, keys, stream)
+    table.commit(stream, batch_id, lambda _: {"changes": lambda _: numbered})
 
 
 def newest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The latest state of each key in the change table of one stream."""
-    changes = spark.read.parquet(path)
-    values = [c for c in changes.columns if c not in (*keys, "stream", "batch_id")]
-    return (
-        changes.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-        .select(*keys, "_v.*")
-    )
+    """The latest state of each key, by one stream.
+
+    A lost checkpoint starts a stream anew, and that goes through the source from its start; names order streams by their
+    start. The newest one that has once reached the end of its source counts, or the newest of all if none has: rows of
+    two streams are never mixed.
+    """
+    names = sorted(list_names(spark, path), reverse=True)
+    if not names:
+        raise FileNotFoundError(f"no stream has written to {path}")
+    tables = [change_table(spark, path, keys, name) for name in names]
+    chosen = next((t for t in tables if t.state().caught_up), tables[0])
+    return chosen.read("changes").drop("batch_id")

@@ -15,6 +15,8 @@ from ..operators.log_reports import session_depth_of, session_parts
 from .runner import StreamRun, newest_rows, write_changes
 
 LATENESS = "10 minutes"
+HOUR, WINDOW = ["hour_start"], ["client_ip", "window_start"]
+SESSION = ["session_id", "search_campaign", "endpoint_path"]
 
 
 def stream_hourly_traffic(log: DataFrame, path: str, checkpoint: str) -> StreamRun:
@@ -29,13 +31,13 @@ def stream_hourly_traffic(log: DataFrame, path: str, checkpoint: str) -> StreamR
         )
     )
     return write_changes(
-        hours.select(F.col("w.start").alias("hour_start"), "n", "ms", "n_ms"), path, checkpoint
+        hours.select(F.col("w.start").alias("hour_start"), "n", "ms", "n_ms"), path, checkpoint, HOUR
     )
 
 
 def hourly_traffic_from(spark: SparkSession, path: str) -> DataFrame:
     """Requests and average latency by hour of day."""
-    hours = newest_rows(spark, path, ["hour_start"])
+    hours = newest_rows(spark, path, HOUR)
     return (
         hours.groupBy(F.hour("hour_start").alias("hour_of_day"))
         .agg(
@@ -56,13 +58,13 @@ def stream_rate_limit(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return write_changes(
-        counts.select("client_ip", F.col("w.start").alias("window_start"), "n"), path, checkpoint
+        counts.select("client_ip", F.col("w.start").alias("window_start"), "n"), path, checkpoint, WINDOW
     )
 
 
 def rate_limit_from(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """Requests and how many of them were over the limit, per address and window."""
-    counts = newest_rows(spark, path, ["client_ip", "window_start"])
+    counts = newest_rows(spark, path, WINDOW)
     return counts.select(
         "client_ip",
         "window_start",
@@ -78,14 +80,13 @@ def stream_session_depth(log: DataFrame, path: str, checkpoint: str) -> StreamRu
     )
     day = F.window("request_timestamp", "1 day").alias("w")
     parts = session_parts(staged, day).withColumn("day_start", F.col("w.start")).drop("w")
-    return write_changes(parts, path, checkpoint)
+    return write_changes(parts, path, checkpoint, [*SESSION, "day_start"])
 
 
 def session_depth_from(spark: SparkSession, path: str) -> DataFrame:
     """Per campaign averages of all sessions seen."""
-    keys = ["session_id", "search_campaign", "endpoint_path"]
-    parts = newest_rows(spark, path, [*keys, "day_start"])
-    merged = parts.groupBy(*keys).agg(
+    parts = newest_rows(spark, path, [*SESSION, "day_start"])
+    merged = parts.groupBy(*SESSION).agg(
         F.max("converted").alias("converted"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
