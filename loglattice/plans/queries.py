@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.times import newest
 from ..operators import documents as docs
-from ..operators import log_api, log_reports, profiles, retrieval, screening, sync
+from ..operators import id_ledger, log_api, log_reports, profiles, retrieval, screening, sync
 from ..schemas import HISTORIC_LOG, SKILL_ANALYSIS, WEAK_MATCH
 from ..session import prepare, scratch_path
 from ..sources import corpus, jsonl, logs
 from ..streaming import flags as flag_streams
 from ..streaming import logs as log_streams
-from ..streaming import windows
+from ..streaming import table_sync, windows
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,6 +286,38 @@ def run_sync(spark, sf):
     return sync.mark_synced(spark.read.parquet(warehouse), ids).drop("stream", "batch_id")
 
 
+@query
+def unsynced_batch_bitmap(spark, sf):
+    ledger = id_ledger.bitmap_ledger(_ledger(spark, sf))
+    batch = id_ledger.unsynced_by_bitmap(_live(spark, sf), ledger)
+    return batch.select("query_id", "path", "recruiter_domain")
+
+
+@query
+def mark_synced_bitmap(spark, sf):
+    """The ledger in two parts that share half of their ids."""
+    ids = _ledger(spark, sf)
+    parts = id_ledger.bitmap_ledger(ids).union(id_ledger.bitmap_ledger(ids.where("query_id % 2 = 0")))
+    marked = id_ledger.mark_synced_by_bitmap(_live(spark, sf), parts)
+    return marked.select("query_id", "recruiter_domain", "synced")
+
+
+@query
+def sync_status_bitmap(spark, sf):
+    return id_ledger.sync_status_by_bitmap(_live(spark, sf), id_ledger.bitmap_ledger(_ledger(spark, sf)))
+
+
+@query
+def run_sync_table(spark, sf):
+    """The live log synced twice into committed tables, the second time from a new checkpoint."""
+    source, path = scratch_path(spark, "live-log"), scratch_path(spark, "tables")
+    _live(spark, sf).write.parquet(source)
+    for _ in range(2):
+        _succeeded(table_sync.run_sync_table(spark, source, path, scratch_path(spark, "state")))
+    tables = table_sync.warehouse_tables(spark, path)
+    return id_ledger.mark_synced_by_bitmap(tables.read("rows"), tables.read("ledger"))
+
+
 def _succeeded(summary: DataFrame) -> None:
     if not summary.first()["success"]:
         raise RuntimeError("the sync failed; see the log")

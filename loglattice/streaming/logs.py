@@ -45,7 +45,8 @@ def load_batch(
     """Load one micro-batch, record its ids; rows fetched and rows loaded.
 
     An id that comes twice is loaded once, whatever day, stream or checkpoint it
-    came from before; of several rows in this batch the earliest. Both writes
+    came from before; of several rows in this batch the earliest. Rows without an id
+    cannot be told from repeats: they are fetched, never loaded. Both writes
     replace what this batch of this stream left, so a crash between them, or in
     the middle of one, is repaired by running the batch again. Two streams
     loading one warehouse must take turns, or ids both fetch meanwhile come twice.
@@ -59,7 +60,7 @@ def load_batch(
         return 0, 0
     rest = [c for c in rows.columns if c not in ("query_id", "request_timestamp")]
     first = F.min(F.struct("request_timestamp", *rest)).alias("first")
-    fresh = rows.groupBy("query_id").agg(first).select("query_id", "first.*").select(rows.columns)
+    fresh = rows.where(F.col("query_id").isNotNull()).groupBy("query_id").agg(first).select("query_id", "first.*").select(rows.columns)
     own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
     if path_exists(spark, warehouse):
         # One column of the row groups that can hold one of the ids.
@@ -93,7 +94,7 @@ def run_sync(
     """
     if not path_exists(spark, source):
         logger.error("nothing to sync at %s", source)
-        return _summary(spark, 0, 0, False)
+        return summary(spark, 0, 0, False)
     reader = spark.readStream.schema(LIVE_LOG)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -109,10 +110,11 @@ def sync_stream(log: DataFrame, warehouse: str, ledger: str, checkpoint: str) ->
     )
     run = run_available(writer, checkpoint)
     fetched, loaded = sum(c[0] for c in counts), sum(c[1] for c in counts)
-    return _summary(log.sparkSession, fetched, loaded, run.success)
+    return summary(log.sparkSession, fetched, loaded, run.success)
 
 
-def _summary(spark: SparkSession, fetched: int, loaded: int, success: bool) -> DataFrame:
+def summary(spark: SparkSession, fetched: int, loaded: int, success: bool) -> DataFrame:
+    """The summary row of a sync."""
     return spark.range(1).select(
         F.lit(fetched).alias("records_fetched"),
         F.lit(loaded).alias("records_loaded"),
