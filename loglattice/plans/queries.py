@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.times import newest
 from ..operators import documents as docs
-from ..operators import id_ledger, log_api, log_reports, profiles, retrieval, screening, sync
+from ..operators import (
+    id_ledger, log_api, log_reports, log_sketches, profiles, retrieval, screening, sync,
+)
 from ..schemas import HISTORIC_LOG, SKILL_ANALYSIS, WEAK_MATCH
 from ..session import prepare, scratch_path
 from ..sources import corpus, jsonl, logs
@@ -106,6 +108,133 @@ def last_sync_status(spark, sf):
     return log_reports.last_sync_status(_log(spark, sf), ledger)
 
 
+# -- daily summaries: each report from stored sketches, held against exact figures -------------
+
+
+def _stored(spark, summary: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "daily")
+    log_sketches.write_daily(summary, path)
+    return spark.read.parquet(path)
+
+
+def _within(estimate, exact, margin):
+    return F.abs(estimate - exact) <= margin
+
+
+@query
+def funnel_dropoff_sketched(spark, sf):
+    """Each figure of the sketched drop-off: what it is exactly, and whether the sketch keeps its bound."""
+    log = _log(spark, sf)
+    got = log_sketches.funnel_dropoff_from(_stored(spark, log_sketches.funnel_sketches(log)))
+    staged = log_sketches.last_days(log, None, 7).where("funnel_stage IS NOT NULL AND session_id IS NOT NULL")
+    flags = staged.groupBy("session_id").agg(
+        *[F.max(F.col("funnel_stage") == s).alias(n) for s, n in zip(log_sketches.STAGES, "iec")]
+    )
+    exact = {
+        "sessions": "true", "step_1_impressions": "i", "step_2_engagements": "e", "step_3_contacts": "c",
+        "engaged": "i AND e", "completed": "i AND e AND c", "lost_after_impression": "i AND NOT e",
+        "lost_after_engagement": "i AND e AND NOT c",
+    }
+    truth = flags.agg(*[F.count_if(F.expr(e)).alias(f"x_{m}") for m, e in exact.items()])
+    rows = [
+        F.struct(
+            F.lit(m).alias("metric"),
+            F.col(f"x_{m}").alias("exact"),
+            _within(F.col(m), F.col(f"x_{m}"), F.col("error") * F.col("x_sessions") + 1).alias("within_bound"),
+        )
+        for m in exact
+    ]
+    return got.crossJoin(truth).select(F.inline(F.array(*rows)))
+
+
+@query
+def funnel_by_campaign_sketched(spark, sf):
+    log = _log(spark, sf)
+    got = log_sketches.funnel_by_campaign_from(_stored(spark, log_sketches.funnel_sketches(log)))
+    staged = log_sketches.last_days(log, None, 7).where("funnel_stage IS NOT NULL")
+    visits = staged.groupBy("session_id", "search_campaign", "traffic_source").agg(
+        *[F.max(F.col("funnel_stage") == s).alias(f"x_{s}s") for s in log_sketches.STAGES]
+    )
+    names = [f"{s}s" for s in log_sketches.STAGES]
+    truth = visits.groupBy(F.col("search_campaign").alias("campaign")).agg(
+        F.count(F.lit(1)).alias("x_total_sessions"), *[F.count_if(f"x_{n}").alias(f"x_{n}") for n in names]
+    )
+    kept = F.lit(True)
+    for n in ["total_sessions", *names]:
+        kept &= _within(F.col(n), F.col(f"x_{n}"), log_sketches.theta_error() * F.col(f"x_{n}") + 1)
+    return got.join(truth, F.col("search_campaign").eqNullSafe(F.col("campaign"))).select(
+        "search_campaign", *[F.col(f"x_{n}").alias(n) for n in ["total_sessions", *names]], kept.alias("within_bound")
+    )
+
+
+def _ranked(rows, quantiles, keys, probs):
+    """Whether each quantile's rank among the rows is within the sketch's bound."""
+    shares = log_sketches.rank_shares(rows, quantiles, keys, "response_time_ms", list(probs))
+    error = log_sketches.kll_error()
+    ok = [
+        ((F.col(f"{n}_below") <= p + error) & (F.col(f"{n}_upto") >= p - error)).alias(f"{n}_within_bound")
+        for n, p in probs.items()
+    ]
+    return shares.select(*keys, *ok)
+
+
+@query
+def endpoint_quantiles_sketched(spark, sf):
+    log, keys = _log(spark, sf), ["recruiter_domain", "endpoint_path"]
+    sketches = _stored(spark, log_sketches.latency_sketches(log))
+    got = log_sketches.endpoint_quantiles_from(sketches, from_days=20, to_days=5)
+    day = F.to_date(F.lit(newest(log)))
+    rows = log.where(F.col("date").between(F.date_sub(day, 20), F.date_sub(day, 5)))
+    return got.select(*keys, "hits").join(
+        _ranked(rows, got, keys, {"p95_response_ms": 0.95, "p50_response_ms": 0.5}), keys
+    )
+
+
+@query
+def endpoint_popularity_sketched(spark, sf):
+    log, keys = _log(spark, sf), ["endpoint_path"]
+    got = log_sketches.endpoint_popularity_from(_stored(spark, log_sketches.latency_sketches(log)))
+    rows = log_sketches.last_days(log, None, 7)
+    return got.drop("p95_latency_ms").join(_ranked(rows, got, keys, {"p95_latency_ms": 0.95}), keys)
+
+
+@query
+def latency_percentiles_sketched(spark, sf):
+    log = _log(spark, sf)
+    got = log_sketches.latency_percentiles_from(_stored(spark, log_sketches.latency_sketches(log)))
+    return _ranked(log, got, [], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query
+def domain_skills_sketched(spark, sf):
+    """Frequent skills per domain from daily summaries of four items: bounds, and whether all that must be found are."""
+    log, keys, kept = _log(spark, sf), ["recruiter_domain"], 4
+    daily = _stored(spark, log_sketches.frequent_items(log, ["date", *keys], "skill_searched", kept))
+    merged = log_sketches.merge_frequent(daily, keys, kept)
+    counts = log.groupBy(*keys, "skill_searched").agg(F.count(F.lit(1)).alias("exact"))
+    joined = counts.join(merged, keys)
+    listed = F.filter("items", lambda x: x["item"].eqNullSafe(F.col("skill_searched")))
+    at_least = F.coalesce(F.try_element_at(listed, F.lit(1))["at_least"], F.lit(0))
+    return joined.groupBy(*keys).agg(
+        F.first("n").alias("hits"),
+        F.every((F.col("exact") >= at_least) & (F.col("exact") <= at_least + F.col("missing"))).alias("bounds_hold"),
+        F.every((at_least > 0) | (F.col("exact") <= log_sketches.items_error(F.col("n"), kept))).alias("frequent_found"),
+        (F.first("missing") <= log_sketches.items_error(F.first("n"), kept)).alias("missing_within_bound"),
+    )
+
+
+@query
+def distinct_domains_approx(spark, sf):
+    """The approximate count of domains against the exact one: within three times five percent."""
+    log = _log(spark, sf)
+    near = log_reports.distinct_domains(log, approximate=True).withColumnRenamed("distinct_domains", "near")
+    exact = log_reports.distinct_domains(log)
+    margin = F.col("distinct_domains") * 0.15
+    return exact.crossJoin(near).select(
+        "distinct_domains", _within(F.col("near"), F.col("distinct_domains"), margin).alias("within_bound")
+    )
+
+
 # -- sources and sinks ---------------------------------------------------------
 
 
