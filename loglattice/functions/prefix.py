@@ -66,3 +66,17 @@ def running(
     ]
     kept = [F.col(f"`{c}`") for c in rows.columns]
     return dealt.join(before, same).select(*kept, *([own] if part else []), *merged)
+
+
+def ranked(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """`rows` with RANK() by one column, largest first, NULL last, over all rows.
+
+    Rows are counted per value, counts run up over ranges of values, and a value's rank is joined back: ties share it, and
+    nothing but a total per range ever meets in one task.
+    """
+    mark = uuid.uuid4().hex[:8]
+    value, n, upto = f"value_{mark}", f"n_{mark}", f"upto_{mark}"
+    per = rows.groupBy(F.col(f"`{by}`").alias(value)).agg(F.count(F.lit(1)).alias(n))
+    ran = running(per, [], [F.col(value).desc_nulls_last()], {upto: ("sum", F.col(n))})
+    ranks = ran.select(value, (F.col(upto) - F.col(n) + 1).cast("int").alias(name))
+    return rows.join(ranks, F.col(f"`{by}`").eqNullSafe(F.col(value))).drop(value)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def percent(part: Column, whole: Column, digits: int) -> Column:
     """`part / whole` in percent; NULL, not an error, when whole is zero."""
@@ -45,7 +47,8 @@ def exact_quantiles(
     totals are taken over whole units of the value; only the unit that holds a
     quantile is looked at value by value. Both passes, and whatever else is
     computed from the same counts, read one shuffle: no predicate on the value
-    is used that could be pushed below it and make the plans differ.
+    is used that could be pushed below it and make the plans differ. Without a
+    key the running totals are taken over ranges of units, see `prefix.running`.
     """
     keys = list(keys)
     known = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
@@ -60,7 +63,7 @@ def exact_quantiles(
     units = counts.groupBy(*keys, "_unit").agg(F.sum("_known").alias("_n"))
     per_key = Window.partitionBy(*keys)
     upto_here = (Window.unboundedPreceding, Window.currentRow)
-    running = per_key.orderBy("_unit").rowsBetween(*upto_here)
+    so_far = per_key.orderBy("_unit").rowsBetween(*upto_here)
     targets = F.array(
         *[
             F.struct(
@@ -71,10 +74,13 @@ def exact_quantiles(
         ]
     )
     below = F.col("_upto") - F.col("_n")
+    if keys:
+        totals = units.withColumn("_upto", F.sum("_n").over(so_far)).withColumn("_total", F.sum("_n").over(per_key))
+    else:
+        ran = running(units, [], ["_unit"], {"_upto": ("sum", F.col("_n"))})
+        totals = ran.withColumn("_total", units.agg(F.sum("_n")).scalar())
     hits = (
-        units.withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_total", F.sum("_n").over(per_key))
-        .withColumn("_t", F.explode(targets))
+        totals.withColumn("_t", F.explode(targets))
         .where((F.col("_t.rank") <= F.col("_upto")) & (F.col("_t.rank") > below))
         .select(
             *[F.col(k).alias(f"_h_{k}") for k in keys],

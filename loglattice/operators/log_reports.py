@@ -2,7 +2,8 @@
 
 Every report is one or two hash aggregations that combine on the map side, so a
 domain or campaign holding a third of the log costs one partial row per task.
-`RANK()` runs over rows that are already one per domain or source.
+`RANK()` runs over rows that are already one per domain, cut to k per task first; sources
+are ranked by running counts over ranges of rates.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.prefix import ranked
 from ..functions.stats import (
     approx_quantiles, exact_quantiles, mean, mean_of, percent, value_counts,
 )
@@ -346,11 +348,12 @@ def conversion_by_source(log: DataFrame, as_of=None, days: int = 30) -> DataFram
     )
     rate = F.try_divide(F.col("conversions"), F.col("total_sessions"))
     return (
-        sources.withColumn(
-            "conversion_rate_pct",
-            percent(F.col("conversions"), F.col("total_sessions"), 2),
+        ranked(sources.withColumn("_rate", rate), "_rate", "source_rank")
+        .select(
+            *sources.columns,
+            percent(F.col("conversions"), F.col("total_sessions"), 2).alias("conversion_rate_pct"),
+            "source_rank",
         )
-        .withColumn("source_rank", F.rank().over(Window.orderBy(rate.desc())))
         .orderBy(F.desc("conversion_rate_pct"), "traffic_source")
     )
 

@@ -446,6 +446,7 @@ add("sync_status", f"""WITH {LEDGER}
 SELECT t AS total, s AS synced, t - s AS pending
 FROM (SELECT (SELECT count(*) FROM events) AS t, (SELECT count(*) FROM ledger) AS s)""")
 
+add("write_clustered", log_query("SELECT query_id, date, recruiter_domain, endpoint_path, response_time_ms FROM log"))
 # The bitmap ledger gives what the list of ids gives.
 for name in ("unsynced_batch", "mark_synced", "sync_status"):
     add(f"{name}_bitmap", ORACLES[name])

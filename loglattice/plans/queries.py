@@ -14,7 +14,7 @@ from ..operators import (
 )
 from ..schemas import HISTORIC_LOG, SKILL_ANALYSIS, WEAK_MATCH
 from ..session import prepare, scratch_path
-from ..sources import corpus, jsonl, logs
+from ..sources import clustering, corpus, jsonl, logs
 from ..streaming import flags as flag_streams
 from ..streaming import logs as log_streams
 from ..streaming import table_sync, windows
@@ -331,6 +331,14 @@ def write_partitioned(spark, sf):
     )
 
 
+@query
+def write_clustered(spark, sf):
+    """Written along a curve over both keys, in many small files; whole rows are compared."""
+    path = scratch_path(spark, "clustered")
+    clustering.write_clustered(_log(spark, sf), path, bytes_per_file=1 << 20)
+    return spark.read.parquet(path).select("query_id", "date", "recruiter_domain", "endpoint_path", "response_time_ms")
+
+
 @query
 def replicate_rows(spark, sf):
     copies = logs.replicate_rows(_log(spark, sf), 10)
@@ -461,7 +469,8 @@ def sync_status(spark, sf):
 
 
 def _documents(spark, sf) -> DataFrame:
-    return d.probe_documents(d.table(spark, sf, "documents"))
+    """The documents, which come in one file, dealt to all cores."""
+    return docs.dealt(d.probe_documents(d.table(spark, sf, "documents")))
 
 
 @query
@@ -513,7 +522,7 @@ def anonymize_documents(spark, sf):
 
 
 def _files(spark, sf) -> DataFrame:
-    return d.corpus_files(d.table(spark, sf, "documents"))
+    return docs.dealt(d.corpus_files(d.table(spark, sf, "documents")))
 
 
 @query

@@ -40,3 +40,42 @@ def test_no_rows_and_names_that_clash(spark):
     assert running(empty, ["k"], ["part"], {"n": ("sum", F.lit(1))}).count() == 0
     one = spark.createDataFrame([("x", 5, 6)], "k string, part long, `odd.name` long")
     assert running(one, [], ["part"], {"n": ("sum", F.col("`odd.name`"))}).collect()[0]["n"] == 6
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_without_a_key(spark):
+    from loglattice.functions.prefix import ranked
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([0.5, None, 0.25, 0.5, None, 1.0, -2.0] * 3)], "i int, v double")
+    got = ranked(rows, "v", "rank")
+    assert {(r["v"], r["rank"]) for r in got.collect()} == {(1.0, 1), (0.5, 4), (0.25, 10), (-2.0, 13), (None, 16)}
+    assert got.count() == 21 and got.columns == ["i", "v", "rank"]
+
+
+def test_quantiles_and_ranks_meet_in_no_single_task(spark):
+    """Only the few totals per range go to one partition, never units, values or sources."""
+    from pyspark.sql import Window
+
+    from loglattice.functions.stats import exact_quantiles, value_counts
+    from loglattice.operators.log_reports import conversion_by_source
+
+    rows = spark.range(5000).select((F.col("id") % 700 / 7).alias("ms"))
+    got = exact_quantiles(value_counts(rows, [], "ms"), [], "ms", {"p50": 0.5, "p95": 0.95, "p100": 1.0})
+    want = sorted(r["ms"] for r in rows.collect())
+    assert tuple(got.first()) == (want[2499], want[4749], want[4999])
+    log = spark.range(300).select(
+        F.col("id").cast("string").alias("session_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("traffic_source"),
+        F.when(F.col("id") % 3 == 0, "contact").otherwise("impression").alias("funnel_stage"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("request_timestamp"))
+    report = conversion_by_source(log, as_of="2024-01-02 00:00:00")
+    rate = F.col("conversions") / F.col("total_sessions")
+    assert report.where(F.lit(True)).withColumn("want", F.rank().over(Window.orderBy(rate.desc()))).where("want <> source_rank").count() == 0
+    for frame, raw in ((got, "_unit"), (report, "traffic_source")):
+        lines = plan_of(frame).split("\n")
+        for at, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                below = " ".join(lines[at : at + 3])
+                assert "part_" in below or "partial_" in below, below
