@@ -37,11 +37,11 @@ def nearest_in_block(queries: np.ndarray, block: np.ndarray, k: int):
 
 
 def block_candidates(
-    query_ids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: int
+    query_ids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: int, rows_of=unit_rows
 ) -> pd.DataFrame:
     """The k nearest rows of a block (`id`, `vector`) for each query."""
     block = block.sort_values("id", kind="stable")
-    rows, cols, found = nearest_in_block(queries, unit_rows(block["vector"]), k)
+    rows, cols, found = nearest_in_block(queries, rows_of(block["vector"]), k)
     return pd.DataFrame(
         {
             "query": query_ids[rows],

@@ -109,10 +109,12 @@ def _candidate_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 
 def _blocked_candidates(
     queries: DataFrame, vectors: DataFrame, schema, k: int, keyed: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, rows_of: Callable = unit_rows,
 ) -> DataFrame:
     """Candidates of (query block, vector block) pairs of the same key.
 
+    `rows_of` makes the matrix of a block's vectors from their column.
+
     A key is cut into as many blocks as its rows need on either side, so a key
     with a third of all rows is many pairs of bounded size, not one. Pairs are
     dealt out by hash into groups of about a block's rows, so thousands of
@@ -162,7 +164,7 @@ def _blocked_candidates(
         vector_blocks = dict(list(v.groupby(pair)))
         found = [
             block_candidates(
-                part["query"].to_numpy(), unit_rows(part["vector"]), vector_blocks[name], k
+                part["query"].to_numpy(), unit_rows(part["vector"]), vector_blocks[name], k, rows_of
             ).assign(key=name[0])
             for name, part in q.groupby(pair)
             if name in vector_blocks
@@ -231,7 +233,7 @@ def ann_top_k(
     """Approximate form of `cosine_top_k`: random projections of the unit vectors
     pick the buckets a query looks into, and distances there are exact.
 
-    A bucket of a table is where all its `projections` agree; more of them make
+    NULL vectors, on either side, are left out. A bucket of a table is where all its `projections` agree; more of them make
     buckets smaller, more tables make up for what that misses. Buckets go
     through the same blocked search, so one that holds a third of the vectors
     is split. A query whose buckets hold nothing gets no row.
@@ -240,7 +242,7 @@ def ann_top_k(
 
     def unit(df: DataFrame, id_column: str, name: str) -> DataFrame:
         return Normalizer(inputCol="_v", outputCol="unit").transform(
-            df.select(F.col(id_column).alias(name), F.col(vector).alias("vector"),
+            df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias(name), F.col(vector).alias("vector"),
                       group.alias("_group"),
                       array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
         )

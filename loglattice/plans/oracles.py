@@ -875,3 +875,9 @@ WHERE cost >= budget""")
 
 add("stream_hourly_traffic", hourly(""))
 add("stream_session_depth", depth("funnel_stage IS NOT NULL"))
+
+# Searches by way of an index find what the plain ones find.
+for name, twin in (
+    ("indexed_top_k", "cosine_top_k"), ("probed_top_k_recall", "ann_top_k_recall"), ("retrieve_tiers_indexed", "retrieve_tiers"),
+):
+    add(name, ORACLES[twin])

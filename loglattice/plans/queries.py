@@ -11,6 +11,7 @@ from ..functions.times import newest
 from ..operators import documents as docs
 from ..operators import (
     id_ledger, log_api, log_reports, log_sketches, profiles, retrieval, screening, sync,
+    vector_index,
 )
 from ..schemas import HISTORIC_LOG, SKILL_ANALYSIS, WEAK_MATCH
 from ..session import prepare, scratch_path
@@ -624,12 +625,10 @@ def ann_top_k(spark, sf):
     return retrieval.ann_top_k(_as_queries(vectors), vectors, 3)
 
 
-@query
-def ann_top_k_recall(spark, sf):
-    """The approximate search against the exact one: every query answered, nine in ten neighbours found."""
+def _recall(spark, sf, search) -> DataFrame:
     vectors = _vectors(spark, sf)
     queries = _as_queries(vectors)
-    near = retrieval.ann_top_k(queries, vectors, 3).select("query_id", "vec_id")
+    near = search(queries, vectors, 3).select("query_id", "vec_id")
     exact = retrieval.cosine_top_k(queries, vectors, 3).select("query_id", "vec_id", F.lit(1).alias("wanted"))
     joined = exact.join(near.withColumn("found", F.lit(1)), ["query_id", "vec_id"], "full")
     return joined.agg(
@@ -639,6 +638,25 @@ def ann_top_k_recall(spark, sf):
     )
 
 
+@query
+def ann_top_k_recall(spark, sf):
+    """The approximate search against the exact one: every query answered, nine in ten neighbours found."""
+    return _recall(spark, sf, retrieval.ann_top_k)
+
+
+@query
+def indexed_top_k(spark, sf):
+    """The exact search by cells and bounds."""
+    vectors = _vectors(spark, sf)
+    return _rounded(vector_index.indexed_search(_as_queries(vectors), vectors, 3))
+
+
+@query
+def probed_top_k_recall(spark, sf):
+    """The search over codes against the exact one: every query answered, nine in ten neighbours found."""
+    return _recall(spark, sf, vector_index.probed_search)
+
+
 @query
 def filtered_top_k(spark, sf):
     level = F.when(F.col("label") < 5, "public").otherwise("restricted")
@@ -661,6 +679,18 @@ def retrieve_tiers(spark, sf):
     )
 
 
+@query
+def retrieve_tiers_indexed(spark, sf):
+    """The tiers searched by cells and bounds."""
+    found = retrieval.retrieve_tiers(_questions(spark, sf), _tiers(spark, sf), search=vector_index.indexed_search)
+    return found.select(
+        "question_id",
+        *[F.array_join(c, "|").alias(c)
+          for c in ("resume_chunks", "interview_chunks", "arch_chunks", "used_tiers")],
+        F.round("top_distance", 6).alias("top_distance"),
+    )
+
+
 @query
 def weak_matches(spark, sf):
     return retrieval.weak_matches(_results(spark, sf), asked_at=_asked_at())
