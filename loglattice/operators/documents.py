@@ -222,19 +222,13 @@ def read_patterns(lines: Iterable[str]) -> list[str]:
     return [line for line in stripped if line and not line.startswith("#")]
 
 
-def denylist_scan(
+def scanned_lines(
     files: DataFrame,
-    patterns: Iterable[str],
     include: Sequence[str] = (".py", ".txt", ".md", ".json", ".yaml", ".yml"),
     exclude_dirs: Sequence[str] = ("__pycache__", "resume_corpus", "tests"),
     exclude_files: Sequence[str] = ("scrub.py", "security.py"),
 ) -> DataFrame:
-    """Every (file, line, pattern) hit, ignoring case.
-
-    The patterns are part of the expression, so each line is tried against all
-    of them where it lies; lines and patterns are never joined.
-    """
-    patterns = read_patterns(patterns)
+    """(path, line_no, line) of the files a scan looks at."""
     steps = F.split("path", "/")
     name = F.element_at(steps, -1)
     wanted = F.lit(False)
@@ -245,9 +239,20 @@ def denylist_scan(
         folders, F.array(*[F.lit(d) for d in exclude_dirs])
     )
     scanned = files.where(wanted & ~excluded).withColumn("_lines", F.split("text", "\n"))
-    lines = exploded(scanned, ["path"], "_lines", "line_no", "line").withColumn(
+    return exploded(scanned, ["path"], "_lines", "line_no", "line").withColumn(
         "line_no", F.col("line_no") + 1
     )
+
+
+def denylist_scan(files: DataFrame, patterns: Iterable[str], **which: Sequence[str]) -> DataFrame:
+    """Every (file, line, pattern) hit, ignoring case; `which` as in `scanned_lines`.
+
+    The patterns are part of the expression, so each line is tried against all
+    of them where it lies. That is for tens of patterns; see
+    `pattern_index.denylist_scan_indexed` for thousands.
+    """
+    patterns = read_patterns(patterns)
+    lines = scanned_lines(files, **which)
     if not patterns:
         return lines.where(F.lit(False)).withColumn("pattern", F.lit(""))
     hits = F.array_compact(

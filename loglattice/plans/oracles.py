@@ -599,6 +599,7 @@ hits AS (
   SELECT path, CAST(i AS INTEGER) AS line_no, pattern FROM l, p
   WHERE regexp_matches(parts[i], '(?i)' || pattern))"""
 add("denylist_scan", f"WITH {HITS_OF_SCAN} SELECT * FROM hits")
+add("denylist_scan_indexed", ORACLES["denylist_scan"])
 add("denylist_verdict", f"WITH {HITS_OF_SCAN} SELECT count(*) AS hits, count(*) = 0 AS passed FROM hits")
 
 # -- retrieval -----------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.times import newest
 from ..operators import documents as docs
 from ..operators import (
-    id_ledger, log_api, log_reports, log_sketches, profiles, retrieval, screening, sync,
+    id_ledger, log_api, log_reports, log_sketches, pattern_index, profiles, retrieval, screening, sync,
     vector_index,
 )
 from ..schemas import HISTORIC_LOG, SKILL_ANALYSIS, WEAK_MATCH
@@ -557,6 +557,14 @@ def denylist_scan(spark, sf):
     return hits.select("path", "line_no", "pattern")
 
 
+@query
+def denylist_scan_indexed(spark, sf):
+    """The same among two thousand patterns that are in no file."""
+    others = [rf"absent{i:04d}\s+words" for i in range(2000)]
+    hits = pattern_index.denylist_scan_indexed(_files(spark, sf), [*DENIED, *others])
+    return hits.select("path", "line_no", "pattern")
+
+
 @query
 def denylist_verdict(spark, sf):
     return docs.denylist_verdict(docs.denylist_scan(_files(spark, sf), DENIED))
