@@ -18,8 +18,6 @@ SKILLS = [
     "Python", "SQL", "BigQuery", "API Design", "Cloud", "Agile",
     "Terraform", "AWS", "Docker", "CI/CD", "JavaScript", "React",
 ]
-# Fixed values: (status, weight in percent).
-STATUS_WEIGHTS = [(200, 85), (304, 5), (400, 4), (404, 4), (500, 2)]
 
 # Skills endpoint and the search parameter in its query string.
 SKILLS_ENDPOINT = "/resume/skills"

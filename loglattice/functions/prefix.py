@@ -68,6 +68,30 @@ def running(
     return dealt.join(before, same).select(*kept, *([own] if part else []), *merged)
 
 
+def page_of(rows: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:
+    """Rows `offset` to `offset + limit` in order, wherever in a large table that is.
+
+    Rows are dealt to ranges of the order and counted per range (a number per partition reaches the driver). Only the
+    ranges the page lies in are read and sorted, so no task gathers the rows before it.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = f"part_{uuid.uuid4().hex[:8]}"
+    path = scratch_path(spark, "ranges")
+    dealt = rows.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
+    dealt.write.partitionBy(part).parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    counts = dict(dealt.groupBy(part).count().collect())
+    before, first, wanted = 0, 0, []
+    for p in sorted(counts):
+        if before < offset + limit and before + counts[p] > offset:
+            first = first if wanted else offset - before
+            wanted.append(p)
+        before += counts[p]
+    page = dealt.where(F.col(part).isin(wanted)) if wanted else dealt.where(F.lit(False))
+    return page.orderBy(*order).offset(first).limit(limit).drop(part)
+
+
 def ranked(rows: DataFrame, by: str, name: str) -> DataFrame:
     """`rows` with RANK() by one column, largest first, NULL last, over all rows.
 

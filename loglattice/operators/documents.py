@@ -212,7 +212,7 @@ def detect_pii(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def withhold_pii(texts: DataFrame, text: str = "text") -> DataFrame:
     """The text, or a fixed message if it holds personal data."""
-    hit = matches(F.col(text), any_of([p for p, _ in fv.PII_KINDS], "0-9", EXACT), "")
+    hit = matches(F.col(text), any_of([p for p, _ in fv.PII_KINDS], flags=EXACT), "")
     return texts.withColumn(text, F.when(hit, fv.WITHHELD_MESSAGE).otherwise(F.col(text)))
 
 

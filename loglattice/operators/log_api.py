@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import page_of
 from ..functions.stats import approx_quantiles, exact_quantiles, value_counts
 from ..functions.times import iso_utc
 
@@ -12,20 +13,37 @@ from ..functions.times import iso_utc
 def query_log_page(
     log: DataFrame, domain: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
-    """One page of the log, newest first; the client address is masked."""
+    """One page of the log, newest first; the client address is masked.
+
+    Gathers `offset + limit` rows; `query_log_page_ranged` is for pages far back.
+    """
+    page = _paged(log, domain).orderBy(*_newest_first()).offset(offset).limit(limit)
+    return _served(page)
+
+
+def query_log_page_ranged(
+    log: DataFrame, domain: str | None = None, limit: int = 50, offset: int = 0
+) -> DataFrame:
+    """The same page by ranges of the order: only the ranges it lies in are sorted, see `page_of`."""
+    return _served(page_of(_paged(log, domain), _newest_first(), offset, limit))
+
+
+def _paged(log: DataFrame, domain: str | None) -> DataFrame:
     rows = log.where(F.col("recruiter_domain") == domain) if domain else log
-    return (
-        rows.select("query_id", "request_timestamp", "recruiter_domain", "endpoint_path")
-        .orderBy(F.desc("request_timestamp"), F.desc("query_id"))
-        .offset(offset)
-        .limit(limit)
-        .select(
-            F.col("query_id").alias("id"),
-            iso_utc(F.col("request_timestamp")).alias("timestamp"),
-            F.col("recruiter_domain").alias("domain"),
-            F.col("endpoint_path").alias("path"),
-            F.lit("N/A").alias("client_ip"),
-        )
+    return rows.select("query_id", "request_timestamp", "recruiter_domain", "endpoint_path")
+
+
+def _newest_first() -> list[Column]:
+    return [F.desc("request_timestamp"), F.desc("query_id")]
+
+
+def _served(page: DataFrame) -> DataFrame:
+    return page.select(
+        F.col("query_id").alias("id"),
+        iso_utc(F.col("request_timestamp")).alias("timestamp"),
+        F.col("recruiter_domain").alias("domain"),
+        F.col("endpoint_path").alias("path"),
+        F.lit("N/A").alias("client_ip"),
     )
 
 

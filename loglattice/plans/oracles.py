@@ -366,6 +366,9 @@ FROM log {{where}} ORDER BY request_timestamp DESC, query_id DESC LIMIT {{limit}
 add("query_log_page", log_query(PAGE.format(where="", limit=50, offset=0)))
 add("query_log_page_of_domain", log_query(
     PAGE.format(where="WHERE recruiter_domain = 'google.com'", limit=20, offset=5)))
+add("query_log_page_deep", log_query(PAGE.format(where="", limit=50, offset=700)))
+add("top_domains_map", log_query("""
+SELECT recruiter_domain AS domain, count(*) AS hits FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
 add("top_domains", log_query("""
 SELECT recruiter_domain AS domain, count(*) AS hits FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""))
 add("latency_percentiles", log_query("SELECT " + ", ".join(
@@ -385,6 +388,7 @@ add("read_access_log", log_query(LIVE))
 add("append_log_stream", log_query(LIVE))
 HISTORIC_ROWS = "SELECT * FROM historic"
 add("write_csv_log", f"WITH {HISTORIC} {HISTORIC_ROWS}")
+add("read_csv_log_rows", f"WITH {HISTORIC} {HISTORIC_ROWS}")
 add("read_csv_log", f"WITH {HISTORIC}, " + scorecard("""
   SELECT recruiter_domain, timestamp AS request_timestamp, http_status AS http_status_code,
     response_time_ms, skill_searched
@@ -396,6 +400,9 @@ SELECT '2024-01-01T00:00:00+00:00' AS ts, 'question ' || conv_id || '/' || turn
 FROM conversations WHERE (conv_id + turn) % 5 <> 0 AND (conv_id + turn) % 7 <> 0""")
 add("read_text_corpus", f"""
 SELECT lang, {big('sum(length(text) + 1)')} AS n_chars FROM documents GROUP BY 1""")
+add("read_text_corpus_lines", """
+SELECT lang, md5(line) AS digest, count(*) AS n
+FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2""")
 add("write_partitioned", log_query("""
 SELECT date, recruiter_domain, count(*) AS hits, min(query_id) AS first_id FROM log GROUP BY 1, 2"""))
 add("replicate_rows", log_query("""
@@ -431,6 +438,7 @@ SELECT query_id, request_timestamp, http_method, endpoint_path, query_params, re
 FROM log"""))
 PER_DAY = 'SELECT date, count(*) AS "rows", count(DISTINCT query_id) AS ids'
 add("append_warehouse", log_query(f"{PER_DAY} FROM log GROUP BY 1"))
+add("append_warehouse_rows", ORACLES["to_warehouse"])
 for name in ("run_sync", "stream_sync"):
     add(name, log_query(f"""
 SELECT query_id, request_timestamp, http_method, endpoint_path, query_params, recruiter_domain,
@@ -745,6 +753,9 @@ SELECT c_custkey, 1, 'Night School', 'MSc', 'Statistics' FROM customer""")
 add("profile_certifications", """
 SELECT c_custkey AS profile_id, 0 AS position, 'Cert ' || (c_custkey % 6) AS name FROM customer
 UNION ALL SELECT c_custkey, 1, 'Cert X' FROM customer""")
+add("profile_document", """
+SELECT c_custkey AS profile_id, 'Cert ' || (c_custkey % 6) || '|Cert X' AS certifications,
+  'State College|Night School' AS schools, false AS has_projects FROM customer""")
 add("action_validation", f"""
 WITH a AS (
   SELECT o_orderkey AS i, o_orderkey % 2 = 0 AS c,

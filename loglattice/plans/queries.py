@@ -85,6 +85,15 @@ _report("distinct_values", log_api.distinct_values, column="client_ip", limit=5)
 _report("distinct_campaigns", log_api.distinct_values, column="search_campaign", limit=5)
 
 
+_report("query_log_page_deep", log_api.query_log_page_ranged, limit=50, offset=700)
+
+
+@query
+def top_domains_map(spark, sf):
+    """The map form, a row per entry."""
+    return log_api.top_domains_map(_log(spark, sf)).select(F.explode("top_domains").alias("domain", "hits"))
+
+
 def _partitioned_log(spark, sf) -> DataFrame:
     path = scratch_path(spark, "log-by-day")
     logs.write_partitioned(_log(spark, sf), path)
@@ -267,6 +276,14 @@ def read_csv_log(spark, sf):
     return log_reports.domain_scorecard(log)
 
 
+@query
+def read_csv_log_rows(spark, sf):
+    """The rows of the CSV log as their types are detected."""
+    path = scratch_path(spark, "csv-log")
+    logs.write_csv_log(_historic(spark, sf), path)
+    return logs.read_csv_log(spark, path).select(*HISTORIC_LOG.fieldNames())
+
+
 @query
 def append_log_stream(spark, sf):
     path, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "state")
@@ -324,6 +341,19 @@ def read_text_corpus(spark, sf):
     return files.groupBy(lang.alias("lang")).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
+@query
+def read_text_corpus_lines(spark, sf):
+    """Every line of the corpus read from files: language, digest, how often."""
+    path = scratch_path(spark, "corpus")
+    d.table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    files = corpus.read_text_corpus(spark, path)
+    lines = files.select(
+        F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"),
+        F.explode(F.split(F.regexp_replace("text", "\n\\z", ""), "\n")).alias("line"),
+    )
+    return lines.groupBy("lang", F.md5("line").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def write_partitioned(spark, sf):
     log = _partitioned_log(spark, sf)
@@ -406,6 +436,17 @@ def append_warehouse(spark, sf):
     )
 
 
+@query
+def append_warehouse_rows(spark, sf):
+    """The rows that two appends leave."""
+    path = scratch_path(spark, "warehouse")
+    rows = sync.to_warehouse(_live(spark, sf))
+    noon = F.col("hour_of_day") < 12
+    sync.append_warehouse(rows.where(noon), path)
+    sync.append_warehouse(rows.where(~noon), path)
+    return spark.read.parquet(path).drop("created_at")
+
+
 @query
 def mark_synced(spark, sf):
     marked = sync.mark_synced(_live(spark, sf), _ledger(spark, sf))
@@ -784,6 +825,18 @@ def profile_certifications(spark, sf):
     return profiles.profile_sections(_profiles(spark, sf), "certifications")
 
 
+@query
+def profile_document(spark, sf):
+    """The whole served document."""
+    whole = profiles.profile_sections(_profiles(spark, sf), "all")
+    return whole.select(
+        "profile_id",
+        F.array_join(F.transform("certifications", lambda c: c["name"]), "|").alias("certifications"),
+        F.array_join(F.transform("education", lambda e: e["school"]), "|").alias("schools"),
+        F.lit("portfolio_projects" in whole.columns).alias("has_projects"),
+    )
+
+
 @query
 def action_validation(spark, sf):
     return profiles.action_validation(d.actions(d.table(spark, sf, "orders")))

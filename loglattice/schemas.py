@@ -141,14 +141,6 @@ PROFILE = T.StructType(
     ]
 )
 
-BUDGET_NOTICE = T.StructType(
-    [
-        T.StructField("costAmount", T.DoubleType()),
-        T.StructField("budgetAmount", T.DoubleType()),
-        T.StructField("budgetDisplayName", T.StringType()),
-    ]
-)
-
 SKILL_ANALYSIS = T.StructType(
     [
         T.StructField("match_percentage", T.IntegerType()),

@@ -79,3 +79,15 @@ def test_quantiles_and_ranks_meet_in_no_single_task(spark):
             if "Exchange SinglePartition" in line:
                 below = " ".join(lines[at : at + 3])
                 assert "part_" in below or "partial_" in below, below
+
+
+def test_pages_far_back(spark):
+    from loglattice.functions.prefix import page_of
+
+    rows = spark.range(1000).select((F.col("id") % 90).alias("a"), "id").repartition(5)
+    order = [F.desc("a"), "id"]
+    everything = [tuple(r) for r in rows.orderBy(*order).collect()]
+    for offset, limit in ((0, 10), (700, 50), (990, 50), (1000, 5), (2000, 5), (123, 400)):
+        got = [tuple(r) for r in page_of(rows, order, offset, limit).collect()]
+        assert got == everything[offset : offset + limit]
+    assert page_of(rows.limit(0), order, 0, 5).count() == 0
