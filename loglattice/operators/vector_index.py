@@ -8,8 +8,8 @@ inequality, how near a query can come to any of them. A query looks into its nea
 distance found there rules out every cell whose bound lies beyond it.
 
 Approximate search: a query looks into as many of its nearest cells as the sample needed for the wanted recall,
-compares codes there, and measures the best of them exactly. Cells of any size go through the blocked search of
-`retrieval`, so a cell with a third of the vectors is many blocks.
+compares codes there, and measures the best of them exactly. Cells are put together to blocks of bounded size or cut into
+several, so a cell with a third of the vectors is many blocks, and a query is sent to a block once.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.prefix import stored
-from ..functions.vectors import unit_rows
-from .retrieval import BLOCK_ROWS, _blocked_candidates, _candidate_schema, _named, _ranked
+from ..functions.vectors import block_candidates, unit_rows
+from .retrieval import BLOCK_ROWS, _named, _ranked
 
 SAMPLE = 8192
 CELLS = 256
@@ -179,19 +180,57 @@ def _routes(index: VectorIndex, asked: DataFrame) -> DataFrame:
     return met.withColumns({"place": F.row_number().over(order), "before": F.coalesce(before, F.lit(0))})
 
 
-def _cell_key(group: Column, cell: Column) -> Column:
-    return F.concat(cell.cast("string"), F.lit("|"), group)
-
-
 def _looked(index: VectorIndex, asked: DataFrame, routes: DataFrame, k: int, coded: bool) -> DataFrame:
-    """The k best of each (query, cell) in `routes`, by codes or by the vectors themselves."""
-    keyed = routes.select("query", "group", _cell_key(F.col("group"), F.col("cell")).alias("key"))
-    q = asked.select("query", "group", "vector").join(keyed, ["query", "group"]).select("query", "vector", "key")
-    v = index.rows.select("id", F.col("code" if coded else "vector").alias("vector"), _cell_key(F.col("key"), F.col("cell")).alias("key"))
-    schema = _candidate_schema(q, v)
+    """The k best of each query in every block of the cells in `routes`, by codes or by the vectors themselves.
+
+    Small cells share a block, a large one is several, and so are the queries of a block: a query goes once
+    to a block, with the list of its cells there, and is multiplied with the vectors of those cells only.
+    """
+    order = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    placed = index.cells.select(
+        F.col("key").alias("group"), "cell", F.floor(before / BLOCK_ROWS).alias("shard"),
+        F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"),
+    )
+    at = ["group", "shard"]
+    wanted = routes.select("query", "group", "cell").join(placed, ["group", "cell"]).groupBy("query", *at).agg(
+        F.collect_list("cell").alias("cells"), F.max("parts").alias("parts")
+    )
+    sets = wanted.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("sets"))
+    keys = [*at, "part", "set"]
+    q = wanted.join(sets, at).join(asked.select("query", "group", "vector"), ["query", "group"]).select(
+        "query", "vector", "cells", *at, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("query"), F.col("sets")).cast("int").alias("set"),
+    )
+    v = index.rows.withColumnRenamed("key", "group").join(placed, ["group", "cell"]).join(
+        sets.select(*[F.col(c).alias(c) for c in (*at, "sets")]), at
+    ).select(
+        "id", "cell", F.col("code" if coded else "vector").alias("vector"), *[F.col(c).alias(c) for c in at],
+        F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"),
+    )
     rows_of = index.model.decoded if coded else unit_rows
-    found = stored(_blocked_candidates(q, v, schema, k, True, BLOCK_ROWS, rows_of), "looked")
-    return found.withColumn("key", F.substring_index("key", "|", -1) if index.match is None else F.expr("substring(key, instr(key, '|') + 1)"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            units, at_cell = unit_rows(left["vector"]), np.repeat(np.arange(len(left)), left["cells"].map(len))
+            cells = np.concatenate(left["cells"].to_list())
+            for cell, block in right.groupby("cell"):
+                asking = at_cell[cells == cell]
+                if len(asking):
+                    part = block_candidates(left["query"].to_numpy()[asking], units[asking], block, k, rows_of)
+                    found.append(part)
+        if not found:
+            return pd.DataFrame()
+        best = pd.concat(found).sort_values(["query", "distance", "id"])
+        return best[best.groupby("query").cumcount() < k].assign(key=left["group"].iloc[0])
+
+    schema = T.StructType([
+        T.StructField("query", asked.schema["query"].dataType), T.StructField("key", T.StringType()),
+        T.StructField("id", index.rows.schema["id"].dataType), T.StructField("distance", T.DoubleType()),
+    ])
+    return stored(q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(search, schema), "looked")
 
 
 def exact_routes(index: VectorIndex, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
