@@ -115,10 +115,10 @@ def linked_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `vectors` (vec_id, embedding, label).
 
-    Links join vectors of equal labels whose cosine is at least `threshold`. A vector that is NULL, zero, of
-    another length than most of its label's, or holds a NULL or a non-finite component has no links, nor has one
-    whose label is NULL. Rows that share a vec_id are one vector each, and their links add up under that id.
-    Other columns are not used. No rows give no rows.
+    Links join vectors of equal labels and equal lengths whose cosine is at least `threshold`. A vector that is NULL,
+    zero, or holds a NULL or a non-finite component has no links, nor has one whose label or vec_id is NULL; without a
+    vec_id, component_id and kept are NULL too. Rows that share a vec_id are one vector each, and their links add up
+    under that id. Other columns are not used. No rows give no rows.
     """
     reach, least = calibrate(threshold, projections, recall, spread)
     usable = (
