@@ -180,12 +180,16 @@ def _routes(index: VectorIndex, asked: DataFrame) -> DataFrame:
     return met.withColumns({"place": F.row_number().over(order), "before": F.coalesce(before, F.lit(0))})
 
 
-def _looked(index: VectorIndex, asked: DataFrame, routes: DataFrame, k: int, coded: bool) -> DataFrame:
+def _looked(
+    index: VectorIndex, asked: DataFrame, routes: DataFrame, k: int, coded: bool, per_cell: int | None = None
+) -> DataFrame:
     """The k best of each query in every block of the cells in `routes`, by codes or by the vectors themselves.
 
     Small cells share a block, a large one is several, and so are the queries of a block: a query goes once
-    to a block, with the list of its cells there, and is multiplied with the vectors of those cells only.
+    to a block, with the list of its cells there, and is multiplied with the vectors of those cells only. `per_cell`
+    bounds what one cell gives a query, k by default.
     """
+    per_cell = per_cell or k
     order = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(order), F.lit(0))
     placed = index.cells.select(
@@ -219,7 +223,7 @@ def _looked(index: VectorIndex, asked: DataFrame, routes: DataFrame, k: int, cod
             for cell, block in right.groupby("cell"):
                 asking = at_cell[cells == cell]
                 if len(asking):
-                    part = block_candidates(left["query"].to_numpy()[asking], units[asking], block, k, rows_of)
+                    part = block_candidates(left["query"].to_numpy()[asking], units[asking], block, per_cell, rows_of)
                     found.append(part)
         if not found:
             return pd.DataFrame()
@@ -266,12 +270,15 @@ def probed_top_k(
     """About the k nearest: the best `measured` * k codes of the nearest cells, then measured exactly.
 
     A query looks into `probes` cells (as many as the sample needed, by default), and more while those hold fewer
-    than `measured` * k vectors; so every query whose group has k vectors gets k.
+    than `measured` * k vectors; so every query whose group has k vectors gets k. Of a cell's codes the best four times its even
+    share are kept, k at least.
     """
     asked = _asked(index, queries, query_id, vector)
     routes = _routes(index, asked)
-    some = routes.where((F.col("place") <= (probes or index.model.probes)) | (F.col("before") < measured * k))
-    near = _ranked(_looked(index, asked, some, measured * k, coded=True), ["query", "key"], measured * k)
+    probes, most = probes or index.model.probes, measured * k
+    some = routes.where((F.col("place") <= probes) | (F.col("before") < most))
+    per_cell = min(most, max(k, -(-4 * most // probes)))
+    near = _ranked(_looked(index, asked, some, most, True, per_cell), ["query", "key"], most)
     pairs = near.select("query", "id", "key").join(
         index.rows.select("id", "key", F.col("vector").alias("_v")), ["id", "key"]
     ).join(asked.select("query", F.col("group").alias("key"), F.col("vector").alias("_q")), ["query", "key"])
