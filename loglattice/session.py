@@ -59,7 +59,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root(context.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
