@@ -1,14 +1,17 @@
 """Whole texts to token ids by the tokenizers library, fast on repeated words.
 
 A byte-pair tokenizer treats every piece its splitter yields on its own. Texts are cut only where the
-splitters of such tokenizers always cut too; every distinct piece is encoded once per task, and a
-text's ids are those of its pieces in a row. A text holding a special token's string is encoded whole.
+splitters of such tokenizers always cut too; every distinct piece is encoded once, and a text's ids are
+those of its pieces in a row. A text holding a special token's string is encoded whole. A Python worker
+keeps its encoder, and the pieces it knows, from task to task of one run; the next run starts with none.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,9 +24,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 #: one space before it. Apostrophes, other white space and all other characters stick to both sides.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!-&(-/:-@\[-`{-~"
-RUN = rf"(?:[{LETTERS}]+|[{SIGNS}]+|[0-9]+)"
-REST = rf"(?! [{LETTERS}{SIGNS}0-9])[^{LETTERS}{SIGNS}0-9]+"
-PIECES = rf"(?: ?{RUN}|{REST}{RUN}?)(?:{REST}{RUN}?)*"
+RUN = rf"(?:[{LETTERS}]++|[{SIGNS}]++|[0-9]++)"
+REST = rf"(?! [{LETTERS}{SIGNS}0-9])[^{LETTERS}{SIGNS}0-9]++"
+PIECES = rf"(?: ?{RUN}|{REST}{RUN}?+)(?:{REST}{RUN}?+)*+"
 
 
 class Numbers(dict):
@@ -40,9 +43,9 @@ class Numbers(dict):
 
 
 class Encoder:
-    """Ids of batches of texts; remembers those of about `most` distinct pieces."""
+    """Ids of batches of texts; remembers those of about `most` distinct pieces, some 180 bytes each."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -124,6 +127,12 @@ class Encoder:
         return ids, np.diff(up_to)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, run: str) -> Encoder:
+    """The worker's encoder: tasks of one `run` that follow each other in a process share what it has learnt."""
+    return Encoder(path)
+
+
 def by_size(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs [begin, end) of about `most` in sum, in order; a larger value is a run of its own."""
     begin, total = 0, 0
@@ -149,13 +158,13 @@ def token_table(docs: DataFrame, path: str, end_id: int, text: str = "text") ->
     A missing text is an empty one: its only id is the end. Rows, order and other columns stay; the
     tokenizer's file must be readable on the executors.
     """
-    kind = id_type(path)
+    kind, run = id_type(path), uuid.uuid4().hex
     others = [c for c in docs.columns if c not in (text, "ids")]
     source = docs.select(*[f"`{c}`" for c in others], docs[text].cast("string").alias("ids"))
     schema = StructType([*source.drop("ids").schema.fields, StructField("ids", BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path, run)
         for batch in batches:
             texts = batch.column(len(others))
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
