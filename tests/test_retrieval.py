@@ -1,10 +1,12 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loglattice.functions.vectors import nearest_in_block, unit_rows
+from loglattice.functions.vectors import block_candidates, nearest_in_block, unit_rows
 from loglattice.operators import profiles, retrieval
 from loglattice.plans import derived as d
 from loglattice.schemas import PROFILE, SKILL_ANALYSIS
@@ -83,6 +85,30 @@ def test_block_ties_go_to_the_first_row():
     assert (rows.tolist(), cols.tolist(), found.tolist()) == ([0, 0], [0, 2], [0.0, 0.0])
 
 
+def test_a_block_needs_no_array_of_all_pairs():
+    rows = unit_rows(np.random.default_rng(4).normal(size=(5000, 16)))
+    rows[1000:3000] = rows[0]  # copies tie with their k-th
+    block = pd.DataFrame({"id": np.arange(5000), "vector": list(rows)})
+    tracemalloc.start()
+    got = block_candidates(np.arange(5000), rows, block, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    asked = [0, 2500, 4000]
+    every = np.round(1 - (rows[asked][:, None] * rows[None]).sum(axis=2), 9)
+    want = [[q, v] for q, row in zip(asked, every) for v in np.lexsort((np.arange(5000), row))[:3]]
+    assert got[got["query"].isin(asked)][["query", "id"]].to_numpy().tolist() == want
+
+
+def test_longer_rows_than_one_are_not_left_out():
+    rows = np.random.default_rng(5).normal(size=(600, 32))
+    block = 1000 + rows  # far from length one, and near each other
+    queries = unit_rows(rows[:50])
+    exact = 1.0 - queries @ block.T
+    found = nearest_in_block(queries, block, 4, 40)[1].reshape(50, 4)
+    assert (found == np.argsort(exact, axis=1, kind="stable")[:, :4]).all()
+
+
 @pytest.mark.parametrize("match", [None, "grp"])
 def test_approximate_search_recall(cloud, match):
     queries = as_queries(cloud)
