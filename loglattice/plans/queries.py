@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.prefix import stored
 from ..functions.times import newest
 from ..operators import documents as docs
 from ..operators import (
@@ -304,7 +305,8 @@ def _asked_at():
 def write_jsonl(spark, sf):
     """Weak matches appended in two writes and read back."""
     path = scratch_path(spark, "weak")
-    weak = retrieval.weak_matches(_results(spark, sf), asked_at=_asked_at())
+    # Kept between the two writes, or each would search anew.
+    weak = stored(retrieval.weak_matches(_results(spark, sf), asked_at=_asked_at()), "weak-matches")
     jsonl.write_jsonl(weak.where(F.col("top_distance") <= 0.8), path)
     jsonl.write_jsonl(weak.where(F.col("top_distance") > 0.8), path)
     return jsonl.read_jsonl_tolerant(spark, path)

@@ -91,3 +91,23 @@ def test_text_corpus(spark, tmp_path):
     assert set(got) == {"a b", "bad"}
     assert got["a b"]["text"] == "line one\nline é\n" and got["a b"]["filename"] == "a b.txt"
     assert got["bad"]["text"] == "caf� ok"
+
+
+def test_weak_matches_of_two_writes_are_searched_once(spark, monkeypatch):
+    """Each question's results are made once, although two writes read them."""
+    from loglattice.plans import queries
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(distance):
+        seen.add(1)
+        return distance
+
+    results = spark.range(20).select(
+        F.col("id").alias("question_id"), F.lit("q").alias("question"),
+        F.udf(tick, "double")(F.lit(0.71) + F.col("id") / 100).alias("top_distance"),
+    )
+    monkeypatch.setattr(queries, "_results", lambda *_: results)
+    monkeypatch.setattr(queries.retrieval, "weak_matches", lambda rows, asked_at: weak_matches(rows, 0.0, asked_at))
+    assert queries.write_jsonl(spark, "").count() == 20
+    assert seen.value <= 40  # the filter and the columns may each call it
