@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.prefix import stored
 from ..functions.vectors import block_candidates, unit_rows
-from .retrieval import BLOCK_ROWS, _named, _ranked
+from .retrieval import BLOCK_BYTES, BLOCK_ROWS, _named, _ranked
 
 SAMPLE = 8192
 CELLS = 256
@@ -180,6 +180,13 @@ def _routes(index: VectorIndex, asked: DataFrame) -> DataFrame:
     return met.withColumns({"place": F.row_number().over(order), "before": F.coalesce(before, F.lit(0))})
 
 
+def _block_rows(index: VectorIndex, rows: Column) -> Column:
+    """Rows of a block where there are `rows` in all: an eighth of them, but not less than `BLOCK_ROWS` and not
+    more than `BLOCK_BYTES` hold in double precision."""
+    size = sum(b.shape[1] for b in index.model.books)
+    return F.greatest(F.lit(BLOCK_ROWS), F.least(F.ceil(rows / 8), F.lit(BLOCK_BYTES // (8 * max(1, size)))))
+
+
 def _looked(
     index: VectorIndex, asked: DataFrame, routes: DataFrame, k: int, coded: bool, per_cell: int | None = None
 ) -> DataFrame:
@@ -192,15 +199,18 @@ def _looked(
     per_cell = per_cell or k
     order = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(order), F.lit(0))
-    placed = index.cells.select(
-        F.col("key").alias("group"), "cell", F.floor(before / BLOCK_ROWS).alias("shard"),
-        F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"),
+    # A query or vector goes once to each block of the other side: blocks are as few as bytes and cores allow.
+    rows = _block_rows(index, F.lit(index.cells.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()))
+    placed = index.cells.withColumn("rows", rows).select(
+        F.col("key").alias("group"), "cell", F.floor(before / F.col("rows")).alias("shard"),
+        F.ceil(F.col("n") / F.col("rows")).cast("int").alias("parts"),
     )
     at = ["group", "shard"]
     wanted = routes.select("query", "group", "cell").join(placed, ["group", "cell"]).groupBy("query", *at).agg(
         F.collect_list("cell").alias("cells"), F.max("parts").alias("parts")
     )
-    sets = wanted.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("sets"))
+    asking = F.count(F.lit(1))
+    sets = wanted.groupBy(*at).agg(F.ceil(asking / _block_rows(index, asking)).cast("int").alias("sets"))
     keys = [*at, "part", "set"]
     q = wanted.join(sets, at).join(asked.select("query", "group", "vector"), ["query", "group"]).select(
         "query", "vector", "cells", *at, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
@@ -216,19 +226,26 @@ def _looked(
     rows_of = index.model.decoded if coded else unit_rows
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            units, at_cell = unit_rows(left["vector"]), np.repeat(np.arange(len(left)), left["cells"].map(len))
-            cells = np.concatenate(left["cells"].to_list())
-            for cell, block in right.groupby("cell"):
+        if not len(left) or not len(right):
+            return pd.DataFrame()
+        blocks = {}
+        for cell, block in right.groupby("cell"):
+            block = block.sort_values("id", kind="stable")
+            blocks[cell] = block[["id", "vector"]], rows_of(block["vector"])
+        kept = []
+        for low in range(0, len(left), BLOCK_ROWS):  # what all cells give is held for so many queries at a time
+            part = left.iloc[low : low + BLOCK_ROWS]
+            units, at_cell = unit_rows(part["vector"]), np.repeat(np.arange(len(part)), part["cells"].map(len))
+            cells, found = np.concatenate(part["cells"].to_list()), []
+            for cell, (block, vectors) in blocks.items():
                 asking = at_cell[cells == cell]
                 if len(asking):
-                    part = block_candidates(left["query"].to_numpy()[asking], units[asking], block, per_cell, rows_of)
-                    found.append(part)
-        if not found:
-            return pd.DataFrame()
-        best = pd.concat(found).sort_values(["query", "distance", "id"])
-        return best[best.groupby("query").cumcount() < k].assign(key=left["group"].iloc[0])
+                    ids = part["query"].to_numpy()[asking]
+                    found.append(block_candidates(ids, units[asking], block, per_cell, lambda _: vectors))
+            if found:
+                best = pd.concat(found).sort_values(["query", "distance", "id"])
+                kept.append(best[best.groupby("query").cumcount() < k])
+        return pd.concat(kept).assign(key=left["group"].iloc[0]) if kept else pd.DataFrame()
 
     schema = T.StructType([
         T.StructField("query", asked.schema["query"].dataType), T.StructField("key", T.StringType()),

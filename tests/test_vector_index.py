@@ -82,3 +82,23 @@ def test_odd_tables(spark):
 def test_null_vectors_do_not_fail_the_hashed_search(spark):
     vectors = frame(spark, clustered(30) + [(99, None, "a")])
     assert ann_top_k(as_queries(vectors), vectors, 1).select("query_id").distinct().count() == 30
+
+
+def test_a_query_goes_to_no_more_blocks_as_a_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(vi, "BLOCK_ROWS", 16)
+
+    def candidates(n):
+        vectors = frame(spark, clustered(n, spread=5.0))
+        queries = as_queries(vectors)
+        index = vi.build_index(vectors)
+        asked = vi._asked(index, queries, "query_id", "embedding")
+        return vi._looked(index, asked, vi._routes(index, asked), 1, coded=False).count()
+
+    assert candidates(800) <= 2 * 9 * 800
+
+
+def test_index_search_over_blocks_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vi, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(vi, "BLOCK_BYTES", 30 * 16 * 8)  # 30 rows of 16 dimensions
+    vectors = frame(spark, clustered(500))
+    assert same(vi.indexed_search(as_queries(vectors), vectors, 3), cosine_top_k(as_queries(vectors), vectors, 3))
