@@ -34,15 +34,20 @@ FUNNEL_HEADERS = {
 }
 
 # Personal-data patterns of the document anonymiser, in order.
-DOCUMENT_PII_RULES = [
+DOCUMENT_CODE_RULES = [
     (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE REDACTED]"),
     (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "[EMAIL REDACTED]"),
     (r"https?://(?:www\.)?linkedin\.com/in/[a-zA-Z0-9_-]+/?", "[LINKEDIN REDACTED]"),
     (r"\b\d+\s+[A-Z][a-z]+\s+(?:St|Ave|Blvd|Dr|Rd|Ln|Way|Ct)\b", "[ADDRESS REDACTED]"),
+]
+DOCUMENT_CLEARANCE_RULES = [
     (r"\bTop Secret/?SCI\b", "[CLEARANCE LEVEL]"),
     (r"\bTS/?SCI\b", "[CLEARANCE LEVEL]"),
     (r"\bSecret\s+clearance\b", "[CLEARANCE LEVEL]"),
 ]
+DOCUMENT_PII_RULES = [*DOCUMENT_CODE_RULES, *DOCUMENT_CLEARANCE_RULES]
+# What each match of a code rule holds: a digit, an at sign, the start of a link.
+CODE_MARK = r"[\d@]|://"
 
 # Organisation patterns and their descriptors, in order.
 ORGANISATION_RULES = [
@@ -94,6 +99,7 @@ ORGANISATION_RULES = [
 INTERVIEWER_LABEL = "the interviewer"
 CREDIT_LINE_ANY_CASE = r"^.*otter\.ai.*$"
 CREDIT_LINE_AS_WRITTEN = r"^.*Transcribed by.*$"
+CREDIT_MARK, CREDIT_WORDS = r"otter\.ai", "Transcribed by"  # what each holds
 FILENAME_SUFFIX = r"_otter_ai"
 FILENAME_COPY_NUMBER = r"\(\d+\)"
 EMPTY_FILENAME = "interview_transcript"

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,31 @@ def test_anonymize(spark, text, expected):
     assert scrubbed(spark, text, interviewers=["Ada", "Bo Lind"]) == expected
 
 
+def test_rules_that_are_left_out_would_have_changed_nothing(spark):
+    """Every text is what all rules one after the other make of it."""
+    parts = ["call ٥٥٥-١٢٣-٤٥٦٧", "a@b.co", "HTTPS://linkedin.com/in/x", "12 Oak st", "TS/ſcı", "ſecret  clearance", "meta",
+             "Ada", "ADA\u0301", "bo lind", "x OTTER.AI y\nz", "Transcribed by me", "transcribed by me", "\n\n\n", "1\n\n\n\n2", ""]
+    texts = parts + [f"{a} {b}\n{c}" for a, b, c in zip(parts, parts[3:], parts[7:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for people in (["Ada", "Bo Lind"], ["A?da|bo\\s+lind"], []):
+        for person_rules in ([], [(r"\boak\b", "Meta 12")]):
+            plain = docs.apply_rules(F.col("text"), [*fv.DOCUMENT_PII_RULES, *person_rules, *fv.ORGANISATION_RULES])
+            plain = docs.apply_rules(plain, [(rf"\b{p}\b", fv.INTERVIEWER_LABEL) for p in people])
+            plain = F.regexp_replace(plain, "(?dimU)" + fv.CREDIT_LINE_ANY_CASE, "")
+            plain = F.regexp_replace(plain, "(?dmU)" + fv.CREDIT_LINE_AS_WRITTEN, "")
+            plain = docs.strip(F.regexp_replace(plain, r"\n{3,}", "\n\n"))
+            got = docs.anonymized(F.col("text"), person_rules=person_rules, interviewers=people)
+            assert df.select(plain.alias("a"), got.alias("b")).where("NOT a <=> b").count() == 0
+
+
+def test_a_rule_is_not_tried_where_its_mark_is_missing(spark):
+    """Looking for an address in a run of dotted letters takes time with the square of its length."""
+    scrubbed(spark, "x")
+    text, begun = "a." * 150_000, time.monotonic()
+    assert scrubbed(spark, text) == text
+    assert time.monotonic() - begun < 8
+
+
 def test_every_organisation_rule_is_reached(spark):
     """The combined pattern must let through whatever a single rule matches."""
     examples = {p: p.replace(r"\b", "").replace("?", "").replace(r"\s*", " ") for p, _ in fv.ORGANISATION_RULES}
