@@ -202,16 +202,16 @@ def jaccard_links(
         numbered = written(numbered, "numbered-texts")
     key_type = numbered.schema["key"].dataType.simpleString()
     rows = written(numbered.mapInArrow(digest, f"uid long, key {key_type}, `set` binary, bands array<long>"), "text-sets")
-    # One class per set, named by its smallest (key, uid): combined before it is shuffled.
+    # One class per set, named by its smallest (key, uid): combined before it is shuffled. The bands go along, once;
+    # fetching them by a join would move them for each use, as soon as the classes are too many to broadcast.
     usable = rows.where("`set` IS NOT NULL AND key IS NOT NULL")
     classes = written(
-        usable.groupBy("set").agg(F.min(F.struct("key", "uid")).alias("first"), F.count(F.lit(1)).alias("size")).select(
-            "set", F.col("first.uid").alias("class"), F.col("first.key").alias("class_key"), "size"
+        usable.groupBy("set").agg(F.min(F.struct("key", "uid", "bands")).alias("first"), F.count(F.lit(1)).alias("size")).select(
+            "set", F.col("first.uid").alias("class"), F.col("first.key").alias("class_key"), "size", "first.bands"
         ),
         "text-classes",
     )
-    heads = usable.select(F.col("uid").alias("class"), "bands").join(classes.select("class", "size"), "class")
-    banded = heads.select("class", F.explode("bands").alias("band"))
+    banded = classes.select("class", F.explode("bands").alias("band"))
     # Written before the join, which then can split the rows of a hot band.
     counted = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n"))
     shared = written(counted.where("n > 1").select("band", "root"), "shared-bands")

@@ -207,3 +207,19 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, **{i: 100 for i in range(100, 161)}}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_are_not_fetched_by_a_join(spark, monkeypatch):
+    """They are most of what a class has: each join on them moves them once more."""
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(6)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_links(docs).collect()}
+    assert got == {i: (i % 3, 1) for i in range(6)}
+    assert "Join" not in plans["shared-bands"] and plans["band-stars"].count("Join") == 1
