@@ -1,8 +1,8 @@
 """Whole texts to token ids by the tokenizers library, fast on repeated words.
 
 A byte-pair tokenizer treats every piece its splitter yields on its own. Texts are cut only where the
-splitters of such tokenizers always cut too; every distinct piece is encoded once, and a text's ids are
-those of its pieces in a row. A text holding a special token's string is encoded whole. A Python worker
+splitters of such tokenizers always cut too, a batch of bytes at a time; every distinct piece is looked up once a batch
+and encoded once, and a text's ids are those of its pieces in a row. A text holding a special token's string is encoded whole. A Python worker
 keeps its encoder, and the pieces it knows, from task to task of one run; the next run starts with none.
 """
 
@@ -24,9 +24,26 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 #: one space before it. Apostrophes, other white space and all other characters stick to both sides.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!-&(-/:-@\[-`{-~"
-RUN = rf"(?:[{LETTERS}]++|[{SIGNS}]++|[0-9]++)"
-REST = rf"(?! [{LETTERS}{SIGNS}0-9])[^{LETTERS}{SIGNS}0-9]++"
-PIECES = rf"(?: ?{RUN}|{REST}{RUN}?+)(?:{REST}{RUN}?+)*+"
+#: What a byte of UTF-8 is part of: 1 a letter, 2 a sign, 3 a digit, 0 all else; letters of two bytes are marked by `cuts`.
+KIND = np.array([1 if re.match("[A-Za-z]", chr(i)) else 2 if re.match(f"[{SIGNS}]", chr(i)) else 3 if 0x30 <= i <= 0x39 else 0 for i in range(256)], dtype=np.uint8)
+
+
+def cuts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mark at each byte where a piece begins; `ends` are a zero and the ends of the texts that `raw` holds."""
+    kind = KIND[raw]
+    two = np.flatnonzero(raw == 0xC3)
+    two = two[(raw[two + 1] != 0x97) & (raw[two + 1] != 0xB7)]
+    kind[two] = kind[two + 1] = 1
+    run = kind > 0
+    cut = np.zeros(len(raw), dtype=bool)
+    cut[1:] = run[1:] & run[:-1] & (kind[1:] != kind[:-1])
+    cut[1:-1] |= (raw[1:-1] == 0x20) & run[:-2] & run[2:]
+    # A text's last space has no run behind it, and a text begins a piece.
+    some = np.flatnonzero(np.diff(ends))
+    last = ends[some + 1] - 1
+    cut[last[raw[last] == 0x20]] = False
+    cut[ends[some]] = True
+    return cut
 
 
 class Numbers(dict):
@@ -50,7 +67,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = re.compile(PIECES).findall
         self.single = re.compile(rf" ?(?:[{LETTERS}]+|[{SIGNS}]+)").fullmatch
         self.prepare = self._prepare()
         self.most = most
@@ -108,22 +124,34 @@ class Encoder:
         self.flat = np.concatenate([self.flat, new])
         self.numbers.new = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         if len(self.numbers) > self.most:
             self.clear()
-        cut = [[t] if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        codes = np.fromiter(
-            map(self.numbers.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum())
-        )
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return self.flat[:0], np.zeros(0, dtype=np.int64)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        cut = cuts(raw, ends)
+        for special in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, special).to_numpy(zero_copy_only=False)):
+                cut[ends[i] + 1 : ends[i + 1]] = False
+        begins = np.flatnonzero(cut)
+        places = np.append(begins, len(raw)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(raw)).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        codes = np.fromiter(map(self.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        codes = codes[pieces.indices.to_numpy()]
         if self.numbers.new:
             self.learn()
         starts, lengths = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
         after = np.cumsum(lengths)
         total = int(after[-1]) if len(after) else 0
         ids = self.flat[np.repeat(starts - (after - lengths), lengths) + np.arange(total)]
-        up_to = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(counts)])]
+        up_to = np.concatenate([[0], after])[np.searchsorted(begins, ends)]
         return ids, np.diff(up_to)
 
 
@@ -169,7 +197,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, text: str = "text") ->
             texts = batch.column(len(others))
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             for begin, end in by_size(sizes):
-                ids, counts = encoder.encode([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
+                ids, counts = encoder.encode(pc.fill_null(texts.slice(begin, end - begin), ""))
                 stream = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
                 offsets = np.concatenate([[0], np.cumsum(counts + 1) * stream.itemsize]).astype(np.int32)
                 column = pa.Array.from_buffers(

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,19 @@ def test_encoder_equals_the_library(path):
         assert ids.tolist() == [i for w in want[begin:end] for i in w]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_texts_are_cut_in_arrow_arrays(path):
+    """Texts lie next to each other in one buffer: no piece reaches over a text's end, whatever stands at it."""
+    random.seed(3)
+    ends = ["", " ", "  ", "a", "9", "!", "é", "×", "÷", "ÿ", "'", "\n", "中", " a", "a ", " é", "é ", "\0", " <|endoftext|>"]
+    texts = [random.choice(ends) + random.choice(["", "x", "x y", "Ã9Ã", "a1"]) + random.choice(ends) for _ in range(3000)]
+    column = pa.array(["before ", *texts, " after"]).slice(1, len(texts))
+    ids, counts = Encoder(path).encode(column)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=3000))
 def test_huffman_round_trip(values):
