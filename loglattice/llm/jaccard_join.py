@@ -5,7 +5,7 @@ share a band are candidates. For a candidate pair the values are compared a few
 the similarity, m equal values of n leave a Beta(m + 1, n - m + 1) posterior, and a pair is dropped once
 the chance that its similarity reaches the threshold is below the tolerance. What is left is compared set by set.
 
-Pairs never become rows. Classes are dealt to blocks of bounded size, those next to each other that share
+Pairs never become rows. Classes are dealt to few blocks of bounded bytes, those next to each other that share
 a band's smallest class; blocks with a common band meet in one task, which compares all their candidate
 pairs and returns counts and star edges of the links it verified.
 """
@@ -28,7 +28,12 @@ WORDS = 5
 BANDS, ROWS = 32, 5
 #: Values compared between two looks at the posterior.
 STEP = 16
+#: Classes compared with each other at a time.
 BLOCK = 512
+#: A group goes into so many blocks, if it has more than one of `BLOCK` classes, and into more only where the sets and
+#: values of a block would take more bytes: a class is moved once per block of its group.
+SPLIT = 4
+BLOCK_BYTES = 16 << 20
 SEED = 0x5EED
 
 
@@ -128,27 +133,41 @@ def _compared(threshold: float, tolerance: float):
         sets = [np.frombuffer(s, dtype="<u8") for s in rows["grams"]]
         marks = np.array([np.frombuffer(m, dtype="<u4") for m in rows["marks"]])
         i, j = np.flatnonzero(block == keys[0]), np.flatnonzero(block == keys[1])
-        x, y = _survivors(marks[i], marks[j], least)
-        x, y = i[x], j[y]
-        if keys[0] == keys[1]:
-            x, y = x[x < y], y[x < y]
-        near = np.zeros(len(x), dtype=bool)
-        for k, (a, b) in enumerate(zip(x, y)):
-            n, m = len(sets[a]), len(sets[b])
-            if min(n, m) >= threshold * max(n, m):
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                near[k] = both >= threshold * (n + m - both)
-        x, y = x[near], y[near]
-        n_links = np.zeros(len(ids), dtype=np.int64)
-        np.add.at(n_links, x, size[y])
-        np.add.at(n_links, y, size[x])
-        root = np.arange(len(ids))
-        while len(x):
-            low, before = np.minimum(root[x], root[y]), root.copy()
-            np.minimum.at(root, x, low)
-            np.minimum.at(root, y, low)
-            if (root == before).all():
-                break
+        n_links, root = np.zeros(len(ids), dtype=np.int64), list(range(len(ids)))
+
+        def top(at: int) -> int:
+            while root[at] != at:
+                root[at] = at = root[root[at]]
+            return at
+
+        for p in range(0, len(i), BLOCK):
+            for q in range(p if keys[0] == keys[1] else 0, len(j), BLOCK):
+                some, others = i[p : p + BLOCK], j[q : q + BLOCK]
+                x, y = _survivors(marks[some], marks[others], least)
+                x, y = some[x], others[y]
+                if keys[0] == keys[1]:
+                    x, y = x[x < y], y[x < y]
+                near = np.zeros(len(x), dtype=bool)
+                for k, (a, b) in enumerate(zip(x, y)):
+                    n, m = len(sets[a]), len(sets[b])
+                    if min(n, m) >= threshold * max(n, m):
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        near[k] = both >= threshold * (n + m - both)
+                x, y = x[near], y[near]
+                np.add.at(n_links, x, size[y])
+                np.add.at(n_links, y, size[x])
+                least_of = np.arange(len(ids))
+                while len(x):
+                    low, before = np.minimum(least_of[x], least_of[y]), least_of.copy()
+                    np.minimum.at(least_of, x, low)
+                    np.minimum.at(least_of, y, low)
+                    if (least_of == before).all():
+                        break
+                moved = np.flatnonzero(least_of != np.arange(len(ids)))
+                for a, b in zip(moved.tolist(), least_of[moved].tolist()):
+                    a, b = top(a), top(b)
+                    root[max(a, b)] = min(a, b)
+        root = np.array([top(at) for at in root])
         on = np.flatnonzero(n_links)
         return pd.DataFrame({"class": ids[on], "n": n_links[on], "root": ids[root[on]]})
 
@@ -179,7 +198,7 @@ def jaccard_links(
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 some = batch.slice(begin, 1000)
-                classes, keys = [], []
+                classes, keys, n_runs = [], [], []
                 for t in some.column("text"):
                     found = shingles(t.as_py())
                     # 128 bits name a set: its sum and its exclusive-or, each mixed.
@@ -187,9 +206,10 @@ def jaccard_links(
                     folded = _mixed(np.bitwise_xor.reduce(_mixed(found)).reshape(1)) if len(found) else total
                     classes.append(np.concatenate([total, folded]).astype("<u8").tobytes() if len(found) else None)
                     keys.append(bands(signature(found)).view(np.int64) if len(found) else None)
+                    n_runs.append(len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("uid"), some.column("key"), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["uid", "key", "set", "bands"],
+                    [some.column("uid"), some.column("key"), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n_runs, pa.int64())],
+                    names=["uid", "key", "set", "bands", "runs"],
                 )
 
     given = uid is not None
@@ -201,30 +221,37 @@ def jaccard_links(
     if not given:
         numbered = written(numbered, "numbered-texts")
     key_type = numbered.schema["key"].dataType.simpleString()
-    rows = written(numbered.mapInArrow(digest, f"uid long, key {key_type}, `set` binary, bands array<long>"), "text-sets")
+    rows = written(numbered.mapInArrow(digest, f"uid long, key {key_type}, `set` binary, bands array<long>, runs long"), "text-sets")
     # One class per set, named by its smallest (key, uid): combined before it is shuffled. The bands go along, once;
     # fetching them by a join would move them for each use, as soon as the classes are too many to broadcast.
     usable = rows.where("`set` IS NOT NULL AND key IS NOT NULL")
     classes = written(
-        usable.groupBy("set").agg(F.min(F.struct("key", "uid", "bands")).alias("first"), F.count(F.lit(1)).alias("size")).select(
-            "set", F.col("first.uid").alias("class"), F.col("first.key").alias("class_key"), "size", "first.bands"
+        usable.groupBy("set").agg(F.min(F.struct("key", "uid", "bands", "runs")).alias("first"), F.count(F.lit(1)).alias("size")).select(
+            "set", F.col("first.uid").alias("class"), F.col("first.key").alias("class_key"), "size", "first.bands", "first.runs"
         ),
         "text-classes",
     )
-    banded = classes.select("class", F.explode("bands").alias("band"))
+    banded = classes.select("class", "runs", F.explode("bands").alias("band"))
     # Written before the join, which then can split the rows of a hot band.
     counted = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n"))
     shared = written(counted.where("n > 1").select("band", "root"), "shared-bands")
     # Shared bands grow with the corpus: the join is planned as one that holds at any size.
-    stars = written(banded.join(shared.hint("merge"), "band"), "band-stars")
+    stars = banded.join(shared.hint("merge"), "band")
     # A class goes with the smallest class of any of its bands: a hot band's is among the smallest, so its
-    # members come together, and are split by hash into blocks.
-    near = written(stars.groupBy("class").agg(F.min("root").alias("near")), "band-neighbours")
-    sizes = written(near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "band-sizes")
+    # members come together, and are split by hash into blocks. Its shared bands stay with it, in one row: at most
+    # `BANDS`, however large a group is, and no join has to find them again.
+    near = stars.groupBy("class").agg(F.min("root").alias("near"), F.collect_list("band").alias("bands"), F.first("runs").alias("runs"))
+    near = written(near, "band-stars")
+    n_bytes = F.sum(F.col("runs") * 8 + 4 * BANDS * ROWS)
+    enough = F.least(F.lit(SPLIT), F.ceil(F.count(F.lit(1)) / BLOCK))
+    sizes = written(near.groupBy("near").agg(F.greatest(enough, F.ceil(n_bytes / BLOCK_BYTES)).alias("blocks")), "band-sizes")
     place = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    members = written(near.join(sizes, "near").select("class", F.xxhash64("near", place).alias("block")), "band-blocks")
+    placed = near.join(sizes, "near").select("class", F.xxhash64("near", place).alias("block"), "bands")
+    placed = written(placed, "band-blocks")
+    # Without the bands this is small: texts that meet it need not move as long as it can be sent to them.
+    members = written(placed.select("class", "block"), "band-members")
     # Blocks meet where a band has rows in both; a band's blocks are far fewer than its rows.
-    in_band = stars.join(members, "class").groupBy("band", "block").agg(F.count(F.lit(1)).alias("n"))
+    in_band = placed.select("block", F.explode("bands").alias("band")).groupBy("band", "block").agg(F.count(F.lit(1)).alias("n"))
     in_band = written(in_band, "blocks-in-bands")
     alone = in_band.where("n > 1").select(F.col("block").alias("left"), F.col("block").alias("right"))
     lists = in_band.groupBy("band").agg(F.sort_array(F.collect_list("block")).alias("list")).where(F.size("list") > 1)

@@ -223,3 +223,44 @@ def test_bands_are_not_fetched_by_a_join(spark, monkeypatch):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_links(docs).collect()}
     assert got == {i: (i % 3, 1) for i in range(6)}
     assert "Join" not in plans["shared-bands"] and plans["band-stars"].count("Join") == 1
+
+
+def test_a_class_brings_its_shared_bands_along(spark, monkeypatch):
+    """Whatever the size of a group of near copies, a class is one row until its bands are dealt out, and nothing joins them again."""
+    rows, plans = {}, {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        frame = written(df, name)
+        rows.setdefault(name, []).append(frame.count())
+        return frame
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    words = [f"w{i}" for i in range(120)]
+    for n in (20, 40):
+        docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(n)], "doc_id long, text string")
+        assert {(r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_links(docs).collect()} == {(0, n - 1)}
+    assert rows["band-stars"] == rows["band-blocks"] == [20, 40]
+    assert "Join" not in plans["blocks-in-bands"]
+
+
+def test_a_group_is_moved_few_times(spark, monkeypatch):
+    """However many classes a group of near copies has, each is moved once per block, and blocks are cut by bytes."""
+    pairs = []
+
+    def kept(df, name):
+        frame = written(df, name)
+        if name == "block-pairs":
+            pairs.append(frame.count())
+        return frame
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    words = [f"w{i}" for i in range(120)]
+    for n in (60, 120):
+        docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(n)], "doc_id long, text string")
+        assert {(r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_links(docs).collect()} == {(0, n - 1)}
+    most = jaccard_join.SPLIT
+    assert max(pairs) <= most * (most + 1) // 2
