@@ -67,6 +67,8 @@ GAP = re.compile(rf"[^0-9{LETTER}{INNER}]+")
 #: Letters a word in a spaced run may have: lengths that are told from their beginnings, and any other.
 PARTS = (4, 5, 6, 24)
 REPEATED = re.compile(r"(.)\1")
+#: A chunk without any of these is one word and no other.
+ODD = re.compile(rf"[{INNER}]|(.)\1|{UNCUT.pattern}")
 #: A character repeated more often says no more than three of it do, as each but the first may be written again.
 LONG = re.compile(r"(.)\1{3,}")
 
@@ -98,14 +100,15 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         codes, seen = _letters(), np.zeros(BASE**ORDER, dtype=np.int64)
         codecs.register_error("toxicity-latin", _latin)
         for batch in batches:
-            for t in batch.column(0):
-                raw = (t.as_py() or "").encode("latin-1", "toxicity-latin")
-                at = codes[np.frombuffer(b"   " + raw + b" ", dtype=np.uint8)]
-                if len(at) >= ORDER:
-                    runs = ((at[:-3] * BASE + at[1:-2]) * BASE + at[2:-1]) * BASE + at[3:]
-                    seen += np.bincount(runs, minlength=len(seen)) if len(runs) > 50_000 else 0
-                    if len(runs) <= 50_000:
-                        np.add.at(seen, runs, 1)
+            for begin in range(0, batch.num_rows, 500):
+                raw = [b"   " + (t.as_py() or "").encode("latin-1", "toxicity-latin") + b" " for t in batch.column(0).slice(begin, 500)]
+                at = codes[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+                runs = ((at[:-3] * BASE + at[1:-2]) * BASE + at[2:-1]) * BASE + at[3:]
+                # A run that ends in the border before a text lies in two texts.
+                starts = np.cumsum([len(x) for x in raw])[:-1]
+                inside = np.ones(len(runs), dtype=bool)
+                inside[(starts[:, None] - [1, 2, 3]).ravel()] = False
+                seen += np.bincount(runs[inside], minlength=len(seen))
         on = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(seen[on])], names=["run", "n"])
 
@@ -175,19 +178,17 @@ class Restorer:
                         after, total = state * BASE % cap, cost + table[state * BASE]
                         if after not in paths or total < paths[after][0]:
                             paths[after] = (total, (said, " "))
-            options = [(c, 0.0)] if c not in STANDS_FOR else [(x, SIGN) for x in STANDS_FOR[c]]
+            options = [(x, SIGN, code(x)) for x in STANDS_FOR[c]] if c in STANDS_FOR else [(c, 0.0, code(c))]
+            skip = AGAIN if c == before else NOISE if c in STANDS_FOR else None
             found: dict[int, tuple[float, tuple]] = {}
             for state, (cost, said) in paths.items():
-                moves = [(x, p + (table[state * BASE + code(x)] if code(x) else OTHER)) for x, p in options]
-                if c == before:
-                    moves.append(("", AGAIN))
-                elif c in STANDS_FOR:
-                    moves.append(("", NOISE))
-                for x, p in moves:
-                    after = (state * BASE + code(x)) % cap if x else state
-                    total = cost + p
+                row = state * BASE
+                for x, p, k in options:
+                    after, total = (row + k) % cap, cost + (p + (table[row + k] if k else OTHER))
                     if after not in found or total < found[after][0]:
-                        found[after] = (total, (said, x) if x else said)
+                        found[after] = (total, (said, x))
+                if skip is not None and (state not in found or cost + skip < found[state][0]):
+                    found[state] = (cost + skip, said)
             paths, before = found, c
         if not paths:
             return ""
@@ -200,15 +201,22 @@ class Restorer:
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the whole text, and what its disguised tokens restore to."""
-        low = unicodedata.normalize("NFC", (text or "").lower())
-        out = set(CHUNK.findall(low))
-        signed = {chunk for chunk in out if SIGN_IN.search(chunk)}
-        out -= signed
-        out.update(w for chunk in signed for w in WORD.findall(chunk))
-        tokens = {t for chunk in signed for t in readings(chunk)}
+        chunks, runs = parts(text)
+        return set().union(*map(self.words_of, chunks), *map(self.words_of_run, runs))
+
+    def words_of(self, chunk: str) -> set[str]:
+        """The words of a chunk, as it stands and restored; they depend on nothing around it."""
+        if not ODD.search(chunk):
+            return {chunk}
+        if not SIGN_IN.search(chunk):
+            return self._restored({chunk}, set(), set())
+        return self._restored(set(WORD.findall(chunk)), readings(chunk), joined(chunk) - {chunk})
+
+    def words_of_run(self, run: str) -> set[str]:
+        return self._restored(set(), set(), joined(run))
+
+    def _restored(self, out: set[str], tokens: set[str], spaced: set[str]) -> set[str]:
         tokens.update(w for w in out if REPEATED.search(w))
-        spaced = {t for m in SPACED.finditer(low) for t in joined(m.group())}
-        spaced.update(t for chunk in signed for t in joined(chunk) - {chunk})
         out.update(self.word(t) for t in tokens)
         for t in spaced:
             one, several = self.word(t), self.word(t, spaced=True)
@@ -216,16 +224,21 @@ class Restorer:
             # Borders the character model does not see: a word may begin at any letter of the run.
             for run in {one, several.replace(" ", "")}:
                 out.update(run[i : i + n] for i in range(len(run) - 3) for n in PARTS)
-        if UNCUT.search(low):
-            runs = {run for w in out for run in UNCUT.findall(w)}
-            out.update(run[i : i + n] for run in runs for i in range(len(run)) for n in (1, 2, 3, 4))
+        runs = {run for w in out for run in UNCUT.findall(w)}
+        out.update(run[i : i + n] for run in runs for i in range(len(run)) for n in (1, 2, 3, 4))
         out.discard("")
         return out
 
 
+def parts(text: str | None) -> tuple[set[str], set[str]]:
+    """The distinct chunks and spaced runs of the whole text."""
+    low = unicodedata.normalize("NFC", (text or "").lower())
+    return set(CHUNK.findall(low)), {m.group() for m in SPACED.finditer(low)}
+
+
 def features(word: str) -> list[str]:
     """The word as a whole, and its beginnings of four to six letters."""
-    return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) > n)]
+    return [f"{word}$"] + [word[:n] for n in (4, 5, 6) if len(word) > n]
 
 
 def lexicon(sample: DataFrame, table: np.ndarray, least: int = 5) -> dict[str, float]:
@@ -254,22 +267,43 @@ def lexicon(sample: DataFrame, table: np.ndarray, least: int = 5) -> dict[str, f
     return {r["feature"]: math.log((r["toxic"] + 0.5) / a) - math.log((r["clean"] + 0.5) / b) for r in rows}
 
 
+class Known(dict):
+    """What `make` gives for a key, kept; it starts anew after `most` keys."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> dict[str, float]:
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 class Scorer:
-    """Numbers of a text: its strongest feature, and how many words have one."""
+    """Numbers of a text: its strongest feature, and how many words have one.
+
+    Weighted words are remembered per chunk and spaced run, as these repeat from text to text and mostly have none.
+    """
 
     def __init__(self, table: np.ndarray, weights: dict[str, float]):
-        self.restorer, self.weights, self.known = Restorer(table), weights, {}
+        self.restorer, self.weights, self.none = Restorer(table), weights, {}
+        self.chunks = Known(lambda chunk: self.weighted(self.restorer.words_of(chunk)), 500_000)
+        self.runs = Known(lambda run: self.weighted(self.restorer.words_of_run(run)), 20_000)
 
     def weight(self, word: str) -> float:
-        if word not in self.known:
-            if len(self.known) >= 500_000:
-                self.known.clear()
-            self.known[word] = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
-        return self.known[word]
+        return max([self.weights.get(f, 0.0) for f in features(word)])
+
+    def weighted(self, words: set[str]) -> dict[str, float]:
+        return {w: x for w in words if (x := self.weight(w))} or self.none
 
     def numbers(self, text: str | None) -> tuple[float, float]:
-        found = sorted((x for w in self.restorer.words(text) if (x := self.weight(w))), reverse=True)
-        return (found[0] if found else 0.0), math.log1p(len(found))
+        chunks, runs = parts(text)
+        found: dict[str, float] = {}
+        for some in (*filter(None, map(self.chunks.__getitem__, chunks)), *filter(None, map(self.runs.__getitem__, runs))):
+            found.update(some)
+        return max(found.values(), default=0.0), math.log1p(len(found))
 
 
 def toxicity_scores(
