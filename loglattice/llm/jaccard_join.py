@@ -6,8 +6,8 @@ the similarity, m equal values of n leave a Beta(m + 1, n - m + 1) posterior, an
 the chance that its similarity reaches the threshold is below the tolerance. What is left is compared set by set.
 
 Pairs never become rows. Classes are dealt to few blocks of bounded bytes, those next to each other that share
-a band's smallest class; blocks with a common band meet in one task, which compares all their candidate
-pairs and returns counts and star edges of the links it verified.
+a band's smallest class, and groups of such classes that share a band with each other; blocks with a common band meet
+in one task, which compares all their candidate pairs and returns counts and star edges of the links it verified.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ BLOCK = 512
 #: values of a block would take more bytes: a class is moved once per block of its group.
 SPLIT = 4
 BLOCK_BYTES = 16 << 20
+#: How often groups that share a band are drawn together; few, as what they form should not be whole chains of unlike texts.
+ROUNDS = 2
 SEED = 0x5EED
 
 
@@ -174,6 +176,20 @@ def _compared(threshold: float, tolerance: float):
     return links
 
 
+def _drawn_together(bands: DataFrame) -> DataFrame:
+    """(near, group) of the groups in `bands` (near, band) that share a band with others.
+
+    In each round a group and all it holds go over to the smallest of the groups it shares a band with.
+    """
+    hubs = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = written(bands.join(hubs, "band", "left_semi").select("near", F.col("near").alias("group"), "band"), "groups-in-bands")
+    for _ in range(ROUNDS):
+        tops = at.groupBy("band").agg(F.min("group").alias("top"))
+        moves = at.join(tops, "band").groupBy("group").agg(F.min("top").alias("top"))
+        at = written(at.join(moves, "group").select("near", F.col("top").alias("group"), "band"), "groups-in-bands")
+    return at.select("near", "group").distinct()
+
+
 def jaccard_links(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -231,25 +247,34 @@ def jaccard_links(
         ),
         "text-classes",
     )
-    banded = classes.select("class", "runs", F.explode("bands").alias("band"))
+    banded = classes.select("class", "size", "runs", F.explode("bands").alias("band"))
     # Written before the join, which then can split the rows of a hot band.
     counted = banded.groupBy("band").agg(F.min("class").alias("root"), F.count(F.lit(1)).alias("n"))
     shared = written(counted.where("n > 1").select("band", "root"), "shared-bands")
     # Shared bands grow with the corpus: the join is planned as one that holds at any size.
     stars = banded.join(shared.hint("merge"), "band")
-    # A class goes with the smallest class of any of its bands: a hot band's is among the smallest, so its
-    # members come together, and are split by hash into blocks. Its shared bands stay with it, in one row: at most
-    # `BANDS`, however large a group is, and no join has to find them again.
-    near = stars.groupBy("class").agg(F.min("root").alias("near"), F.collect_list("band").alias("bands"), F.first("runs").alias("runs"))
+    # A class goes with the smallest class of any of its bands: a hot band's is among the smallest, so most of its
+    # members come together. Its shared bands stay with it, in one row: at most `BANDS`, however large a group is, and
+    # no join has to find them again; nor its size, which would join once per meeting of blocks.
+    near = stars.groupBy("class").agg(
+        F.min("root").alias("near"), F.collect_list("band").alias("bands"), F.first("runs").alias("runs"), F.first("size").alias("size")
+    )
     near = written(near, "band-stars")
-    n_bytes = F.sum(F.col("runs") * 8 + 4 * BANDS * ROWS)
-    enough = F.least(F.lit(SPLIT), F.ceil(F.count(F.lit(1)) / BLOCK))
-    sizes = written(near.groupBy("near").agg(F.greatest(enough, F.ceil(n_bytes / BLOCK_BYTES)).alias("blocks")), "band-sizes")
+    # The rest of a hot band's members have a smaller class in some other band. Left apart, near copies would be many
+    # groups that all meet each other, more of them the more near copies there are.
+    together = _drawn_together(near.select("near", F.explode("bands").alias("band")).distinct())
+    weights = near.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("runs") * 8 + 4 * BANDS * ROWS).alias("n_bytes"))
+    weights = weights.join(together, "near", "left").select("near", F.coalesce("group", "near").alias("group"), "n", "n_bytes")
+    weights = written(weights, "band-groups")
+    enough = F.least(F.lit(SPLIT), F.ceil(F.sum("n") / BLOCK))
+    blocks = weights.groupBy("group").agg(F.greatest(enough, F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
+    sizes = written(weights.join(blocks, "group").select("near", "group", "blocks"), "band-sizes")
+    # A group is split by hash into its blocks.
     place = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    placed = near.join(sizes, "near").select("class", F.xxhash64("near", place).alias("block"), "bands")
+    placed = near.join(sizes, "near").select("class", "size", F.xxhash64("group", place).alias("block"), "bands")
     placed = written(placed, "band-blocks")
     # Without the bands this is small: texts that meet it need not move as long as it can be sent to them.
-    members = written(placed.select("class", "block"), "band-members")
+    members = written(placed.select("class", "size", "block"), "band-members")
     # Blocks meet where a band has rows in both; a band's blocks are far fewer than its rows.
     in_band = placed.select("block", F.explode("bands").alias("band")).groupBy("band", "block").agg(F.count(F.lit(1)).alias("n"))
     in_band = written(in_band, "blocks-in-bands")
@@ -279,7 +304,6 @@ def jaccard_links(
     sides = pairs.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     work = (
         sides.join(members, "block")
-        .join(classes.select("class", "size"), "class")
         .join(ready, "class")
         .select("left", "right", "class", "size", "block", "grams", "marks")
     )

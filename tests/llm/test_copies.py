@@ -264,3 +264,31 @@ def test_a_group_is_moved_few_times(spark, monkeypatch):
         assert {(r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_links(docs).collect()} == {(0, n - 1)}
     most = jaccard_join.SPLIT
     assert max(pairs) <= most * (most + 1) // 2
+
+
+def test_near_copies_meet_in_few_blocks(spark, monkeypatch):
+    """Near copies have their smallest neighbours in many places; each is still moved about once per block of the whole group."""
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(120)]
+    most = []
+    for n in (100, 200):
+        rows = []
+        for i in range(n):
+            some = list(words)
+            for k in rng.integers(0, 120, int(rng.integers(0, 9))):
+                some[k] = f"x{i}"
+            rows.append((i, " ".join(some)))
+        got = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == sorted(links_by_force(rows)[0])
+        sides = tables["block-pairs"].select(F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+        most.append(sides.join(tables["band-members"], "block").groupBy("class").count().agg(F.max("count")).first()[0])
+    assert max(most) <= jaccard_join.SPLIT
