@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loglattice.llm import labelled, mixing, quality_model, toxicity
+from loglattice.llm import jaccard_join, labelled, mixing, quality_model, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -206,6 +206,37 @@ def test_pipeline_stages(spark, tables):
     assert pieces["uid"].nunique() == kept.count()
 
 
+def test_near_copies_in_the_pipeline_meet_in_few_blocks(spark, monkeypatch):
+    """The stage moves a near copy once per block of its group, however many there are, and keeps one document per group."""
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    rng = np.random.default_rng(15)
+    words, rows = [f"w{i}" for i in range(120)], [(10**6, "some other text of seven words", "en", "a", 0)]
+    for i in range(300):
+        some = list(words)
+        for k in rng.integers(0, 120, int(rng.integers(0, 9))):
+            some[k] = f"x{i}"
+        rows.append((i, " ".join(some), "en", "a", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    distinct = {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, docs, SF).collect()}
+    runs = {r[0]: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in rows for w in [r[1].split()]}
+    near = {a: [b for b in runs if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])] for a in runs}
+    first, before = {a: min(near[a]) for a in near}, None
+    while first != before:
+        first, before = {a: min(first[b] for b in near[a]) for a in near}, first
+    assert distinct == set(first.values()) and len(distinct) < 250
+    sides = tables["block-pairs"].select(F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    times = sides.join(tables["band-members"], "block").groupBy("class").count()
+    assert times.agg(F.max("count")).first()[0] <= jaccard_join.SPLIT
+
+
 def test_scores_remember_chunks_and_not_texts():
     """A chunk that comes again is not read again, and what is remembered changes no number."""
     table = toxicity.costs(np.ones(toxicity.BASE**toxicity.ORDER))
